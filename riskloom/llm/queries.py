@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from riskloom.llm.mixing import op4_mixing
 from riskloom.llm.sharding import op8_sharding
+from riskloom.llm.tokens import op1_tokens
 
 QUERIES = {
+    "op1_tokens": op1_tokens,
     "op4_mixing": op4_mixing,
     "op8_sharding": op8_sharding,
 }
