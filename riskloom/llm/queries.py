@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskloom.llm.licenses import op10_licenses
 from riskloom.llm.mixing import op4_mixing
 from riskloom.llm.sharding import op8_sharding
 from riskloom.llm.tokens import op1_tokens
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_tokens": op1_tokens,
     "op4_mixing": op4_mixing,
     "op8_sharding": op8_sharding,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
