@@ -6,12 +6,16 @@ from riskloom.llm.licenses import op10_licenses
 from riskloom.llm.mixing import op4_mixing
 from riskloom.llm.sharding import op8_sharding
 from riskloom.llm.tokens import op1_tokens
+from riskloom.llm.vectors import OP9_SQL, op9_vectors
 
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op4_mixing": op4_mixing,
     "op8_sharding": op8_sharding,
+    "op9_vectors": op9_vectors,
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_vectors": OP9_SQL,
+}
