@@ -7,15 +7,18 @@ from riskloom.llm.mixing import op4_mixing
 from riskloom.llm.sharding import op8_sharding
 from riskloom.llm.tokens import op1_tokens
 from riskloom.llm.vectors import OP9_SQL, op9_vectors
+from riskloom.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op4_mixing": op4_mixing,
+    "op6_warc": op6_warc,
     "op8_sharding": op8_sharding,
     "op9_vectors": op9_vectors,
     "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
     "op9_vectors": OP9_SQL,
 }
