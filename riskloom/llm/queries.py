@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom.llm.licenses import op10_licenses
 from riskloom.llm.mixing import op4_mixing
+from riskloom.llm.neardup import op5_neardup
 from riskloom.llm.sharding import op8_sharding
 from riskloom.llm.tokens import op1_tokens
 from riskloom.llm.vectors import OP9_SQL, op9_vectors
@@ -12,6 +13,7 @@ from riskloom.llm.warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op4_mixing": op4_mixing,
+    "op5_neardup": op5_neardup,
     "op6_warc": op6_warc,
     "op8_sharding": op8_sharding,
     "op9_vectors": op9_vectors,
