@@ -6,12 +6,14 @@ from riskloom.llm.licenses import op10_licenses
 from riskloom.llm.mixing import op4_mixing
 from riskloom.llm.neardup import op5_neardup
 from riskloom.llm.sharding import op8_sharding
+from riskloom.llm.suffixes import op3_suffixes
 from riskloom.llm.tokens import op1_tokens
 from riskloom.llm.vectors import OP9_SQL, op9_vectors
 from riskloom.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_tokens": op1_tokens,
+    "op3_suffixes": op3_suffixes,
     "op4_mixing": op4_mixing,
     "op5_neardup": op5_neardup,
     "op6_warc": op6_warc,

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of this application under spark.checkpoint.dir.
@@ -34,11 +36,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet and read it back.
 
     It cuts the lineage, so a lost executor costs one re-read, and it freezes
-    values such as partition numbers that a recomputation could change.
+    values such as partition numbers that a recomputation could change. The
+    shuffle files of the write are deleted with its end: nothing reads them.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
