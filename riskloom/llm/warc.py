@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,28 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _EPOCH = "2024-01-01T00:00:00Z"
 
 
+def _pack(payload: str) -> Column:
+    """Payloads under zstd, so that stores and shuffles move few bytes."""
+
+    @F.arrow_udf("binary")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for column in it:
+            yield pa.array([packer.compress(x.as_buffer()) for x in column], pa.binary())
+
+    return run(payload)
+
+
+def _unpack(packed: str) -> Column:
+    @F.arrow_udf("binary")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        unpacker = zstandard.ZstdDecompressor()
+        for column in it:
+            yield pa.array([unpacker.decompress(x.as_buffer()) for x in column], pa.binary())
+
+    return run(packed)
+
+
 @dataclass(frozen=True)
 class Archive:
     """Folders of an archive: payload bytes once a digest, and headers of every record."""
@@ -45,13 +68,12 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
     archive = Archive(new_path(spark, "payloads"), new_path(spark, "headers"))
-    lean = rows.drop("payload")
-    holders = lean.groupBy("digest").agg(F.max("page_id").alias("holder"))
-    kept = holders.select(F.col("digest").alias("held"), "holder")
-    first = rows.join(kept, F.col("page_id").eqNullSafe(F.col("holder")) & (F.col("digest") == F.col("held"))).select("digest", "payload")
-    first.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(archive.payloads)
+    stored = rows.select("digest", "page_id", _pack("payload").alias("packed")).groupBy("digest").agg(F.max("page_id").alias("holder"), F.any_value("packed").alias("packed"))
+    stored.write.parquet(archive.payloads)
+    holders = spark.read.schema("digest string, holder long").parquet(archive.payloads)
+    lean = rows.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     placed = lean.join(holders, "digest")
     revisit = (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("holder"))
     fields = [
@@ -78,23 +100,23 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     """header and payload of every original record; a revisit's payload is empty."""
     headers = spark.read.schema("digest string, header string").parquet(archive.headers)
-    payloads = spark.read.schema("digest string, payload binary").parquet(archive.payloads)
-    carrying = headers.filter("digest is not null").join(payloads, "digest").select("header", "payload")
+    payloads = spark.read.schema("digest string, packed binary").parquet(archive.payloads)
+    carrying = headers.filter("digest is not null").join(payloads, "digest").select("header", _unpack("packed").alias("payload"))
     return carrying.unionByName(headers.filter("digest is null").select("header", F.lit(b"").alias("payload")))
 
 
-def export_warc(records: DataFrame, target_bytes: int = 32 << 20) -> str:
+def export_warc(records: DataFrame, mean_bytes: int, target_bytes: int = 16 << 20) -> str:
     """Write records as gzipped WARC files of about target_bytes each and return their folder.
 
     A record is header, payload and two line ends. Payloads are UTF-8, so
-    Spark's text writer puts the bytes out as they are.
+    Spark's text writer puts the bytes out as they are, from the partitions in
+    which the records are. The mean size of a record sets how many a file gets.
     """
     spark = records.sparkSession
     path = new_path(spark, "warc")
-    total = records.agg(F.sum(F.octet_length("payload") + F.octet_length("header")).alias("n")).first().n or 0
     whole = F.concat(F.col("header"), F.decode("payload", "UTF-8"))
-    files = max(1, -(-int(total) // target_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) >> 20))
-    records.select(whole.alias("value")).repartition(files).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
+    out = records.select(whole.alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip")
+    out.option("maxRecordsPerFile", max(1, target_bytes // max(1, mean_bytes))).text(path)
     return path
 
 
@@ -145,7 +167,8 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     archive = write_archive(pages)
-    folder = export_warc(read_records(spark, archive))
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    folder = export_warc(read_records(spark, archive), int(mean) + 600)
     for stored in (archive.payloads, archive.headers):
         drop(spark.read.parquet(stored))
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
