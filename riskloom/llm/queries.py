@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskloom.llm.decontaminate import op2_decontamination
 from riskloom.llm.licenses import op10_licenses
 from riskloom.llm.mixing import op4_mixing
 from riskloom.llm.neardup import op5_neardup
@@ -13,6 +14,7 @@ from riskloom.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_tokens": op1_tokens,
+    "op2_decontamination": op2_decontamination,
     "op3_suffixes": op3_suffixes,
     "op4_mixing": op4_mixing,
     "op5_neardup": op5_neardup,
