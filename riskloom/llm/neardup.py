@@ -138,79 +138,122 @@ class _Search:
         self.n, self.percent, self.miss = n, percent, miss
         self.links: DataFrame | None = None
 
-    def verify(self, pairs: DataFrame, pruned: bool = False) -> None:
-        """Add to links the pairs (a, b) that are similar; each pair is checked once."""
-        if not pruned:
-            one = self.sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-            two = self.sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-            pairs = pairs.join(two, "b").join(one, "a").filter(_unpruned(self.percent, self.miss)("sig_a", "sig_b")).select("a", "b")
-        pairs = materialise(pairs.distinct(), "pairs")
+    def verify(self, pairs: DataFrame) -> None:
+        """Make links of the pairs (a, b) that are similar."""
+        one = self.sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+        two = self.sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+        pairs = pairs.join(two, "b").join(one, "a").filter(_unpruned(self.percent, self.miss)("sig_a", "sig_b")).select("a", "b")
+        pairs = materialise(pairs, "pairs")
         one = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         two = self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         found = pairs.join(two, "b").join(one, "a").filter(_similar(self.n, self.percent)("text_a", "text_b")).select("a", "b")
-        found = materialise(found, "links")
+        self.links = materialise(found, "links")
         drop(pairs)
-        self.links = found if self.links is None else self.links.unionByName(found)
 
-    def strays(self) -> tuple[DataFrame, DataFrame]:
-        """(placed, strays): members of buckets that still hold several components, and those outside the bucket's largest one."""
+    def finish(self, few: int = 256, many: int = 512) -> None:
+        """Link what is still apart in a bucket, exactly and without a row per pair.
+
+        The largest component of a bucket is its main one; members outside it
+        are strays. Each member of buckets with one main component is written as
+        what it shares with the text that the component is named after, one bit
+        a shingle, and what it has besides. From blocks of strays and of members
+        two such forms give the exact intersection: bits first, which bound it,
+        then the rest. One link for each stray and other component is enough.
+        """
         components = connected_components(self.links)
         placed = self.members.join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
         placed = materialise(placed.join(several, "key"), "placed")
-        sizes = placed.groupBy("key", "c").count()
-        main = sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        return placed, materialise(placed.join(main, "key"), "strays")
-
-    def star_round(self, leaders: int, round_: int) -> None:
-        """Compare strays with a few members of their bucket's largest component, picked by hash."""
-        placed, strays = self.strays()
-        h = F.xxhash64("id", F.lit(round_))
-        inner = strays.filter("c = main").withColumn("slot", F.pmod(h, F.lit(leaders)))
-        chosen = inner.groupBy("key", "slot").agg(F.min_by("id", h).alias("leader")).select("key", "leader")
-        pairs = strays.filter("c <> main").join(chosen, "key").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        self.verify(pairs)
+        main = placed.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+        groups = materialise(placed.join(main, "key").select("main", "id", "c").distinct(), "groups")
         drop(placed)
-        drop(strays)
+        named = self.texts.select(F.col("id").alias("main"), F.col("text").alias("main_text"))
+        coded = groups.join(self.texts.select("id", "text"), "id").join(named, "main").select("main", "id", "c", _coded(self.n)("text", "main_text").alias("code"))
+        coded = materialise(coded.select("main", "id", "c", "code.*"), "coded")
+        sizes = coded.groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("c") != F.col("main")).alias("out"))
+        dealt = coded.join(sizes, "main")
+
+        def packed(rows: DataFrame, n: str, block: int, name: str) -> DataFrame:
+            number = F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / block))
+            return rows.withColumn(f"{name}_no", number).groupBy("main", f"{name}_no").agg(F.collect_list(F.struct("id", "c", "size", "common", "extra")).alias(name))
+
+        left = packed(dealt.filter("c <> main"), "out", few, "strays")
+        right = packed(dealt, "all", many, "members")
+        spread = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = left.join(right, "main").repartition(spread, "main", "strays_no", "members_no")
+        found = pairs.select(F.explode(_linked(self.percent)("strays", "members")).alias("l")).select("l.a", "l.b")
+        found = materialise(found, "links")
+        drop(groups)
+        drop(coded)
+        self.links = self.links.unionByName(found)
 
-    def finish(self, block: int = 256) -> None:
-        """Compare what strays are left with every member of another component.
 
-        A bucket's strays are packed in blocks with their signatures, so the
-        plan has a row for each member and block, not one for each pair.
-        """
-        placed, strays = self.strays()
-        least = least_matches(self.percent, self.miss)
-        outside = strays.filter("c <> main").join(self.sigs, "id")
-        dealt = outside.withColumn("n", F.count("*").over(_by("key"))).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
-        packed = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "c", "sig")).alias("others"))
+CODE = T.StructType([T.StructField("size", T.LongType()), T.StructField("common", T.BinaryType()), T.StructField("extra", T.BinaryType())])
+LINK = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
 
-        kind = "array<long>"
+def _coded(n: int):
+    """UDF: a text's set as bits over another text's sorted set, and the shingles besides."""
 
-        @F.arrow_udf(kind)
-        def near(ids: pa.Array, parts: pa.Array, sigs: pa.Array, others: pa.Array) -> pa.Array:
+    @F.arrow_udf(CODE)
+    def run(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last, base = None, np.zeros(0, np.uint64)
+        for texts, mains in it:
             out = []
-            for i, c, s, o in zip(ids.to_pylist(), parts.to_pylist(), sigs.to_pylist(), others, strict=True):
-                held = o.values
-                theirs = _matrix(held.field("sig"))
-                mine = np.broadcast_to(np.frombuffer(s, np.uint32), theirs.shape)
-                names, comps = held.field("id").to_numpy(), held.field("c").to_numpy()
-                ok = np.zeros(len(names), bool)
-                ok[may_be_similar(mine, theirs, least)] = True
-                out.append(names[ok & (comps != c) & (names != i)].tolist())
-            return pa.array(out, pa.list_(pa.int64()))
-
-        rows = placed.join(self.sigs, "id").join(packed, "key")
-        pairs = rows.select("id", F.explode(near("id", "c", "sig", "others")).alias("other"))
-        self.verify(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), pruned=True)
-        drop(placed)
-        drop(strays)
+            for x, y in zip(texts, mains, strict=True):
+                if (name := y.as_py().encode()) != last:
+                    last, base = name, shingle_sets([name], n)[0]
+                own = shingle_sets([x.as_py().encode()], n)[0]
+                out.append((len(own), np.packbits(np.isin(base, own, assume_unique=True)).tobytes(), np.setdiff1d(own, base, assume_unique=True).tobytes()))
+            cols = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], CODE.names)
+
+    return run
+
+
+def _block(rows: pa.StructArray) -> tuple:
+    """Ids, components, sizes, bits, maps of the rest, repeats in the maps and the rest of a block."""
+    common = [np.frombuffer(c, np.uint8) for c in rows.field("common").to_pylist()]
+    wide = -(-max(map(len, common)) // 8) * 8
+    bits = np.zeros((len(common), wide), np.uint8)
+    for i, c in enumerate(common):
+        bits[i, : len(c)] = c
+    extra = [np.frombuffer(e, np.uint64) for e in rows.field("extra").to_pylist()]
+    maps, over = np.zeros((len(extra), 256), np.uint8), np.zeros(len(extra), np.int64)
+    for i, e in enumerate(extra):
+        slots = np.unique((e >> np.uint64(53)).astype(np.int64))
+        np.bitwise_or.at(maps[i], slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+        over[i] = len(e) - len(slots)
+    return rows.field("id").to_numpy(), rows.field("c").to_numpy(), rows.field("size").to_numpy(), bits.view(np.uint64), maps.view(np.uint64), over, extra
 
 
-def _by(key: str):
-    from pyspark.sql import Window
+def _linked(percent: int):
+    """UDF: links between strays and members of other components, one for each stray and component at most."""
 
-    return Window.partitionBy(key)
+    @F.arrow_udf(LINK)
+    def run(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lefts, rights in it:
+            out = []
+            for left, right in zip(lefts, rights, strict=True):
+                ids, comps, sizes, bits, maps, over, extra = _block(right.values)
+                links = []
+                for i, c, size, b, m, o, e in zip(*_block(left.values), strict=True):
+                    common = np.bitwise_count(bits & b).sum(1, dtype=np.int64)
+                    bound = common + np.bitwise_count(maps & m).sum(1, dtype=np.int64) + np.minimum(over, o)
+                    bound = np.minimum(bound, np.minimum(sizes, size))
+                    open_ = np.flatnonzero((100 * bound >= percent * (sizes + size - bound)) & (comps != c) & (ids != i))
+                    done = set()
+                    for k in open_[np.argsort(-bound[open_], kind="stable")].tolist():
+                        if comps[k] in done:
+                            continue
+                        both = common[k] + len(np.intersect1d(e, extra[k], assume_unique=True))
+                        if 100 * both >= percent * (size + sizes[k] - both):
+                            done.add(comps[k])
+                            links.append({"a": int(i), "b": int(ids[k])})
+                out.append(links)
+            yield pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,14 +262,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     Sets are equal where digests are: such rows form a class, and its smallest
     id stands for it. Classes that share a band of the signature are candidates.
     A bucket of many classes is not expanded into pairs: all compare with its
-    smallest id, then those that are not in its largest component with a few
-    others of it, and what still lies in different components in full, by
-    signature. So a link between components is never missed, but for the odds
-    of the bands and `miss`, the chance at which Bayesian pruning may drop a
-    similar pair; every link is confirmed on the full sets.
+    smallest id, by signature batches and then exactly, and what still lies in
+    different components is compared in full, in blocks. So a link between
+    components is missed only by the odds of the bands; `miss` is the chance at
+    which Bayesian pruning may drop a similar pair of the first step. Every link
+    is confirmed on the full sets.
 
     A text with fewer than n words is one shingle; without words it is linked
-    with nothing and stands alone. Rows of one id are one document. A null id
+    with nothing and stands alone. Rows of one id are one document, compared by
+    the least of their texts. A null id
     comes after all others; a component of nulls only has a null id.
     """
     lean = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
@@ -239,12 +283,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     buckets = dealt.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key", "leader")
     members = materialise(dealt.join(buckets, "key"), "members")
     wanted = materialise(members.select("id").distinct(), "wanted")
-    sigs = materialise(nodes.join(wanted, "id").dropDuplicates(["id"]), "sigs")
-    texts = materialise(lean.join(wanted, "id"), "texts")
+    sigs = materialise(nodes.join(wanted, "id").groupBy("id").agg(F.min("sig").alias("sig")), "sigs")
+    texts = materialise(lean.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
     search = _Search(members.select("key", "id"), sigs, texts, n, percent, miss)
     search.verify(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    search.star_round(8, 1)
-    search.star_round(8, 2)
     search.finish()
     components = materialise(connected_components(search.links), "components")
     for done in (texts, sigs, members, wanted):
