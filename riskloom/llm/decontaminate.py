@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.scratch import drop, materialise
-from riskloom.llm.words import ALNUM, batches, word_hashes
+from riskloom.llm.words import ALNUM, batches, lower, word_hashes
 
 #: Scores of an alignment of words.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -31,7 +31,7 @@ class Items:
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Items:
-        hashes, first, _, _ = word_hashes([(t or "").encode() for _, t in rows], ALNUM)
+        hashes, first, _, _ = word_hashes([lower((t or "").encode()) for _, t in rows], ALNUM)
         vocabulary = np.unique(hashes)
         numbers = np.searchsorted(vocabulary, hashes)
         words = [numbers[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -67,7 +67,7 @@ def find_windows(texts: list[bytes], items: Items) -> Iterator[tuple[int, list[i
     length, share a window; one needs two different seeds. Any alignment at 0.6
     of an item's full score holds three seeds of it at least.
     """
-    hashes, first, _, _ = word_hashes(texts, ALNUM)
+    hashes, first, _, _ = word_hashes([lower(t) for t in texts], ALNUM)
     if not len(hashes) or not len(items.seeds):
         return
     at = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
@@ -138,7 +138,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iter
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, common: float = 0.01, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """(id_col, text_hash, item_col, score): texts that hold a test item, or an edited copy.
 
-    Words are runs of ASCII letters, digits and bytes over 0x7F, A-Z folded. The
+    Words are runs of ASCII letters, digits and bytes over 0x7F, in lower case. The
     benchmark goes over all texts in blocks of bounded size. Seeds are an item's
     runs of three words. How many texts hold a seed is counted over the corpus;
     one in more than `common` of all texts and over four times the median of its

@@ -6,6 +6,7 @@ from riskloom.llm.decontaminate import op2_decontamination
 from riskloom.llm.licenses import op10_licenses
 from riskloom.llm.mixing import op4_mixing
 from riskloom.llm.neardup import op5_neardup
+from riskloom.llm.quality import op7_quality
 from riskloom.llm.sharding import op8_sharding
 from riskloom.llm.suffixes import op3_suffixes
 from riskloom.llm.tokens import op1_tokens
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_neardup": op5_neardup,
     "op6_warc": op6_warc,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_vectors": op9_vectors,
     "op10_licenses": op10_licenses,

@@ -149,3 +149,8 @@ def batches(texts: Sequence, most: int = 4 << 20) -> Iterator[tuple[int, list[by
         size += len(b)
     if held:
         yield start, held
+
+
+def lower(text: bytes) -> bytes:
+    """Lower case of all letters, not only of A-Z."""
+    return text if text.isascii() else text.decode().lower().encode()
