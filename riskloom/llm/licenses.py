@@ -223,7 +223,7 @@ RESULT = T.StructType(
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, least: int = 4, cover: float = 0.6, text_col: str = "text") -> DataFrame:
-    """Add a struct `license` to docs: counts, labels, best coverage and spans.
+    """Add a struct `license` to docs (in place of one): counts, labels, best coverage and spans.
 
     Words are runs of ASCII letters, digits and bytes over 0x7F, A-Z folded.
     Phrases are found at all their places. Texts then stream through a suffix

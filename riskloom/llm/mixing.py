@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.prefix import global_prefix, with_row_id
-from riskloom.llm.scratch import materialise
+from riskloom.llm.scratch import fresh, materialise
 
 
 def word_count(text: Column) -> Column:
@@ -66,17 +66,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int =
 
     Columns are those of docs. Empty tables give empty tables.
     """
-    columns = docs.columns
-    rows = with_row_id(docs.withColumn("_words", word_count(F.col("text"))))
-    lean = rows.select("_uid", "doc_id", "source", F.col("_words").alias("size"))
-    taken = sample_copies(lean, weights, most, seed).filter("copies > 0").select("_uid", "copies")
-    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return rows.join(taken, "_uid").withColumn("_copy", every).select(*(F.col(f"`{c}`") for c in columns))
+    uid, copies = fresh(docs, "_uid"), fresh(docs, "_copies")
+    rows = with_row_id(docs, uid)
+    lean = rows.select(F.col(uid).alias("_uid"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    taken = sample_copies(lean, weights, most, seed).filter("copies > 0")
+    every = F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(copies)
+    return rows.join(taken.select(F.col("_uid").alias(uid), every), uid).withColumn(copies, F.explode(copies)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = with_row_id(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = with_row_id(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "_uid")
     out = sample_copies(sized)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

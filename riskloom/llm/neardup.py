@@ -8,7 +8,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,14 @@ HASHES = BANDS * ROWS
 BATCH = 32
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _C = mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_NO_ID = (1 << 63) - 1
+#: Ids from here on stand for texts without one.
+_NAMELESS = 1 << 62
+
+
+def row_id(doc_id: Column, text: Column) -> Column:
+    """doc_id, or for null a number of the text beyond all ids."""
+    number = F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(_NAMELESS)) + F.lit(_NAMELESS)
+    return F.coalesce(doc_id.cast("long"), number)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -256,7 +263,7 @@ def _linked(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", nameless: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id): components of texts whose n-word shingle sets are similar.
 
     Sets are equal where digests are: such rows form a class, and its smallest
@@ -270,10 +277,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
 
     A text with fewer than n words is one shingle; without words it is linked
     with nothing and stands alone. Rows of one id are one document, compared by
-    the least of their texts. A null id
-    comes after all others; a component of nulls only has a null id.
+    the least of their texts; ids are under 2**62. Of null ids each text is a
+    document, after all others; a component of nulls only has a null id, or with `nameless` a number of its text.
     """
-    lean = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    lean = docs.select(row_id(F.col(id_col), F.col(text_col)).alias("id"), F.col(text_col).alias("text"))
     found = materialise(lean.select("id", _described(n)("text").alias("d")).select("id", "d.*"), "described")
     classes = materialise(found.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     held = classes.select(F.col("digest").alias("rep_digest"), "rep")
@@ -293,7 +300,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
         drop(done)
     of = found.select("id", "n", "digest").join(classes, "digest", "left").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
     smallest = F.coalesce("component", "rep", "id")
-    clean = lambda c: F.when(c != _NO_ID, c)
+    clean = lambda c: c if nameless else F.when(c < _NAMELESS, c)
     return of.select(clean(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), clean(smallest).alias("component_id"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.scratch import materialise
 
 
-def with_row_id(df: DataFrame, name: str = "_uid") -> DataFrame:
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Rows with a number of their own that no recomputation changes.
 
     Repeated rows get different numbers, so they can be ranked and joined back.

@@ -278,19 +278,21 @@ def _with_gold(pattern: str, place: int, bad):
     return (F.col(pattern) + F.coalesce(bad.cast("int"), F.lit(2)) * 3**place).alias(pattern)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, threshold: float = 0.5) -> DataFrame:
-    """Add junk and abuse, the odds of each, and kept: both are under the threshold.
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, threshold: float = 0.5, name: str = "quality") -> DataFrame:
+    """Add a struct `name` (in place of one): junk and abuse, the odds of each, and kept: both are under the threshold.
 
-    docs must not have columns of these names. Null and empty texts have no
+    Null and empty texts have no
     words; they are scored by the biases, and so kept unless bad ones prevail.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-    scored = docs.withColumn("_s", _scored(sent)("text"))
-    return scored.select(*(F.col(f"`{c}`") for c in docs.columns), "_s.junk", "_s.abuse", ((F.col("_s.junk") < threshold) & (F.col("_s.abuse") < threshold)).alias("kept"))
+    scored = docs.withColumn(name, _scored(sent)("text"))
+    kept = (F.col(f"{name}.junk") < threshold) & (F.col(f"{name}.abuse") < threshold)
+    return scored.withColumn(name, F.col(name).withField("kept", kept))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents, and which of them are kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.select("doc_id", "kept", F.round(1 - F.greatest("junk", "abuse"), 6).alias("score"), F.round("junk", 6).alias("junk"), F.round("abuse", 6).alias("abuse"))
+    junk, abuse = F.col("quality.junk"), F.col("quality.abuse")
+    return scored.select("doc_id", "quality.kept", F.round(1 - F.greatest(junk, abuse), 6).alias("score"), F.round(junk, 6).alias("junk"), F.round(abuse, 6).alias("abuse"))

@@ -32,6 +32,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet and read it back.
 

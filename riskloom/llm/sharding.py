@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.prefix import global_prefix, with_row_id
-from riskloom.llm.scratch import materialise
+from riskloom.llm.scratch import fresh, materialise
 
 
 def byte_size(text: Column) -> Column:
@@ -15,22 +15,22 @@ def byte_size(text: Column) -> Column:
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add _shard and _slot: contiguous runs of rows in id order, near equal bytes.
+    """Add shard and slot (in place of columns of these names): contiguous runs of rows in id order, near equal bytes.
 
     Sizes are prefix-summed over all rows in id order (null ids first, equal ids
     in any but a fixed order). A row goes where the middle of its bytes falls
     among n_shards equal targets, so a shard misses its target by at most one
     row at each end. Slots count a shard's rows from 0 without gaps. Null and
     empty texts have size 1; an empty table gives no rows. Any columns may come
-    along, but for names that begin with an underscore; text goes only through
-    the write and the final join, never through the sort.
+    along; text goes only through the write and the final join, never through
+    the sort.
     """
-    rows = with_row_id(docs.withColumn("_size", byte_size(F.col(text_col))))
-    lean = rows.select("_uid", F.col(id_col).alias("_id"), "_size", F.lit(1).cast("long").alias("_one"))
-    placed = _place(lean, n_shards)
-    if set(docs.columns) <= {id_col, text_col}:
-        return rows.join(placed, "_uid").drop("_uid", "_size")
-    return rows.join(placed.select("_uid", "_shard", "_slot"), "_uid").drop("_uid", "_size")
+    uid = fresh(docs, "_uid")
+    rows = with_row_id(docs, uid)
+    lean = rows.select(F.col(uid).alias("_uid"), F.col(id_col).alias("_id"), byte_size(F.col(text_col)).alias("_size"), F.lit(1).cast("long").alias("_one"))
+    placed = _place(lean, n_shards).select(F.col("_uid").alias(uid), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return rows.select(uid, *(F.col(f"`{c}`") for c in kept)).join(placed, uid).drop(uid)
 
 
 def _place(lean: DataFrame, n_shards: int) -> DataFrame:
@@ -52,7 +52,7 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
         byte_size(text).alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
     )
-    rows = with_row_id(lean)
+    rows = with_row_id(lean, "_uid")
     placed = _place(rows.select("_uid", F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "doc_id", "size", "text_crc32", F.lit(1).cast("long").alias("_one")), 16)
     return placed.select(
         "doc_id",

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.scratch import drop, materialise
+from riskloom.llm.scratch import drop, fresh, materialise
 from riskloom.llm.words import _VALUES, mix, powers
 
 _GRAM = 32
@@ -307,20 +307,19 @@ def text_hash(text: Column) -> Column:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", group: int = 8192, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
-    """Add _removed: n_removed, n_spans, kept_sha256 and, if asked, the bytes kept.
+    """Add _removed (in place of one): n_removed, n_spans, kept_sha256 and, if asked, the bytes kept.
 
     Texts are bytes in UTF-8, null is empty, matches never cross texts. See
     repeated_spans() for what is removed. Rows that repeat id and text are
     copies of each other; a null id counts as the smallest. Texts under
     `length` bytes, and empty tables, come back whole. Columns of docs stay.
     """
-    keyed = docs.withColumns({"id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "t": text_hash(F.col(text_col))}) if not {"id", "t"} & set(docs.columns) else None
-    if keyed is None:
-        raise ValueError("docs must not have columns named id or t")
-    lean = keyed.select("id", "t", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = materialise(repeated_spans(lean, length, keep, group), "spans")
-    joined = keyed.join(spans.hint("shuffle_hash"), ["id", "t"], "left")
-    return joined.withColumn("_removed", _remove(with_bytes)(F.col(text_col), "spans")).drop("id", "t", "spans")
+    i, t, held = (fresh(docs, n) for n in ("_id", "_t", "_spans"))
+    keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), t: text_hash(F.col(text_col))})
+    lean = keyed.select(F.col(i).alias("id"), F.col(t).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spans = materialise(repeated_spans(lean, length, keep, group), "spans").select(F.col("id").alias(i), F.col("t").alias(t), F.col("spans").alias(held))
+    joined = keyed.join(spans.hint("shuffle_hash"), [i, t], "left")
+    return joined.withColumn("_removed", _remove(with_bytes)(F.col(text_col), held)).drop(i, t, held)
 
 
 def op3_suffixes(spark, sf_dir: str) -> DataFrame:

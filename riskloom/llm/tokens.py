@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.scratch import fresh
+
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pieces of a text whose prefixes fall apart into other pieces than a prefix of them.
@@ -227,7 +229,7 @@ def _read(spark, path: str):
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, text_col: str = "text", table: bool = False) -> DataFrame:
-    """Add token_count, cut_chars and, if asked, token_steps to docs.
+    """Add token_count, cut_chars and, if asked, token_steps to docs (in place of such columns).
 
     token_count is that of the whole text under the library's defaults, without
     begin, end or other added tokens; cut_chars is the number of characters of
@@ -251,9 +253,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, text_c
                 steps.append(np.diff(counts).astype(np.int8).tobytes() if table else None)
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(cut, pa.int64()), pa.array(steps, pa.binary())], ["token_count", "cut_chars", "token_steps"])
 
-    counted = docs.withColumn("_t", F.arrow_udf(run, kind)(F.col(text_col)))
+    t = fresh(docs, "_t")
+    counted = docs.withColumn(t, F.arrow_udf(run, kind)(F.col(text_col)))
     names = ["token_count", "cut_chars", *["token_steps"] * table]
-    return counted.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"_t.{n}").alias(n) for n in names))
+    kept = [c for c in docs.columns if c.lower() not in names]
+    return counted.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"{t}.{n}").alias(n) for n in names))
 
 
 def tokens_at(steps: Column, n_chars: Column) -> Column:
