@@ -37,7 +37,8 @@ SHAPES = {
 }
 #: Steps of the shape features.
 STEPS = np.array([0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7])
-FEATURES = BINS + len(SHAPES) * len(STEPS)
+#: Then: an insult, a mined word, two mined words.
+MARKS = BINS + len(SHAPES) * len(STEPS)
 JUNK, ABUSE = [*SHAPES, "gold"], ["insults", "mined", "mined_often", "gold"]
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"%&*$#@^~+=<>{}[]\\", np.uint8))
 _UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
@@ -76,10 +77,16 @@ def shape_votes(shapes: np.ndarray) -> np.ndarray:
     return np.where(shapes >= np.array(list(SHAPES.values())), 1, 2).astype(np.int64)
 
 
-def features(shapes: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """All binary features of one text: its word bins and the steps that its shapes reach."""
+def features(shapes: np.ndarray, bins: np.ndarray, insults: int) -> np.ndarray:
+    """Binary features of one text: its word bins, the steps that its shapes reach, and whether it holds an insult."""
     steps = np.flatnonzero((shapes[:, None] >= STEPS[None, :]).ravel())
-    return np.concatenate((bins, BINS + steps))
+    return np.concatenate((bins, BINS + steps, [MARKS] * int(insults > 0))).astype(np.int32)
+
+
+def with_mined(found: list[np.ndarray], mined: np.ndarray) -> list[np.ndarray]:
+    """Features with the marks of mined words."""
+    hits = [np.isin(f, mined, assume_unique=True).sum() for f in found]
+    return [np.append(f, [MARKS + 1, MARKS + 2][: min(int(h), 2)]).astype(np.int32) for f, h in zip(found, hits, strict=True)]
 
 
 def pattern_of(votes: np.ndarray) -> np.ndarray:
@@ -157,41 +164,48 @@ class Scorer:
             p = (bad + 0.01) / (n + 1)
             return cls(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
         flat = np.concatenate(found)
-        owner = np.repeat(np.arange(n), [len(f) for f in found])
-        names, place, held = np.unique(flat, return_inverse=True, return_counts=True)
-        with_bad = np.bincount(place, label[owner])
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in found])
+        held, with_bad = _counts(flat, label[owner])
         p1, p0 = with_bad / bad, (held - with_bad) / (n - bad)
         z = (p1 - p0) / np.sqrt(p1 * (1 - p1) / bad + p0 * (1 - p0) / (n - bad) + 1 / (n * n) + 1e-12)
         pure = (with_bad >= 5) & (with_bad >= 0.8 * held)
         z = np.where(pure, np.maximum(z, 4), z)
         keep = np.flatnonzero((np.abs(z) >= 4) & (held >= 5))
         keep = np.sort(keep[np.argsort(-np.abs(z[keep]), kind="stable")[:most]])
-        slot = np.full(len(names), -1)
+        slot = np.full(len(held), -1, np.int32)
         slot[keep] = np.arange(len(keep))
-        x = np.zeros((n, len(keep) + 1))
+        x = np.zeros((n, len(keep) + 1), np.float32)
         x[:, -1] = 1
-        used = slot[place] >= 0
-        x[owner[used], slot[place[used]]] = 1
+        used = slot[flat] >= 0
+        x[owner[used], slot[flat[used]]] = 1
         w = np.zeros(len(keep) + 1)
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-3
         for _ in range(12):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (label - p) - penalty * w)
+            bend = np.zeros((len(w), len(w)))
+            for a in range(0, n, 1000):  # in parts, so that no second copy of x is held
+                part = x[a : a + 1000].astype(float)
+                bend += (part * (p * (1 - p))[a : a + 1000, None]).T @ part
+            step = np.linalg.solve(bend + np.diag(penalty), x.T @ (label - p) - penalty * w)
             w += np.clip(step, -3, 3)
             if np.abs(step).max() < 1e-4:
                 break
-        return cls(names[keep], w[:-1], float(w[-1]))
+        return cls(keep, w[:-1], float(w[-1]))
 
 
 def mined_bins(found: list[np.ndarray], abusive: np.ndarray) -> np.ndarray:
     """Word bins that stand nearly only in texts known as abusive."""
     if not abusive.any():
         return np.zeros(0, np.int64)
-    names, place, held = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    hits = np.bincount(place, abusive[owner].astype(float))
-    return names[(names < BINS) & (hits >= 5) & (hits >= 0.85 * held)]
+    owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+    held, hits = _counts(np.concatenate(found), abusive[owner].astype(np.float32))
+    return np.flatnonzero((hits >= 4) & (hits >= 0.85 * held) & (np.arange(len(held)) < BINS))
+
+
+def _counts(flat: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each feature is held, and the weight of its holders."""
+    return np.bincount(flat, minlength=MARKS + 3), np.bincount(flat, weight, minlength=MARKS + 3)
 
 
 _DESCRIBED = T.StructType([T.StructField("junk", T.IntegerType()), T.StructField("abuse", T.IntegerType()), T.StructField("features", T.ArrayType(T.IntegerType()))])
@@ -208,7 +222,7 @@ def _described(mined, with_features: bool):
                 hits = np.array([np.isin(b, lexicon, assume_unique=True).sum() for b in bins])
                 junk += pattern_of(shape_votes(shapes)).tolist()
                 abuse += pattern_of(np.stack((np.where(insults > 0, 1, 2), np.where(hits > 0, 1, 2), np.where(hits > 1, 1, 2)), 1)).tolist()
-                found += [features(s, b) for s, b in zip(shapes, bins, strict=True)] if with_features else [None] * len(some)
+                found += [features(*x) for x in zip(shapes, bins, insults, strict=True)] if with_features else [None] * len(some)
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()))
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip((junk, abuse, found), kinds, strict=True)], _DESCRIBED.names)
 
@@ -220,12 +234,11 @@ def _scored(sent):
 
     @F.arrow_udf(kind)
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        junk, abuse = sent.value
+        junk, abuse, mined = sent.value
         for texts in it:
             a, b = [], []
             for _, some in batches(texts, 1 << 20):
-                shapes, bins, _ = describe(some)
-                found = [features(s, x) for s, x in zip(shapes, bins, strict=True)]
+                found = with_mined([features(*x) for x in zip(*describe(some), strict=True)], mined)
                 a += junk.score(found).tolist()
                 b += abuse.score(found).tolist()
             yield pa.StructArray.from_arrays([pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["junk", "abuse"])
@@ -233,8 +246,8 @@ def _scored(sent):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[Scorer, Scorer]:
-    """Scorers of junk and abuse.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000) -> tuple[Scorer, Scorer, np.ndarray]:
+    """Scorers of junk and abuse, and the bins of words mined for abuse.
 
     `sample` bounds the labelled documents on which words are mined and the
     scorers trained; they are picked by a hash of their id. Votes, and the
@@ -253,12 +266,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[Score
     if n_known:
         picked = lean.join(F.broadcast(known.filter(part)), "doc_id")  # about `sample` rows of 24 bytes
     else:
-        picked = lean.filter(part).withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
+        picked = lean.filter("doc_id is not null").filter(part).withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     taken = materialise(picked.withColumn("d", _described(nothing, True)("text")).select("doc_id", "quality", "toxic", "d.features"), "sample")
     table = taken.orderBy("doc_id").toArrow()  # about `sample` rows of word bins
-    found = [np.asarray(f.values, np.int64) for f in table["features"]] if table.num_rows else []
+    found = [f.values.to_numpy() for f in table["features"]] if table.num_rows else []
     toxic = np.array([t == 1 for t in table["toxic"].to_pylist()], bool)
-    mined = spark.sparkContext.broadcast(mined_bins(found, toxic))
+    lexicon = mined_bins(found, toxic)
+    mined = spark.sparkContext.broadcast(lexicon)
+    found = with_mined(found, lexicon)
     votes = lean.withColumn("d", _described(mined, False)("text")).select("doc_id", "d.junk", "d.abuse")
     votes = materialise(votes.join(known, "doc_id", "left").select("doc_id", _with_gold("junk", len(SHAPES), 1 - F.col("quality")), _with_gold("abuse", 3, F.col("toxic"))), "votes")
     labelled = {}
@@ -268,17 +283,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[Score
     mine = taken.select("doc_id").distinct().join(votes, "doc_id").groupBy("doc_id").agg(F.max("junk").alias("junk"), F.max("abuse").alias("abuse")).toArrow()
     of = {d: (j, a) for d, j, a in zip(*(mine[c].to_pylist() for c in ("doc_id", "junk", "abuse")), strict=True)}
     pairs = [of[d] for d in table["doc_id"].to_pylist()]
-    out = tuple(Scorer.fit(found, labelled[name][np.array([p[k] for p in pairs], np.int64)]) for k, name in enumerate(("junk", "abuse")))
+    junk, abuse = (Scorer.fit(found, labelled[name][np.array([p[k] for p in pairs], np.int64)]) for k, name in enumerate(("junk", "abuse")))
     for done in (known, taken, votes):
         drop(done)
-    return out
+    return junk, abuse, lexicon
 
 
 def _with_gold(pattern: str, place: int, bad):
     return (F.col(pattern) + F.coalesce(bad.cast("int"), F.lit(2)) * 3**place).alias(pattern)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, threshold: float = 0.5, name: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 8_000, threshold: float = 0.5, name: str = "quality") -> DataFrame:
     """Add a struct `name` (in place of one): junk and abuse, the odds of each, and kept: both are under the threshold.
 
     Null and empty texts have no
