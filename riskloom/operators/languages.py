@@ -156,11 +156,15 @@ def code_symbols(files: DataFrame, language: str) -> DataFrame:
     up = Window.partitionBy("file").orderBy(F.desc("line"))
     below = F.sum(F.when(~mark, 1).otherwise(0)).over(up)
     grouped = marked.withColumn("run", below)
-    marks = grouped.filter("mark is not null").groupBy("file", F.col("run").alias("owner")).agg(F.collect_list("mark").alias("attributes"))
-    heads = grouped.filter("name is not null").join(marks.withColumnRenamed("owner", "above"), [grouped.file == marks.file, F.col("run") == F.col("above")], "left").drop(marks.file, "above")
+    marks = grouped.filter("mark is not null").groupBy("file", "run").agg(F.collect_list("mark").alias("attributes"))
+    heads = grouped.filter("name is not null").join(marks, ["file", "run"], "left")
     body = marked.groupBy("file", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n").alias("body"), F.max("line").alias("end_line"))
     out = heads.join(body, ["file", "part"]).withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
-    owner = F.when(F.lit(language in ("go",)), F.regexp_extract("text", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1)).otherwise(F.coalesce("class_name", F.lit("")))
+    owner = F.coalesce("class_name", F.lit(""))
+    if language_name(language) == "go":
+        owner = F.regexp_extract("text", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1)
+    elif language_name(language) == "python":
+        owner = F.when(F.col("text").rlike(r"^\s"), owner).otherwise("")
     owned = out.withColumn("class_name", owner)
     kind = symbol_kind(language, F.col("class_name"), F.col("name"), F.col("file"), F.col("attributes"))
     node = F.concat(F.col("file"), F.lit(":"), F.when(F.col("class_name") != "", F.concat("class_name", F.lit("."))).otherwise(""), F.col("name"))

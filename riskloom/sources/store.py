@@ -42,7 +42,7 @@ def source_tree(spark: SparkSession, root: str, extensions: Sequence[str], skip:
     """path (relative), content of files with these extensions, outside skipped folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lit(root.split("://")[-1].rstrip("/") + "/")
-    rel = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), base, -1)
+    rel = F.call_function("substring_index", F.regexp_replace("path", "^[a-z]+:/*", "/"), base, F.lit(-1))
     kept = files.select(rel.alias("path"), "content").filter(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(*extensions))
     return kept.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*(F.lit(s) for s in skip))))
 
@@ -157,7 +157,7 @@ def vue_script(content: Column) -> Column:
     setup = F.filter(own, lambda t: t.rlike(r"^<script\b[^>]*\bsetup\b"))
     best = F.coalesce(F.try_element_at(setup, F.lit(1)), F.try_element_at(own, F.lit(1)))
     head = F.regexp_extract(best, r"^<script\b[^>]*>", 0)
-    before = F.substring_index(content, best, 1)
+    before = F.call_function("substring_index", content, best, F.lit(1))
     offset = F.length(before) - F.length(F.replace(before, F.lit("\n"))) + F.length(head) - F.length(F.replace(head, F.lit("\n")))
     body = F.regexp_extract(best, r"(?s)^<script\b[^>]*>(.*?)</script>$", 1)
     return F.when(best.isNotNull(), F.struct(body.alias("body"), offset.cast("int").alias("line_offset")))
