@@ -80,3 +80,17 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
     sized = with_row_id(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "_uid")
     out = sample_copies(sized)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, (3 * source_size)::DOUBLE AS cap FROM s),
+l AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, coalesce(sum(w) OVER (ORDER BY cap / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws FROM w),
+v AS (SELECT max(((SELECT sum(source_size) FROM s)::DOUBLE - caps) / ((SELECT sum(w) FROM w) - ws)) AS level FROM l),
+t AS (SELECT source, source_size, least(cap, level * w) AS target FROM w CROSS JOIN v),
+r AS (SELECT d.*, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) - 1 AS rank,
+  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, CAST('0x' || substr(md5('17:' || coalesce('=' || d.source, '')), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS o FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, least(3, CAST(floor(rate * (rank + 1) + o) - floor(rate * rank + o) AS BIGINT)) AS copies FROM r)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM c
+"""

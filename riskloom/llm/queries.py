@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from riskloom.llm.decontaminate import op2_decontamination
 from riskloom.llm.licenses import op10_licenses
-from riskloom.llm.mixing import op4_mixing
-from riskloom.llm.neardup import op5_neardup
+from riskloom.llm.mixing import OP4_SQL, op4_mixing
+from riskloom.llm.neardup import OP5_SQL, op5_neardup
 from riskloom.llm.quality import op7_quality
-from riskloom.llm.sharding import op8_sharding
-from riskloom.llm.suffixes import op3_suffixes
+from riskloom.llm.sharding import OP8_SQL, op8_sharding
+from riskloom.llm.suffixes import OP3_SQL, op3_suffixes
 from riskloom.llm.tokens import op1_tokens
 from riskloom.llm.vectors import OP9_SQL, op9_vectors
 from riskloom.llm.warc import OP6_SQL, op6_warc
@@ -27,6 +27,10 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffixes": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op5_neardup": OP5_SQL,
+    "op8_sharding": OP8_SQL,
     "op6_warc": OP6_SQL,
     "op9_vectors": OP9_SQL,
 }

@@ -63,3 +63,14 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
         F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+OP8_SQL = """
+WITH RECURSIVE step(k, i, c) AS (SELECT k, 0, k FROM range(256) t(k) UNION ALL SELECT k, i + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM step WHERE i < 8),
+crc AS (SELECT list(c ORDER BY k) AS t FROM step WHERE i = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, size, list_reduce(list_transform(range(0, size - 1), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]), 4294967295) AS c FROM d CROSS JOIN crc),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM b),
+s AS (SELECT *, CAST(least(15, (2 * before + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, xor(c, 4294967295) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""

@@ -328,3 +328,17 @@ def op3_suffixes(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(docs, 400, "none", with_bytes=False)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return done.select("doc_id", size.alias("n_bytes"), "_removed.n_removed", "_removed.n_spans", "_removed.kept_sha256")
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 399)) AS p, h FROM d WHERE n >= 400),
+m AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM w),
+c AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM m WHERE k IN (SELECT k FROM m GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT doc_id, p, sum(CASE WHEN gap IS NULL OR gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM c),
+s AS (SELECT doc_id, g, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY doc_id, g),
+t AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM s),
+k AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
