@@ -232,3 +232,56 @@ def summary_comment(findings: DataFrame, *by: str, top: int = 10, seq: str = "se
     heads = risk_counts(findings, *by).join(web_verdicts(findings, *by), list(by))
     head = F.format_string("%s: %d high, %d medium, %d low", "verdict", "n_high", "n_medium", "n_low")
     return heads.join(listed, list(by)).withColumn("body", F.concat_ws("\n", head, "lines"))
+
+
+def issue_mode(human: Column, kind: Column) -> Column:
+    return F.when(F.coalesce(human, F.lit(False)), "manual").when(F.coalesce(kind, F.lit("")).isin("missing_error_handling", "redundant", "dead_code"), "auto").otherwise("assist")
+
+
+def web_issues(items: DataFrame, *by: str, seq: str = "seq") -> DataFrame:
+    """Findings as numbered issues by risk: id, title of 120 characters, mode."""
+    reason = F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason")).otherwise(F.coalesce("description", F.lit("")))
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(risk_rank(F.col("risk"), 3), seq)).cast("long")
+    return items.select("*", number.alias("id"), F.substring(reason, 1, 120).alias("title"), issue_mode(F.col("needs_human_review"), F.col("issue_type")).alias("mode"))
+
+
+def with_candidates(items: DataFrame, queue: DataFrame, keys: Sequence[str] = ("file", "line")) -> DataFrame:
+    """Findings with the id and mode of the first candidate of their file and line, null for none."""
+    first = queue.groupBy(*keys).agg(F.min(F.struct("id", "mode")).alias("c"))
+    return items.join(first, list(keys), "left").withColumns({"fix_id": F.col("c.id"), "fix_mode": F.col("c.mode")}).drop("c")
+
+
+def cluster_nodes(clusters: DataFrame, findings: DataFrame, symbols: DataFrame, seq: str = "seq") -> DataFrame:
+    """Cluster rows with the first finding of the endpoint's file and the source's symbol: the last one, else the file's name."""
+    first = findings.groupBy(F.col("file").alias("endpoint")).agg(F.min_by(F.struct("line", "reason"), seq).alias("f"))
+    names = symbols.groupBy(F.col("file").alias("source")).agg(F.max_by("symbol", seq).alias("symbol"))
+    both = clusters.join(first, "endpoint", "left").join(names, "source", "left")
+    label = F.coalesce("symbol", F.element_at(F.split("source", "/"), -1))
+    return both.select(*clusters.columns, label.alias("label"), F.coalesce("f.line", F.lit(0)).alias("line"), F.coalesce("f.reason", F.lit("")).alias("reason"))
+
+
+def standard_context(minimal: DataFrame, snippets: DataFrame) -> DataFrame:
+    """The minimal context with snippets (file, s, text) as one array."""
+    rows = snippets.agg(F.sort_array(F.collect_list(F.struct("file", "s", "text"))).alias("snippets"))
+    return minimal.join(F.broadcast(rows))  # one row each
+
+
+def verbose_context(standard: DataFrame, diff: DataFrame, paths: DataFrame) -> DataFrame:
+    """The standard context with the diff (one row) and all chains of the paths."""
+    chains = paths.agg(F.sort_array(F.collect_list(F.array_join("path", " → "))).alias("chains"))
+    return standard.join(F.broadcast(diff.select("text"))).join(F.broadcast(chains))  # one row each
+
+
+def adversarial_context(findings: DataFrame, symbols: DataFrame, callers: DataFrame, each: int = 3, lines: int = 30) -> DataFrame:
+    """symbol, text: up to three callers of the symbols in the files of uncertain findings, thirty lines in all."""
+    files = verification_split(findings).filter("uncertain").select("file").distinct()
+    wanted = symbols.join(files, "file", "left_semi").select("symbol").distinct()
+    order = Window.partitionBy("symbol").orderBy("order")
+    some = callers.join(wanted, "symbol", "left_semi").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "file", "line", "snippet"))), lambda x: F.concat_ws(":", x.file, x.line, x.snippet)), "\n")
+    return some.groupBy("symbol").agg(F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n").alias("text"))
+
+
+def send_comments(comments: DataFrame, send) -> None:
+    """Call send(row) for each comment, on the executors; what it does is up to the caller."""
+    comments.foreach(send)

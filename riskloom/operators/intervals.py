@@ -87,3 +87,12 @@ def snippet(lines: Column, at: Column, around: int = 5, most: int = 12) -> Colum
     n = F.least(at + around, F.size(lines)) - start + 1
     text = F.array_join(F.slice(lines, start, F.least(n, F.lit(most))), "\n")
     return F.when(n > most, F.concat(text, F.lit("\n… (truncated)"))).otherwise(text)
+
+
+def relevant_snippets(symbols: DataFrame, lines: DataFrame, around: int = 3, gap: int = 5, most: int = 150) -> DataFrame:
+    """file, s, e, text around symbols (file, start_line, end_line): ranges with a margin, merged if near, cut at `most` lines."""
+    ranges = symbols.select("file", F.greatest(F.col("start_line") - around, F.lit(1)).alias("s"), (F.col("end_line") + around).alias("e"))
+    islands = merge_intervals(ranges, ["file"], gap, most=most).select("file", "s", "e")
+    inside = lines.join(islands, "file").filter("line between s and e")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n")
+    return inside.groupBy("file", "s", "e").agg(text.alias("text"))

@@ -149,3 +149,29 @@ def apply_patch(patches: DataFrame, files: DataFrame) -> DataFrame:
     start = F.struct(F.col("lines"), F.lit(True).alias("ok"))
     done = files.join(hunks, "path").withColumn("r", F.aggregate("hunks", start, step))
     return done.select("path", F.when(F.col("r.ok"), F.col("r.lines")).otherwise(F.col("lines")).alias("lines"), F.col("r.ok").alias("ok"))
+
+
+def patch_hunks(lines: DataFrame) -> DataFrame:
+    """path, seq, old_lines, new_lines of each hunk, for apply_patch()."""
+    body = lines.filter("hunk > 0 and kind <> 'header'")
+    part = lambda keep: F.transform(F.filter(F.sort_array(F.collect_list(F.struct("pos", "kind", "line"))), keep), lambda x: F.substr(x.line, F.lit(2)))
+    return body.groupBy("path", F.col("hunk").alias("seq")).agg(part(lambda x: x.kind != "added").alias("old_lines"), part(lambda x: x.kind != "removed").alias("new_lines"))
+
+
+def merge_request_meta(replies: DataFrame, column: str = "reply") -> DataFrame:
+    """The three commits of a merge request from its JSON."""
+    parsed = F.from_json(column, "struct<diff_refs: struct<base_sha: string, head_sha: string, start_sha: string>>")
+    return replies.withColumn("_m", parsed.getField("diff_refs")).select(*replies.columns, "_m.base_sha", "_m.head_sha", "_m.start_sha")
+
+
+def changed_lines(lines: DataFrame) -> DataFrame:
+    """file, line of added lines by their number in the new file, and of the place of removed ones."""
+    from pyspark.sql import Window as W
+
+    start = F.regexp_extract("line", _HUNK, 1)
+    inside = lines.filter("hunk > 0").withColumn("_s", F.when(start != "", start.cast("int")))
+    own = W.partitionBy("path", "hunk").orderBy("pos")
+    step = F.when(F.col("_s").isNotNull() | (F.col("kind") == "removed"), 0).otherwise(1)
+    at = F.first("_s").over(own) + F.sum(step).over(own.rowsBetween(W.unboundedPreceding, 0)) - 1
+    numbered = inside.withColumn("_n", F.when(F.col("kind") == "removed", F.greatest(at + 1, F.lit(1))).otherwise(at))
+    return numbered.filter("kind in ('added', 'removed')").select(F.col("path").alias("file"), F.col("_n").alias("line")).distinct()
