@@ -73,3 +73,26 @@ def review_focus(paths: DataFrame, *by: str) -> DataFrame:
 def reassembled(lines: DataFrame, by: str) -> DataFrame:
     """Texts from lines (pos, line)."""
     return lines.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("text"))
+
+
+def backend_pack(paths: DataFrame, edges: DataFrame, snippets: DataFrame, by: str = "pack_id", sizes: tuple[int, int, int] = (25, 30, 12), seq: str = "seq") -> DataFrame:
+    """One JSON document per pack: paths by risk, edges with sure ones first, snippets in order."""
+
+    def first(df: DataFrame, order: list, n: int, name: str, columns: list[str]) -> DataFrame:
+        ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= n)
+        row = F.struct("_n", F.struct(*columns).alias("r"))
+        return ranked.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x.r).alias(name))
+
+    one = first(paths, [risk_rank(F.col("risk"), 3), F.col(seq)], sizes[0], "impact_paths", ["path", "risk", "confidence", "rule_hits"])
+    two = first(edges, [F.when(F.col("confidence") == "high", 0).otherwise(1), F.col(seq)], sizes[1], "edges", ["source", "target", "edge_type", "confidence"])
+    three = first(snippets, [F.col(seq)], sizes[2], "snippets", ["file", "text"])
+    rules = paths.groupBy(by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rule_hits")))).alias("rules"))
+    both = one.join(two, by, "left").join(three, by, "left").join(rules, by)
+    return both.select(by, F.to_json(F.struct("impact_paths", "edges", "snippets", "rules")).alias("pack"))
+
+
+def chat_models(models: DataFrame, leave_out: tuple[str, ...] = ("embed", "whisper", "tts", "dall-e", "moderation", "image", "audio")) -> DataFrame:
+    """Names of models that can chat, sorted."""
+    from riskloom.functions.text import contains_any
+
+    return models.filter(~contains_any(F.lower("name"), leave_out)).orderBy("name")

@@ -161,3 +161,18 @@ def vue_script(content: Column) -> Column:
     offset = F.length(before) - F.length(F.replace(before, F.lit("\n"))) + F.length(head) - F.length(F.replace(head, F.lit("\n")))
     body = F.regexp_extract(best, r"(?s)^<script\b[^>]*>(.*?)</script>$", 1)
     return F.when(best.isNotNull(), F.struct(body.alias("body"), offset.cast("int").alias("line_offset")))
+
+
+def load_graph_json(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from JSON lines; rows that are malformed or lack their key are left out."""
+    read = spark.read.option("mode", "DROPMALFORMED")
+    n = read.schema("id string, node_type string, file string, name string, line int, attributes array<string>").json(nodes)
+    e = read.schema("source string, target string, edge_type string, evidence string, confidence string").json(edges)
+    return n.filter("id is not null"), e.filter("source is not null and target is not null")
+
+
+def run_row(lines: DataFrame, project: str, scope: str, elapsed: float, commit: str) -> DataFrame:
+    """A row per diff of what was reviewed: project, scope, files, lines, seconds, commit."""
+    from riskloom.sources.diff import change_counts
+
+    return change_counts(lines).select("diff_id", F.lit(project).alias("project"), F.lit(scope).alias("scope"), "n_files", "n_changed", F.lit(float(elapsed)).alias("elapsed"), F.lit(commit).alias("commit"))
