@@ -286,9 +286,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     held = classes.select(F.col("digest").alias("rep_digest"), "rep")
     nodes = found.join(held, (F.col("id") == F.col("rep")) & (F.col("digest") == F.col("rep_digest"))).select("id", "sig")
     bands = nodes.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("key"))
-    dealt = bands.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    buckets = dealt.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key", "leader")
-    members = materialise(dealt.join(buckets, "key"), "members")
+    buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key", "leader")
+    members = materialise(bands.join(buckets, "key"), "members")  # a plain join, so that Spark can split a bucket of very many
     wanted = materialise(members.select("id").distinct(), "wanted")
     sigs = materialise(nodes.join(wanted, "id").groupBy("id").agg(F.min("sig").alias("sig")), "sigs")
     texts = materialise(lean.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
