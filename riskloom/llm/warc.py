@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.scratch import drop, new_path
+from riskloom.llm.scratch import drop_path, new_path, shuffles_dropped
 
 #: Fixed values of the format.
 VERSION, EOL = "WARC/1.1", "\r\n"
@@ -71,7 +71,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     archive = Archive(new_path(spark, "payloads"), new_path(spark, "headers"))
     stored = rows.select("digest", "page_id", _pack("payload").alias("packed")).groupBy("digest").agg(F.max("page_id").alias("holder"), F.any_value("packed").alias("packed"))
-    stored.write.parquet(archive.payloads)
+    with shuffles_dropped(spark):
+        stored.write.parquet(archive.payloads)
     holders = spark.read.schema("digest string, holder long").parquet(archive.payloads)
     lean = rows.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     placed = lean.join(holders, "digest")
@@ -93,7 +94,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     ]
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in fields]
     header = F.concat(F.concat_ws(EOL, F.lit(VERSION), *lines), F.lit(EOL + EOL))
-    placed.select(F.when(~revisit, F.col("digest")).alias("digest"), header.alias("header")).write.option("compression", "zstd").parquet(archive.headers)
+    with shuffles_dropped(spark):
+        placed.select(F.when(~revisit, F.col("digest")).alias("digest"), header.alias("header")).write.option("compression", "zstd").parquet(archive.headers)
     return archive
 
 
@@ -116,7 +118,8 @@ def export_warc(records: DataFrame, mean_bytes: int, target_bytes: int = 16 << 2
     path = new_path(spark, "warc")
     whole = F.concat(F.col("header"), F.decode("payload", "UTF-8"))
     out = records.select(whole.alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip")
-    out.option("maxRecordsPerFile", max(1, target_bytes // max(1, mean_bytes))).text(path)
+    with shuffles_dropped(spark):
+        out.option("maxRecordsPerFile", max(1, target_bytes // max(1, mean_bytes))).text(path)
     return path
 
 
@@ -170,7 +173,7 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     folder = export_warc(read_records(spark, archive), int(mean) + 600)
     for stored in (archive.payloads, archive.headers):
-        drop(spark.read.parquet(stored))
+        drop_path(spark, stored)
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
