@@ -157,7 +157,7 @@ class _Search:
         self.links = materialise(found, "links")
         drop(pairs)
 
-    def finish(self, few: int = 256, many: int = 512) -> None:
+    def finish(self, few: int = 256, many: int = 512, most_bytes: int = 2 << 20) -> None:
         """Link what is still apart in a bucket, exactly and without a row per pair.
 
         The largest component of a bucket is its main one; members outside it
@@ -166,6 +166,7 @@ class _Search:
         a shingle, and what it has besides. From blocks of strays and of members
         two such forms give the exact intersection: bits first, which bound it,
         then the rest. One link for each stray and other component is enough.
+        Blocks are bounded by rows and, on average, by bytes.
         """
         components = connected_components(self.links)
         placed = self.members.join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
@@ -177,15 +178,21 @@ class _Search:
         named = self.texts.select(F.col("id").alias("main"), F.col("text").alias("main_text"))
         coded = groups.join(self.texts.select("id", "text"), "id").join(named, "main").select("main", "id", "c", _coded(self.n)("text", "main_text").alias("code"))
         coded = materialise(coded.select("main", "id", "c", "code.*"), "coded")
-        sizes = coded.groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("c") != F.col("main")).alias("out"))
+        held = F.octet_length("common") + F.octet_length("extra") + 64
+        stray = F.col("c") != F.col("main")
+        blocks = lambda n, size, block: F.ceil(F.greatest(n / block, size / most_bytes, F.lit(1)))
+        sizes = coded.groupBy("main").agg(
+            blocks(F.count("*"), F.sum(held), many).alias("all"),
+            blocks(F.count_if(stray), F.coalesce(F.sum(F.when(stray, held)), F.lit(0)), few).alias("out"),
+        )
         dealt = coded.join(sizes, "main")
 
-        def packed(rows: DataFrame, n: str, block: int, name: str) -> DataFrame:
-            number = F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / block))
+        def packed(rows: DataFrame, n: str, name: str) -> DataFrame:
+            number = F.pmod(F.xxhash64("id"), F.col(n))
             return rows.withColumn(f"{name}_no", number).groupBy("main", f"{name}_no").agg(F.collect_list(F.struct("id", "c", "size", "common", "extra")).alias(name))
 
-        left = packed(dealt.filter("c <> main"), "out", few, "strays")
-        right = packed(dealt, "all", many, "members")
+        left = packed(dealt.filter("c <> main"), "out", "strays")
+        right = packed(dealt, "all", "members")
         spread = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         pairs = left.join(right, "main").repartition(spread, "main", "strays_no", "members_no")
         found = pairs.select(F.explode(_linked(self.percent)("strays", "members")).alias("l")).select("l.a", "l.b")
