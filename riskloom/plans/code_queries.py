@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as T
@@ -184,31 +186,37 @@ def direct_importers(spark, sf_dir):
 IMPORTERS = f"SELECT DISTINCT target, source FROM {_EDGES} WHERE edge_type = 'imports' AND target IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 7 = 0)"
 
 
-def supply_edges(spark, sf_dir):
-    """Suppliers to parts of lines with a discount of 5 in 100."""
-    l = table(spark, sf_dir, "lineitem").filter("l_discount = 0.05 and l_partkey % 4 = 0")  # noqa: E741
+def supply_lines(spark, sf_dir, whole=False):
+    """All lines, or those with a discount of 5 in 100 and every fourth part, as the SQL has them."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l if whole else l.filter("l_discount = 0.05 and l_partkey % 4 = 0")
+
+
+def supply_edges(spark, sf_dir, whole=False):
+    """Suppliers to parts."""
+    l = supply_lines(spark, sf_dir, whole)  # noqa: E741
     return l.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey")).alias("target"), F.lit("CALLS").alias("edge_type"))
 
 
 _SUPPLY = "(SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_discount = 0.05 AND l_partkey % 4 = 0)"
 
 
-def degree(spark, sf_dir):
-    return G.degrees(supply_edges(spark, sf_dir))
+def degree(spark, sf_dir, whole=False):
+    return G.degrees(supply_edges(spark, sf_dir, whole))
 
 
 _DEGREE = f"SELECT node, count(*) AS degree FROM (SELECT source AS node FROM {_SUPPLY} UNION ALL SELECT target FROM {_SUPPLY}) GROUP BY node"
 
 
-def supply_nodes(spark, sf_dir):
-    d = G.degrees(supply_edges(spark, sf_dir))
+def supply_nodes(spark, sf_dir, whole=False):
+    d = G.degrees(supply_edges(spark, sf_dir, whole))
     key = F.substr("node", F.lit(2)).cast("long")
     return d.select("node", (key % 7).cast("string").alias("community"), F.when(key % 5 == 0, ".ts").otherwise(".vue").alias("language"), F.when(F.col("node").startswith("p"), 1).otherwise(F.col("degree")).alias("degree"), (key % 3 == 0).alias("is_test"))
 
 
-def surprise(spark, sf_dir):
-    edges = supply_edges(spark, sf_dir).select(F.col("target").alias("source"), F.col("source").alias("target"), "edge_type")
-    out = G.surprise(edges, supply_nodes(spark, sf_dir))
+def surprise(spark, sf_dir, whole=False):
+    edges = supply_edges(spark, sf_dir, whole).select(F.col("target").alias("source"), F.col("source").alias("target"), "edge_type")
+    out = G.surprise(edges, supply_nodes(spark, sf_dir, whole))
     return out.select("source", "target", "score", F.array_join("reasons", ",").alias("reasons"), "suspicious")
 
 
@@ -220,40 +228,41 @@ s AS (SELECT *, round_even(0.0::DOUBLE + CASE WHEN r1 THEN 0.3::DOUBLE ELSE 0 EN
 SELECT source, target, score, concat_ws(',', CASE WHEN r1 THEN 'cross-community' END, CASE WHEN r2 THEN 'cross-language' END, CASE WHEN r3 THEN 'edge-to-hub' END, CASE WHEN r4 THEN 'cross-test-boundary' END) AS reasons, score >= 0.35 AS suspicious FROM s"""
 
 
-def supply_paths(spark, sf_dir):
-    """A path a line: order, supplier, part, brand."""
-    l = table(spark, sf_dir, "lineitem").filter("l_discount = 0.05 and l_partkey % 4 = 0")  # noqa: E741
-    rows = l.select((F.col("l_orderkey") * 1000 + F.col("l_suppkey") % 1000).alias("path_id"), F.array(F.concat(F.lit("o"), F.col("l_orderkey")), F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey")), F.lit("end")).alias("path"))
+def supply_paths(spark, sf_dir, whole=False):
+    """A path a line: order, supplier, part, end. Over all lines the id names all three, as an order may have a supplier twice."""
+    l = supply_lines(spark, sf_dir, whole)  # noqa: E741
+    path_id = F.concat_ws(":", "l_orderkey", "l_suppkey", "l_partkey") if whole else F.col("l_orderkey") * 1000 + F.col("l_suppkey") % 1000
+    rows = l.select(path_id.alias("path_id"), F.array(F.concat(F.lit("o"), F.col("l_orderkey")), F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey")), F.lit("end")).alias("path"))
     return rows
 
 
 _SPATHS = "(SELECT l_orderkey * 1000 + l_suppkey % 1000 AS path_id, 'o' || l_orderkey AS a, 's' || l_suppkey AS b, 'p' || l_partkey AS c FROM lineitem WHERE l_discount = 0.05 AND l_partkey % 4 = 0)"
 
 
-def bridges(spark, sf_dir):
-    return G.bridges(supply_paths(spark, sf_dir))
+def bridges(spark, sf_dir, whole=False):
+    return G.bridges(supply_paths(spark, sf_dir, whole))
 
 
 BRIDGES = f"SELECT node, count(DISTINCT path_id) AS n_paths FROM (SELECT path_id, b AS node FROM {_SPATHS} UNION ALL SELECT path_id, c FROM {_SPATHS}) GROUP BY node HAVING count(DISTINCT path_id) >= 2"
 
 
-def path_edges(spark, sf_dir):
-    return G.path_edges(supply_paths(spark, sf_dir)).select("source", "target", "path_id")
+def path_edges(spark, sf_dir, whole=False):
+    return G.path_edges(supply_paths(spark, sf_dir, whole)).select("source", "target", "path_id")
 
 
 PATH_EDGES = f"SELECT source, target, min(path_id) AS path_id FROM (SELECT a AS source, b AS target, path_id FROM {_SPATHS} UNION ALL SELECT b, c, path_id FROM {_SPATHS} UNION ALL SELECT c, 'end', path_id FROM {_SPATHS}) GROUP BY ALL"
 
 
-def untested(spark, sf_dir):
+def untested(spark, sf_dir, whole=False):
     none = table(spark, sf_dir, "region").filter("r_regionkey < 0")
-    return G.untested_hotspots(supply_nodes(spark, sf_dir), none).select("node", F.col("degree").cast("long").alias("degree"))
+    return G.untested_hotspots(supply_nodes(spark, sf_dir, whole), none).select("node", F.col("degree").cast("long").alias("degree"))
 
 
 UNTESTED = f"SELECT node, degree FROM ({_DEGREE}) WHERE node[1] <> 'p' AND degree >= 5 AND CAST(substr(node, 2) AS BIGINT) % 3 <> 0"
 
 
-def augmented(spark, sf_dir):
-    paths = supply_paths(spark, sf_dir).select(F.slice("path", 1, 3).alias("path"), F.lit("high").alias("risk"), F.lit("high").alias("confidence"))
+def augmented(spark, sf_dir, whole=False):
+    paths = supply_paths(spark, sf_dir, whole).select(F.slice("path", 1, 3).alias("path"), F.lit("high").alias("risk"), F.lit("high").alias("confidence"))
     hits = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("file"))
     out = G.augment_paths(paths, hits)
     return out.groupBy("risk", F.size("path").alias("size")).agg(F.count("*").alias("n"))
@@ -457,3 +466,16 @@ QUERIES = {
     "node_upsert": (node_upsert, UPSERT),
     "node_context": (node_contexts, NODE_CONTEXTS),
 }
+
+#: The same queries over whole tables, named NAME_all; the SQL above has the cuts, so these have none.
+WHOLE = {
+    f"{name}_all": partial(QUERIES[name][0], whole=True)
+    for name in (
+        "degree",
+        "surprise",
+        "bridges",
+        "path_edges",
+        "untested_hotspots",
+        "augmented_paths",
+    )
+}
