@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -303,8 +305,9 @@ s AS (SELECT source, CAST(sum(b) AS BIGINT) AS baseline, CAST(sum(u) AS BIGINT)
 SELECT *, greatest(baseline - used, 0) AS saved, CAST(round_even(greatest(baseline - used, 0) * 100 / baseline, 0) AS BIGINT) AS saved_percent FROM s"""
 
 
-def reply_parse(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 5 = 0")
+def reply_parse(spark, sf_dir, whole=False):
+    e = table(spark, sf_dir, "events")
+    e = e if whole else e.filter("event_id % 5 = 0")
     obj = F.to_json(F.struct(F.col("event_type").alias("file"), F.when(F.col("event_id") % 3 == 0, F.lit("x")).otherwise(F.col("user_id").cast("string")).alias("line"), F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string")).otherwise("high").alias("risk"), (F.col("user_id") % 2 == 0).alias("needs_human_review")))
     broken = F.when(F.col("event_id") % 10 == 0, '[{"file": ').otherwise(F.concat(F.lit("Here it is: ["), obj, F.lit(', 7, {"reason": "b"}] done')))
     out = R.parse_reply(e.select("event_id", broken.alias("reply")))
@@ -365,3 +368,11 @@ QUERIES = {
     "incremental_update": (incremental_update, INCREMENTAL),
     "file_states": (file_states, FILE_STATES),
 }
+
+#: The same queries over whole tables, named NAME_all; the SQL above has the cuts, so these have none.
+WHOLE = {
+    f"{name}_all": partial(QUERIES[name][0], whole=True)
+    for name in (
+        "reply_parse",
+    )
+}

@@ -16,6 +16,7 @@ CUTS = {
     "path_edges": [LINES, PATH_ID],
     "untested_hotspots": [LINES],
     "augmented_paths": [LINES],
+    "reply_parse": [("event_id % 5 = 0 AND event_id % 10 <> 0", "event_id % 10 <> 0")],
 }
 
 
