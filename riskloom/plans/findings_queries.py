@@ -123,7 +123,8 @@ def gate(spark, sf_dir):
 GATE = "SELECT bool_or(event_type = 'error') AS stop FROM events"
 
 
-def document_items(spark, sf_dir):
+def document_items(spark, sf_dir, whole=False):
+    """Documents as findings; the description is the whole text, or characters 201-300 as in the SQL."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("seq"),
@@ -131,15 +132,15 @@ def document_items(spark, sf_dir):
         F.col("n_chars").alias("line"),
         F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 3 == 1, "medium").otherwise("low").alias("risk"),
         F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.substring("text", 1, 200)).alias("reason"),
-        F.substring("text", 201, 100).alias("description"),
+        (F.col("text") if whole else F.substring("text", 201, 100)).alias("description"),
         F.lit("").alias("evidence"),
         (F.col("doc_id") % 5 == 0).alias("needs_human_review"),
         F.when(F.col("doc_id") % 7 < 3, "missing_error_handling").otherwise("other").alias("issue_type"),
     )
 
 
-def checkpoints(spark, sf_dir):
-    return O.checkpoints(document_items(spark, sf_dir))
+def checkpoints(spark, sf_dir, whole=False):
+    return O.checkpoints(document_items(spark, sf_dir, whole))
 
 
 def _checkpoints_sql() -> str:
@@ -230,10 +231,11 @@ SELECT file, seq, risk FROM (SELECT user_id AS file, event_id AS seq, {EVENT_RIS
 WHERE rn = 1 ORDER BY {_RANK}, seq LIMIT 25"""
 
 
-def event_paths(spark, sf_dir):
-    """Paths of the users' first four kinds of event in a day."""
+def event_paths(spark, sf_dir, whole=False):
+    """Paths of the users' kinds of event in a day: all of them, or the first four as in the SQL."""
     e = table(spark, sf_dir, "events").withColumn("path_id", F.col("user_id") * 1000 + F.dayofyear("ts"))
-    p = e.groupBy("path_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x.event_type), 1, 4).alias("path"), F.max_by("event_type", "event_id").alias("last"))
+    every = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x.event_type)
+    p = e.groupBy("path_id").agg((every if whole else F.slice(every, 1, 4)).alias("path"), F.max_by("event_type", "event_id").alias("last"))
     return p.withColumn("risk", event_risk(F.col("last"))).withColumn("seq", F.col("path_id"))
 
 
@@ -241,9 +243,9 @@ _PATHS = f"""(SELECT user_id * 1000 + dayofyear(ts) AS path_id, list(event_type
   CASE arg_max(event_type, event_id) WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' ELSE 'low' END AS risk FROM events GROUP BY 1)"""
 
 
-def impact_blocks(spark, sf_dir):
-    items = document_items(spark, sf_dir).withColumn("file", F.when(F.col("seq") % 2 == 0, "error").otherwise("purchase"))
-    out = O.impact_blocks(event_paths(spark, sf_dir), items)
+def impact_blocks(spark, sf_dir, whole=False):
+    items = document_items(spark, sf_dir, whole).withColumn("file", F.when(F.col("seq") % 2 == 0, "error").otherwise("purchase"))
+    out = O.impact_blocks(event_paths(spark, sf_dir, whole), items)
     return out.select("source", "risk", F.explode("chains").alias("c")).select("source", "risk", "c.path_id", F.posexplode("c.chain").alias("place", "n")).select("source", "risk", "path_id", "place", "n.file", F.col("n.risk").alias("node_risk"), F.col("n.line").alias("line"))
 
 
@@ -255,24 +257,24 @@ x AS (SELECT source, worst, path_id, unnest(path) AS file, generate_subscripts(p
 SELECT source, CASE worst WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, path_id, CAST(i - 1 AS INTEGER) AS place, x.file, coalesce(b.risk, 'low') AS node_risk, coalesce(b.line, 0) AS line FROM x LEFT JOIN b ON x.file = b.file"""
 
 
-def blast_clusters(spark, sf_dir):
-    return O.blast_clusters(event_paths(spark, sf_dir)).select("source", "endpoint", "path_id", "risk")
+def blast_clusters(spark, sf_dir, whole=False):
+    return O.blast_clusters(event_paths(spark, sf_dir, whole)).select("source", "endpoint", "path_id", "risk")
 
 
 BLAST = f"""
 SELECT source, endpoint, path_id, risk FROM (SELECT path[1] AS source, path[-1] AS endpoint, path_id, risk, row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY {_RANK}, path_id) AS rn FROM {_PATHS} WHERE path[1] <> path[-1]) WHERE rn = 1"""
 
 
-def chain_tree(spark, sf_dir):
-    return O.merged_chains(event_paths(spark, sf_dir)).select(F.array_join("prefix", ">").alias("prefix"), "depth", "node", "first_path")
+def chain_tree(spark, sf_dir, whole=False):
+    return O.merged_chains(event_paths(spark, sf_dir, whole)).select(F.array_join("prefix", ">").alias("prefix"), "depth", "node", "first_path")
 
 
 CHAIN_TREE = f"""
 SELECT array_to_string(path[1:n], '>') AS prefix, CAST(n AS INTEGER) AS depth, path[n] AS node, min(path_id) AS first_path FROM (SELECT path_id, path, unnest(range(1, len(path) + 1)) AS n FROM {_PATHS}) GROUP BY ALL"""
 
 
-def minimal_context(spark, sf_dir):
-    out = O.minimal_context(document_items(spark, sf_dir), event_paths(spark, sf_dir))
+def minimal_context(spark, sf_dir, whole=False):
+    out = O.minimal_context(document_items(spark, sf_dir, whole), event_paths(spark, sf_dir, whole))
     return out.select("n_high", "n_medium", F.array_join("key_risks", "|").alias("key_risks"), F.array_join("endpoints", "|").alias("endpoints"))
 
 
@@ -374,5 +376,10 @@ WHOLE = {
     f"{name}_all": partial(QUERIES[name][0], whole=True)
     for name in (
         "reply_parse",
+        "checkpoints",
+        "impact_blocks",
+        "minimal_context",
+        "blast_clusters",
+        "chain_tree",
     )
 }
