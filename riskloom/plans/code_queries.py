@@ -142,11 +142,11 @@ WITH RECURSIVE e AS {_EDGES}, w(node, depth, path) AS (SELECT DISTINCT target, 1
 SELECT DISTINCT node, depth FROM w"""
 
 
-def risk_propagation(spark, sf_dir):
-    """Customers whose id is divisible by 50, as changed files; who imports them is above in the tree."""
+def risk_propagation(spark, sf_dir, whole=False):
+    """Customers, all or those whose id is divisible by 50, as changed files; who imports them is above in the tree."""
     edges = graph_edges(spark, sf_dir).filter("edge_type = 'imports' and not startswith(source, 'c')")
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0")
-    symbols = c.select(F.col("c_custkey").alias("symbol_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("file"), F.when(F.col("c_custkey") % 100 == 0, "login").otherwise("show").alias("symbol"), F.lit("function").alias("symbol_type"), F.when(F.col("c_custkey") % 150 == 0, "added").otherwise("modified").alias("change_type"))
+    c = table(spark, sf_dir, "customer")
+    symbols = (c if whole else c.filter("c_custkey % 50 = 0")).select(F.col("c_custkey").alias("symbol_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("file"), F.when(F.col("c_custkey") % 100 == 0, "login").otherwise("show").alias("symbol"), F.lit("function").alias("symbol_type"), F.when(F.col("c_custkey") % 150 == 0, "added").otherwise("modified").alias("change_type"))
     out = G.propagate_risk(symbols, edges)
     return out.select("symbol_id", F.array_join("path", ">").alias("path"), "depth", "risk", "confidence", "needs_human_review")
 
@@ -363,8 +363,10 @@ def as_of_decl(spark, sf_dir):
 AS_OF = "SELECT e.event_id, d.event_id AS decl_id FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') d ON e.user_id = d.user_id AND e.ts >= d.ts"
 
 
-def innermost(spark, sf_dir):
-    spans = ship_ranges(spark, sf_dir).distinct().filter("file % 3 = 0")
+def innermost(spark, sf_dir, whole=False):
+    """Spans of all suppliers, or of every third."""
+    spans = ship_ranges(spark, sf_dir).distinct()
+    spans = spans if whole else spans.filter("file % 3 = 0")
     points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.explode(F.sequence(F.lit(10), F.lit(3000), F.lit(100))).alias("p"))
     return I.innermost(points, spans, ["file"]).select("file", F.col("p").cast("long").alias("p"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
 
@@ -477,5 +479,7 @@ WHOLE = {
         "path_edges",
         "untested_hotspots",
         "augmented_paths",
+        "risk_propagation",
+        "innermost",
     )
 }

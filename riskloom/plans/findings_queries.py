@@ -49,8 +49,10 @@ SELECT user_id AS file, count(*) AS n_flagged, CASE min({EVENT_RANK}) WHEN 0 THE
 FROM events GROUP BY user_id ORDER BY count(*) DESC, min(event_id) LIMIT 10"""
 
 
-def file_history(spark, sf_dir):
-    files = table(spark, sf_dir, "customer").filter("c_custkey < 20").select(F.col("c_custkey").alias("file"))
+def file_history(spark, sf_dir, whole=False):
+    """The last events of customers who are users, all or those with an id below 20."""
+    c = table(spark, sf_dir, "customer")
+    files = (c if whole else c.filter("c_custkey < 20")).select(F.col("c_custkey").alias("file"))
     out = H.file_history(event_items(spark, sf_dir), files)
     return out.select("file", "flagged_count", "nth", "timestamp", "risk")
 
@@ -381,5 +383,6 @@ WHOLE = {
         "minimal_context",
         "blast_clusters",
         "chain_tree",
+        "file_history",
     )
 }
