@@ -274,9 +274,15 @@ SELECT 'high' AS risk, 3 AS size, count(*) AS n FROM {_SPATHS} UNION ALL SELECT
 _TERMS = (("q1", "the"), ("q1", "license"), ("q2", "general"), ("q2", "public"), ("q3", "unfoundword"), ("q3", "released"))
 
 
-def bm25(spark, sf_dir):
+def searched(spark, sf_dir, whole=False):
+    """Documents of all languages, or English ones."""
+    d = table(spark, sf_dir, "documents")
+    return d if whole else d.filter("lang = 'en'")
+
+
+def bm25(spark, sf_dir, whole=False):
     terms = spark.createDataFrame(_TERMS, "query string, term string")
-    return Q.bm25(table(spark, sf_dir, "documents").filter("lang = 'en'"), terms, "doc_id", "text").select("query", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return Q.bm25(searched(spark, sf_dir, whole), terms, "doc_id", "text").select("query", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _BM25 = """
@@ -289,12 +295,23 @@ sc AS (SELECT query, doc_id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))
 BM25 = f"WITH {_BM25} SELECT query, doc_id, round(score, 6) AS score FROM sc"
 
 
-def rrf_hybrid(spark, sf_dir):
+def cosines(spark, sf_dir):
+    """query, id, score: the cosine of every embedding with the one of least id. Vectors of no length score 0."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    asked = e.agg(F.min_by("v", "id").alias("q"))  # one row
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q")))
+    score = F.when(size > 0, dot(F.col("v"), F.col("q")) / size).otherwise(0.0)
+    return e.join(F.broadcast(asked)).select(F.lit("e").alias("query"), "id", F.round(score, 9).alias("score"))
+
+
+def rrf_hybrid(spark, sf_dir, whole=False):
+    """A list of words and one of vectors, fused. Over whole tables vectors are ranked by cosine, else by their first component as in the SQL."""
     terms = spark.createDataFrame(_TERMS[:2], "query string, term string")
-    scores = Q.bm25(table(spark, sf_dir, "documents").filter("lang = 'en'"), terms, "doc_id", "text").withColumn("score", F.round("score", 6))
+    scores = Q.bm25(searched(spark, sf_dir, whole), terms, "doc_id", "text").withColumn("score", F.round("score", 6))
     one = Q.top_hits(scores, 50).select(F.lit(0).alias("list_no"), (F.col("rank") - 1).alias("rank"), F.col("id").alias("item"))
     e = table(spark, sf_dir, "embeddings").select(F.lit("e").alias("query"), F.col("vec_id").alias("id"), F.round(F.element_at("embedding", 1).cast("double"), 9).alias("score"))
-    two = Q.top_hits(e, 50).select(F.lit(1).alias("list_no"), (F.col("rank") - 1).alias("rank"), F.col("id").alias("item"))
+    two = Q.top_hits(cosines(spark, sf_dir) if whole else e, 50).select(F.lit(1).alias("list_no"), (F.col("rank") - 1).alias("rank"), F.col("id").alias("item"))
     out = Q.rrf(one.unionByName(two))
     return out.select("item", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
 
@@ -310,10 +327,11 @@ def document_lines(spark, sf_dir):
     return d.select(F.concat_ws("/", F.lit("src"), "source", F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py"))).alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "text")).select("file", (F.col("n") + 1).alias("line"), "text")
 
 
-def call_sites(spark, sf_dir):
+def call_sites(spark, sf_dir, whole=False):
+    """All call sites, or the first forty of each symbol as in the SQL."""
     symbols = spark.createDataFrame([(1, "Licens", "src/src1/x.py"), (2, "Vers", "src/src2/d22.py"), (3, "Nothere", "a.py")], "seq long, symbol string, self_file string")
     out = Q.call_sites(document_lines(spark, sf_dir), symbols)
-    return out.filter("order <= 40").select("seq", "symbol", "file", F.col("line").cast("long").alias("line"), F.col("order").alias("place"))
+    return (out if whole else out.filter("order <= 40")).select("seq", "symbol", "file", F.col("line").cast("long").alias("line"), F.col("order").alias("place"))
 
 
 CALL_SITES = """
@@ -481,5 +499,8 @@ WHOLE = {
         "augmented_paths",
         "risk_propagation",
         "innermost",
+        "bm25",
+        "rrf_hybrid",
+        "call_sites",
     )
 }

@@ -25,17 +25,22 @@ CUTS = {
     "chain_tree": [DAY],
     "file_history": [(" WHERE c_custkey < 20", "")],
     "risk_propagation": [(" WHERE c_custkey % 50 = 0", "")],
+    "bm25": [(" WHERE lang = 'en'", "")],
+    "rrf_hybrid": [(" WHERE lang = 'en'", ""), ("embedding[1]::DOUBLE", "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1))")],
+    "call_sites": [(" WHERE place <= 40", "")],
     "innermost": [(" WHERE t.file % 3 = 0", "")],
 }
 #: Queries whose rows at this size are the same with and without the cut; fixtures below tell them apart.
 SAME = {"minimal_context"}
+#: Smaller tables have no user of an id of 20 or more, and no more than 40 call sites of a symbol.
+LARGER = {"file_history": "/root/testdata/sf0.01", "call_sites": "/root/testdata/sf0.1"}
 
 
 @pytest.mark.parametrize("name", sorted(CUTS))
 def test_whole(spark, name):
-    at = "/root/testdata/sf0.01" if name == "file_history" else SF  # the smaller one has no user of an id of 20 or more
+    at = LARGER.get(name, SF)
     con = duckdb.connect()
-    for t in ("nation", "customer", "supplier", "part", "lineitem", "events", "documents"):
+    for t in ("nation", "customer", "supplier", "part", "lineitem", "events", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
     df = entry.queries()[f"{name}_all"](spark, at)
     cut = entry.oracle_sql()[name]
