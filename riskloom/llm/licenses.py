@@ -172,7 +172,12 @@ class Scanner:
         return out
 
     def _chain(self, row: dict, base: int, runs: list[tuple[int, int]], ids: np.ndarray) -> None:
-        """Join long matches in the order of both text and template, while the text's gap stays below the template."""
+        """Join long matches in the order of both text and template, while the text's gap stays below the template.
+
+        Of a match that begins before the chain's end, in the text or in the
+        template, only the words after it count. It opens another chain if it
+        repeats all of this one, or if both reach the cover by themselves.
+        """
         open_: dict[int, list[int]] = {}  # template: text start, text end, template end, covered words
 
         def close(k: int) -> None:
@@ -191,9 +196,16 @@ class Scanner:
                     seen.setdefault(k, []).append(e)
                 for k, places in seen.items():
                     chain = open_.get(k)
-                    fit = [e for e in places if chain and e - size >= chain[2] and chain[1] <= start <= chain[1] + len(self.templates[k])]
+                    whole = len(self.templates[k])
+                    fit = []
+                    for e in places if chain else ():
+                        over = max(0, chain[2] - (e - size), chain[1] - start)
+                        again = over and min(chain[3], size) >= self.cover * whole
+                        if over < min(size, chain[3]) and not again and start + over <= chain[1] + whole:
+                            fit.append((over, e))
                     if fit:
-                        chain[1], chain[2], chain[3] = stop, min(fit), chain[3] + size
+                        over, e = min(fit)
+                        chain[1], chain[2], chain[3] = stop, e, chain[3] + size - over
                     else:
                         if chain:
                             close(k)

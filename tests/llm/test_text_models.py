@@ -88,6 +88,18 @@ def test_licences(spark):
         assert label in r.labels.split(",") and r.score == 1 and any(s.template == label and s.start_word == 1 for s in r.spans)
 
 
+def test_licence_with_a_doubled_word(spark):
+    """The match after a doubled word begins a word early; the chain goes on and counts each template word once."""
+    long = {k: t.split() for k, t in TEMPLATES.items() if k.endswith("-notice")}
+    docs = [(k, " ".join(w[: len(w) // 2] + w[len(w) // 2 - 1 :])) for k, w in long.items()]
+    docs += [(f"{k} twice", " ".join(w + w)) for k, w in long.items()]
+    for r in scan_licenses(spark.createDataFrame(docs, "doc_id string, text string")).collect():
+        label = r.doc_id.split()[0]
+        spans = [s.coverage for s in r.license.spans if s.template == label]
+        assert label in r.license.labels.split(",") and r.license.score == 1
+        assert spans == [1.0] * (2 if r.doc_id.endswith("twice") else 1)
+
+
 def small_corpus(n=400):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice(["ba", "ke", "lo", "mi", "tu"]) for _ in range(rng.randint(1, 4)))
