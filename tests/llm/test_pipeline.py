@@ -30,6 +30,15 @@ def test_awkward_rows(spark):
             assert out.count() <= 3 * some.count()
 
 
+def test_ids_with_two_texts(spark):
+    """Texts of one id are documents of their own: each is linked and dropped, or kept, by itself."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(0, a), (1, a + " more"), (1, b), (2, c), (2, b + " more"), (3, c + " more"), (None, a), (None, "alone"), (3, "x y"), (3, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [(0, a), (1, b), (2, c), (None, "alone"), (3, "x y")]))
+
+
 def test_registered():
     import __spark_entry__
 
