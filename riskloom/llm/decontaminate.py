@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from riskloom.llm.words import ALNUM, batches, lower, word_hashes
 #: Scores of an alignment of words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of a seed.
-SEED = 3
+SEED = 2
 
 
 @dataclass
@@ -28,6 +28,7 @@ class Items:
     vocabulary: np.ndarray
     seeds: np.ndarray
     places: list[list[tuple[int, int]]]
+    counts: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Items:
@@ -40,7 +41,7 @@ class Items:
             for p, code in enumerate(_codes(w, len(vocabulary)).tolist()):
                 at.setdefault(code, []).append((k, p))
         seeds = np.array(sorted(at), np.int64)
-        return cls([i for i, _ in rows], words, vocabulary, seeds, [at[s] for s in seeds.tolist()])
+        return cls([i for i, _ in rows], words, vocabulary, seeds, [at[s] for s in seeds.tolist()], [np.unique(w, return_counts=True) for w in words])
 
 
 def _codes(numbers: np.ndarray, base: int) -> np.ndarray:
@@ -57,15 +58,18 @@ def _codes(numbers: np.ndarray, base: int) -> np.ndarray:
 
 
 def _slack(length: int) -> int:
-    return max(4, length // 4)
+    return max(4, length)
 
 
-def find_windows(texts: list[bytes], items: Items) -> Iterator[tuple[int, list[int], list[tuple[int, int, list[int], list[int]]]]]:
-    """(text, its seeds, windows) for texts with a seed; a window is (item, first word, word numbers, seeds).
+def find_windows(texts: list[bytes], items: Items, threshold: float = 0.6) -> Iterator[tuple[int, list[tuple[int, int, list[int]]]]]:
+    """(text, windows) for texts with a seed; a window is (item, first word, word numbers).
 
     Seeds of an item whose places agree on where the item would begin, up to its
-    length, share a window; one needs two different seeds. Any alignment at 0.6
-    of an item's full score holds three seeds of it at least.
+    length, share a window. An alignment of M matches without a seed has M - 1
+    breaks at least, so at 0.6 of the full score of n words M + 1 >= 1.2 n: any
+    alignment of an item of six words or more holds a seed. It matches
+    threshold * n words at least; windows that share fewer with the item are
+    left out.
     """
     hashes, first, _, _ = word_hashes([lower(t) for t in texts], ALNUM)
     if not len(hashes) or not len(items.seeds):
@@ -89,19 +93,27 @@ def find_windows(texts: list[bytes], items: Items) -> Iterator[tuple[int, list[i
             for item, offset in items.places[s]:
                 found.setdefault(item, []).append((p - offset, s))
         windows = []
+        held = np.bincount(numbers[low:high] + 1, minlength=len(items.vocabulary) + 1)[1:]
         for item, starts in found.items():
             length = len(items.words[item])
+            if length <= SEED:
+                continue
+            own, times = items.counts[item]
+            if np.minimum(held[own], times).sum() < threshold * length - 1e-9:
+                continue
             starts.sort()
             cluster: list[tuple[int, int]] = []
             for begin, s in [*starts, (1 << 60, -1)]:
                 if cluster and begin - cluster[0][0] > length:
-                    if len(used := sorted({x for _, x in cluster})) >= 2:
-                        a = max(low, cluster[0][0] - _slack(length))
-                        b = min(high, cluster[-1][0] + length + _slack(length))
-                        windows.append((item, a - low, numbers[a:b].tolist(), used))
+                    a = max(low, cluster[0][0] - _slack(length))
+                    b = min(high, cluster[-1][0] + length + _slack(length))
+                    inside_item = np.sort(numbers[a:b])
+                    shared = np.searchsorted(inside_item, own, "right") - np.searchsorted(inside_item, own)
+                    if np.minimum(shared, times).sum() >= threshold * length - 1e-9:
+                        windows.append((item, a - low, numbers[a:b].tolist()))
                     cluster = []
                 cluster.append((begin, s))
-        yield t, sorted(set(place[hit[group]].tolist())), windows
+        yield t, windows
 
 
 def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
@@ -140,74 +152,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
     Words are runs of ASCII letters, digits and bytes over 0x7F, in lower case. The
     benchmark goes over all texts in blocks of bounded size. Seeds are an item's
-    runs of three words. How many texts hold a seed is counted over the corpus;
-    one in more than `common` of all texts and over four times the median of its
-    item is no rare seed (an item that is copied everywhere keeps its seeds).
-    Windows with two seeds, one of them rare, are aligned; equal windows once.
+    pairs of words; windows around them that share enough words with the item
+    are aligned, equal windows once. No seed is left out for being frequent;
+    `common` stays for callers and has no effect. Lost: copies of items of three
+    to five words with a word put between every two.
     score is the alignment's share of the score of an exact copy. Items under
     three words and null or empty texts match nothing; a row per text and item.
     """
     spark = docs.sparkSession
     lean = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     out = None
-    total = None
     for rows in _blocks(benchmark, item_col, item_text_col, block_bytes):
         items = Items.of(rows)
         sent = spark.sparkContext.broadcast(items)  # about block_bytes
-        found = materialise(lean.mapInArrow(_windows(sent), "id long, h long, seeds array<int>, windows array<struct<item: int, start: int, words: array<int>, seeds: array<int>>>"), "seeds")
-        if total is None:
-            total = docs.count()
-        counts = dict(map(tuple, found.select(F.explode("seeds").alias("s")).groupBy("s").count().collect()))  # at most the block's seeds
-        rare = _rare(items, counts, common * total)
-        kept = spark.sparkContext.broadcast(rare)
-
-        windows = found.select("id", "h", F.explode("windows").alias("w")).select("id", "h", "w.item", "w.words", "w.seeds")
-        windows = materialise(windows.filter(_has_rare(kept)("seeds")).select("id", "h", "item", "words"), "windows")
+        found = materialise(lean.mapInArrow(_windows(sent, threshold), "id long, h long, windows array<struct<item: int, start: int, words: array<int>>>"), "seeds")
+        windows = found.select("id", "h", F.explode("windows").alias("w")).select("id", "h", "w.item", "w.words")
         scored = windows.select("item", "words").distinct().mapInArrow(_aligned(sent, threshold), "item int, words array<int>, item_id long, score double")
         hits = windows.join(scored, ["item", "words"]).groupBy("id", "h", "item_id").agg(F.max("score").alias("score"))
         hits = materialise(hits, "hits")
         drop(found)
-        drop(windows)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = spark.createDataFrame([], "id long, h long, item_id long, score double")
     return out.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), F.col("item_id").alias(item_col), "score")
 
 
-def _has_rare(kept):
-    @F.arrow_udf("boolean")
-    def run(seeds: pa.Array) -> pa.Array:
-        return pa.array([bool(kept.value[s.values.to_numpy()].any()) for s in seeds], pa.bool_())
-
-    return run
-
-
-def _rare(items: Items, counts: dict[int, int], bound: float) -> np.ndarray:
-    held = np.array([counts.get(s, 0) for s in range(len(items.seeds))])
-    of_item: dict[int, list[int]] = {}
-    for s, places in enumerate(items.places):
-        for item, _ in places:
-            of_item.setdefault(item, []).append(s)
-    median = {item: float(np.median(held[s])) for item, s in of_item.items()}
-    rare = np.ones(len(held), bool)
-    for s, places in enumerate(items.places):
-        rare[s] = held[s] <= bound or any(held[s] <= 4 * median[item] for item, _ in places)
-    return rare
-
-
-_WINDOW = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("words", pa.list_(pa.int32())), ("seeds", pa.list_(pa.int32()))]))
+_WINDOW = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("words", pa.list_(pa.int32()))]))
 
 
-def _windows(sent):
+def _windows(sent, threshold: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
         for batch in it:
             ids, hashes = batch["id"].to_pylist(), batch["h"].to_pylist()
             for start, some in batches(batch["text"]):
-                out = [(ids[start + t], hashes[start + t], seeds, [{"item": i, "start": a, "words": w, "seeds": s} for i, a, w, s in windows]) for t, seeds, windows in find_windows(some, items)]
+                out = [(ids[start + t], hashes[start + t], [{"item": i, "start": a, "words": w} for i, a, w in windows]) for t, windows in find_windows(some, items, threshold) if windows]
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), _WINDOW)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "h", "seeds", "windows"])
+                    kinds = (pa.int64(), pa.int64(), _WINDOW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "h", "windows"])
 
     return run
 

@@ -52,6 +52,19 @@ def test_contaminated(spark):
     assert contaminated(df.limit(0), bench).count() == 0
 
 
+def test_contaminated_without_long_seeds(spark):
+    """Copies that share no three words in a row, or only one such run, and an exact copy of three words."""
+    words = [f"w{i}" for i in range(15)]
+    changed = [f"z{i}" if i in (2, 5, 8, 11) else w for i, w in enumerate(words)]
+    gapped = [x for i, w in enumerate(words) for x in ([w, f"y{i}"] if i % 2 else [w])]
+    docs = [(1, changed), (2, gapped), (3, ["three", "short", "words"]), (4, words[:8]), (5, ["three", "other", "words"])]
+    df = spark.createDataFrame([(i, " ".join(["before"] * 30 + w + ["after"] * 30)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "three short words")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score, 6) for r in contaminated(df, bench).collect()}
+    assert got == {(i, k): s for i, w in docs for k, t in ((1, words), (2, ["three", "short", "words"])) if (s := round(align(t, w) / (2 * len(t)), 6)) >= 0.6}
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
+
+
 def test_automaton_finds_longest_matches():
     rng = random.Random(5)
     strings = [[rng.randint(0, 3) for _ in range(rng.randint(4, 20))] for _ in range(5)]
