@@ -5,9 +5,10 @@ import re
 
 from riskloom.llm.decontaminate import contaminated, smith_waterman, without_benchmark
 from riskloom.llm.licenses import PHRASES, TEMPLATES, Automaton, scan_licenses
-from riskloom.llm.quality import JUNK, expectation_maximisation, pattern_of, score_quality
+from riskloom.llm.quality import Scorer, expectation_maximisation, fit, score_quality
 
 import numpy as np
+from pyspark.sql import functions as F
 
 
 def align(a, b):
@@ -151,14 +152,77 @@ def test_quality_on_held_out_documents(spark):
     assert score_quality(df, known.limit(0)).count() == len(docs)
 
 
+def test_null_labels_repeats_and_bounds(spark):
+    docs, labels = small_corpus(200)
+    docs += [(7, f"text {i} of one id ba ke lo", "good") for i in range(100)] + [(3, docs[3][1], "good")] * 100
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    every = fit(df, known)
+    assert len(every.digests) == len({t for i, t, _ in docs if i % 2})  # equal texts once
+    some = fit(df, known, sample=60)
+    assert 10 < len(some.digests) < 110 and set(some.digests.tolist()) <= set(every.digests.tolist())
+    assert 0 < len(fit(df, known, sample_features=2000).digests) <= 2000 / 5
+    assert len(fit(df, known, sample_features=0).digests) == 0
+
+
+def test_scorers_learn_what_the_label_model_believes(spark):
+    """Same labelled texts, same labels: only unlabelled texts, and so the labellers' accuracy, differ."""
+    docs, labels = small_corpus(600)
+    rng = random.Random(5)
+    pool = lambda: " ".join(rng.choice(["ba", "ke", "lo", "mi", "tu"]) + rng.choice("abcde") for _ in range(60))
+    docs += [(2000 + i, f"{pool()} clown", "unclear") for i in range(60)]
+    labels += [(2000 + i, 1, i % 2) for i in range(60)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    frames = [spark.createDataFrame([d[:2] for d in docs] + [(3000 + i, f"{pool()} zorgle brakk vlix {extra}") for i in range(400)], "doc_id long, text string") for extra in ("idiot", "")]
+    sure, unsure = (fit(f, known) for f in frames)
+    assert sure.digests.tolist() == unsure.digests.tolist()
+    for k in range(3):  # mined words without an insult: the insults miss more of the abuse
+        assert unsure.labellers["abuse"][k].flags[1, 0] < sure.labellers["abuse"][k].flags[1, 0] - 0.2
+    assert np.abs(sure.posteriors["abuse"] - unsure.posteriors["abuse"]).max() > 0.02
+    shared = np.intersect1d(sure.abuse.chosen, unsure.abuse.chosen)
+    pick = lambda m: m.abuse.weights[np.searchsorted(m.abuse.chosen, shared)]
+    assert np.abs(pick(sure) - pick(unsure)).max() > 0.1
+
+
+def test_posteriors_do_not_see_their_own_label(spark):
+    docs, labels = small_corpus(240)
+    df = spark.createDataFrame(docs, "doc_id long, text string, kind string")
+    digest = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    models = []
+    for flipped in (None, 5, 101):
+        rows = [(i, 1 - q if i == flipped else q, 1 - t if i == flipped else t) for i, q, t in labels]
+        models.append((flipped, fit(df, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))))
+    base = models[0][1]
+    for flipped, other in models[1:]:
+        at = base.digests.tolist().index(digest[flipped])
+        for kind in ("junk", "abuse"):
+            change = np.abs(base.posteriors[kind] - other.posteriors[kind])
+            assert change[at] < 1e-12 < change.max()  # others do change
+
+
 def test_expectation_maximisation_recovers_labellers():
     rng = np.random.default_rng(4)
     truth = rng.random(20000) < 0.2
     hit = np.array([0.8, 0.6, 0.7])
     votes = np.where(rng.random((20000, 3)) < np.where(truth[:, None], hit, 0.03), 1, 2)
-    gold = np.where(rng.random(20000) < 0.2, truth.astype(int), 2)
-    patterns = pattern_of(np.concatenate((votes, gold[:, None]), 1))
-    names, counts = np.unique(patterns, return_counts=True)
-    post = expectation_maximisation(names, counts.astype(float), 4)[patterns]
-    assert ((post > 0.5) == truth).mean() > 0.93
-    assert len(JUNK) == 7
+    votes[rng.random((20000, 3)) < 0.1] = 0
+    known = np.where(rng.random(20000) < 0.2, truth.astype(int), 2)
+    for gold in (known, np.full(20000, 2)):
+        rows, counts = np.unique(np.column_stack((votes, gold)), axis=0, return_counts=True)
+        model = expectation_maximisation(rows[:, :3], counts, rows[:, 3])
+        assert np.abs(model.flags[1] - hit).max() < 0.05 and np.abs(model.flags[0] - 0.03).max() < 0.02
+        assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.9
+
+
+def test_accuracy_of_a_labeller_changes_weights():
+    rng = np.random.default_rng(6)
+    truth = rng.random(3000) < 0.3
+    words = [np.array([int(t), 2 + int(rng.integers(0, 40))], np.int32) for t in truth]
+    weights = []
+    for hit, wrong in ((0.9, 0.05), (0.3, 0.25)):
+        votes = np.where(rng.random((3000, 3)) < np.where(truth[:, None], [hit, 0.7, 0.7], [wrong, 0.05, 0.05]), 1, 2)
+        rows, counts = np.unique(votes, axis=0, return_counts=True)
+        model = expectation_maximisation(rows, counts, np.full(len(rows), 2))
+        scorer = Scorer.fit(words, model.posterior(votes))
+        weights.append(dict(zip(scorer.chosen.tolist(), scorer.weights, strict=True)))
+    assert weights[0][1] > weights[1][1] + 0.2 > 0
