@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import comb
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.components import connected_components
-from riskloom.llm.scratch import drop, materialise
+from riskloom.llm.scratch import drop, fresh, materialise
 from riskloom.llm.words import SPACED, batches, mix, shingles, word_hashes
 
 #: Signature: BANDS bands of ROWS hashes. A pair at similarity 0.8 shares no band with odds of 5e-8.
@@ -23,14 +24,10 @@ HASHES = BANDS * ROWS
 BATCH = 32
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _C = mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Ids from here on stand for texts without one.
-_NAMELESS = 1 << 62
-
-
-def row_id(doc_id: Column, text: Column) -> Column:
-    """doc_id, or for null a number of the text beyond all ids."""
-    number = F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(_NAMELESS)) + F.lit(_NAMELESS)
-    return F.coalesce(doc_id.cast("long"), number)
+#: Stands for a null id in joins.
+_NO_ID = -(1 << 63)
+#: Rows of wide columns (texts, coded sets) that a Python worker gets at a time.
+_WIDE = 500
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -147,63 +144,67 @@ class _Search:
 
     def verify(self, pairs: DataFrame) -> None:
         """Make links of the pairs (a, b) that are similar."""
-        one = self.sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-        two = self.sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+        one = self.sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+        two = self.sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
         pairs = pairs.join(two, "b").join(one, "a").filter(_unpruned(self.percent, self.miss)("sig_a", "sig_b")).select("a", "b")
         pairs = materialise(pairs, "pairs")
-        one = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        two = self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        one = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        two = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         found = pairs.join(two, "b").join(one, "a").filter(_similar(self.n, self.percent)("text_a", "text_b")).select("a", "b")
-        self.links = materialise(found, "links")
+        self.links = materialise(found, "links", _WIDE)
         drop(pairs)
 
-    def finish(self, few: int = 256, many: int = 512, most_bytes: int = 2 << 20) -> None:
-        """Link what is still apart in a bucket, exactly and without a row per pair.
+    def finish(self, few: int = 256, many: int = 512, most: int = 8192, most_bytes: int = 4 << 20) -> None:
+        """Link what is still apart in a bucket, without a row per pair.
 
         The largest component of a bucket is its main one; members outside it
         are strays. Each member of buckets with one main component is written as
-        what it shares with the text that the component is named after, one bit
-        a shingle, and what it has besides. From blocks of strays and of members
-        two such forms give the exact intersection: bits first, which bound it,
-        then the rest. One link for each stray and other component is enough.
-        Blocks are bounded by rows and, on average, by bytes.
+        its signature, what it shares with the text that the component is named
+        after, one bit a shingle, and what it has besides. Strays and members
+        are dealt into blocks, and every block of strays meets every block of
+        members: signature batches prune by posterior bounds, then bits and maps
+        bound the intersection, then it is counted. One link for each stray and
+        other component is enough.
+
+        A block has `few` strays or `many` members while a side has 16 blocks
+        at most, then up to `most`; so a row is sent 16 times, or once for each
+        `most` rows of the other side. Blocks are bounded by `most_bytes` too.
         """
+        spark = self.texts.sparkSession
         components = connected_components(self.links)
-        placed = self.members.join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        placed = self.members.join(components.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
         several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
         placed = materialise(placed.join(several, "key"), "placed")
         main = placed.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        groups = materialise(placed.join(main, "key").select("main", "id", "c").distinct(), "groups")
+        groups = materialise(placed.join(main, "key").select("main", "node", "c", "n").distinct(), "groups")
         drop(placed)
-        named = self.texts.select(F.col("id").alias("main"), F.col("text").alias("main_text"))
-        coded = groups.join(self.texts.select("id", "text"), "id").join(named, "main").select("main", "id", "c", _coded(self.n)("text", "main_text").alias("code"))
-        coded = materialise(coded.select("main", "id", "c", "code.*"), "coded")
-        held = F.octet_length("common") + F.octet_length("extra") + 64
         stray = F.col("c") != F.col("main")
-        blocks = lambda n, size, block: F.ceil(F.greatest(n / block, size / most_bytes, F.lit(1)))
-        sizes = coded.groupBy("main").agg(
-            blocks(F.count("*"), F.sum(held), many).alias("all"),
-            blocks(F.count_if(stray), F.coalesce(F.sum(F.when(stray, held)), F.lit(0)), few).alias("out"),
-        )
-        dealt = coded.join(sizes, "main")
-
-        def packed(rows: DataFrame, n: str, name: str) -> DataFrame:
-            number = F.pmod(F.xxhash64("id"), F.col(n))
-            return rows.withColumn(f"{name}_no", number).groupBy("main", f"{name}_no").agg(F.collect_list(F.struct("id", "c", "size", "common", "extra")).alias(name))
-
-        left = packed(dealt.filter("c <> main"), "out", "strays")
-        right = packed(dealt, "all", "members")
-        spread = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = left.join(right, "main").repartition(spread, "main", "strays_no", "members_no")
-        found = pairs.select(F.explode(_linked(self.percent)("strays", "members")).alias("l")).select("l.a", "l.b")
-        found = materialise(found, "links")
-        drop(groups)
-        drop(coded)
+        held = 4 * HASHES + 128 + 8 * F.col("n")  # bytes of a row, at most
+        per = groups.groupBy("main").agg(F.count("*").alias("all"), F.sum(held).alias("all_bytes"), F.count_if(stray).alias("out"), F.coalesce(F.sum(F.when(stray, held)), F.lit(0)).alias("out_bytes"))
+
+        def blocks(n: str, size: str, block: int) -> Column:
+            by_rows = F.least(F.ceil(F.col(n) / block), F.greatest(F.lit(16), F.ceil(F.col(n) / most)))
+            return F.greatest(by_rows, F.ceil(F.col(size) / most_bytes), F.lit(1)).cast("long")
+
+        sizes = materialise(per.select("main", blocks("out", "out_bytes", few).alias("n_out"), blocks("all", "all_bytes", many).alias("n_all"), F.ceil(F.greatest(F.col("all") / many, F.col("all_bytes") / most_bytes)).cast("long").alias("parts")), "sizes")
+        salt = lambda of, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of))
+        dealt = groups.join(sizes, "main").withColumn("part", salt("parts", 1)).join(self.texts, "node").join(self.sigs, "node")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        named = sizes.select("main", upto("parts").alias("part")).join(self.texts.select(F.col("node").alias("main"), F.col("text").alias("main_text")), "main")
+        coded = dealt.join(named, ["main", "part"]).select("main", "node", "c", "n", "sig", "n_out", "n_all", _coded(self.n)("text", "main_text").alias("code"))
+        coded = materialise(coded.select("main", "node", "c", "n", "sig", "n_out", "n_all", "code.*"), "coded", _WIDE)
+        payload = ["node", "c", "n", "sig", "common", "extra"]
+        left = coded.filter(stray).select("main", salt("n_out", 2).alias("a"), upto("n_all").alias("b"), F.lit(0).alias("side"), *payload)
+        right = coded.select("main", upto("n_out").alias("a"), salt("n_all", 3).alias("b"), F.lit(1).alias("side"), *payload)
+        spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        met = left.unionByName(right).repartition(spread, "main", "a", "b").sortWithinPartitions("main", "a", "b", "side", "node")
+        found = materialise(met.mapInArrow(_linked(self.percent, self.miss), "a long, b long"), "links", _WIDE)
+        for done in (groups, sizes, coded):
+            drop(done)
         self.links = self.links.unionByName(found)
 
 
-CODE = T.StructType([T.StructField("size", T.LongType()), T.StructField("common", T.BinaryType()), T.StructField("extra", T.BinaryType())])
-LINK = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+CODE = T.StructType([T.StructField("common", T.BinaryType()), T.StructField("extra", T.BinaryType())])
 
 
 def _coded(n: int):
@@ -218,96 +219,159 @@ def _coded(n: int):
                 if (name := y.as_py().encode()) != last:
                     last, base = name, shingle_sets([name], n)[0]
                 own = shingle_sets([x.as_py().encode()], n)[0]
-                out.append((len(own), np.packbits(np.isin(base, own, assume_unique=True)).tobytes(), np.setdiff1d(own, base, assume_unique=True).tobytes()))
-            cols = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], CODE.names)
+                out.append((np.packbits(np.isin(base, own, assume_unique=True)).tobytes(), np.setdiff1d(own, base, assume_unique=True).tobytes()))
+            cols = zip(*out, strict=True) if out else [[]] * 2
+            yield pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in cols], CODE.names)
 
     return run
 
 
-def _block(rows: pa.StructArray) -> tuple:
-    """Ids, components, sizes, bits, maps of the rest, repeats in the maps and the rest of a block."""
-    common = [np.frombuffer(c, np.uint8) for c in rows.field("common").to_pylist()]
-    wide = -(-max(map(len, common)) // 8) * 8
-    bits = np.zeros((len(common), wide), np.uint8)
-    for i, c in enumerate(common):
-        bits[i, : len(c)] = c
-    extra = [np.frombuffer(e, np.uint64) for e in rows.field("extra").to_pylist()]
-    maps, over = np.zeros((len(extra), 256), np.uint8), np.zeros(len(extra), np.int64)
-    for i, e in enumerate(extra):
-        slots = np.unique((e >> np.uint64(53)).astype(np.int64))
-        np.bitwise_or.at(maps[i], slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-        over[i] = len(e) - len(slots)
-    return rows.field("id").to_numpy(), rows.field("c").to_numpy(), rows.field("size").to_numpy(), bits.view(np.uint64), maps.view(np.uint64), over, extra
-
+@dataclass
+class _Block:
+    """Rows of one side: nodes, components, set sizes, signatures, bits, maps of the rest, repeats in the maps and the rest."""
+
+    node: np.ndarray
+    c: np.ndarray
+    size: np.ndarray
+    sig: np.ndarray
+    bits: np.ndarray
+    maps: np.ndarray
+    over: np.ndarray
+    extra: list[np.ndarray]
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> _Block:
+        common = [np.frombuffer(c, np.uint8) for c in rows["common"].to_pylist()]
+        bits = np.zeros((len(common), -(-max(map(len, common)) // 8) * 8), np.uint8)  # as long for all: the main text's set
+        for i, c in enumerate(common):
+            bits[i, : len(c)] = c
+        extra = [np.frombuffer(e, np.uint64) for e in rows["extra"].to_pylist()]
+        maps, over = np.zeros((len(extra), 256), np.uint8), np.zeros(len(extra), np.int64)
+        for i, e in enumerate(extra):
+            slots = np.unique((e >> np.uint64(53)).astype(np.int64))
+            np.bitwise_or.at(maps[i], slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+            over[i] = len(e) - len(slots)
+        return cls(rows["node"].to_numpy(), rows["c"].to_numpy(), rows["n"].to_numpy(), _matrix(rows["sig"]), bits.view(np.uint64), maps.view(np.uint64), over, extra)
+
+
+def _links(left: _Block, right: _Block, done: list[set], percent: int, least: list[int]) -> Iterator[tuple[int, int]]:
+    """Links between strays and members of other components; done has the components that each stray is linked with."""
+    for i in range(len(left.node)):
+        apart = np.flatnonzero((right.c != left.c[i]) & (right.node != left.node[i]))
+        if not len(apart):
+            continue
+        open_ = apart[may_be_similar(right.sig[apart], np.broadcast_to(left.sig[i], (len(apart), HASHES)), least)]
+        common = np.bitwise_count(right.bits[open_] & left.bits[i]).sum(1, dtype=np.int64)
+        sizes, own = right.size[open_], left.size[i]
+        bound = common + np.bitwise_count(right.maps[open_] & left.maps[i]).sum(1, dtype=np.int64) + np.minimum(right.over[open_], left.over[i])
+        bound = np.minimum(bound, np.minimum(sizes, own))
+        for k in np.argsort(-bound, kind="stable").tolist():
+            j = open_[k]
+            if 100 * bound[k] < percent * (sizes[k] + own - bound[k]) or right.c[j] in done[i]:
+                continue
+            both = common[k] + len(np.intersect1d(left.extra[i], right.extra[j], assume_unique=True))
+            if 100 * both >= percent * (own + sizes[k] - both):
+                done[i].add(right.c[j])
+                yield int(left.node[i]), int(right.node[j])
+
+
+def _linked(percent: int, miss: float):
+    """Rows sorted by (main, a, b, side): the strays of a pair of blocks, then its members as they stream in."""
+    least = least_matches(percent, miss)
 
-def _linked(percent: int):
-    """UDF: links between strays and members of other components, one for each stray and component at most."""
-
-    @F.arrow_udf(LINK)
-    def run(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lefts, rights in it:
-            out = []
-            for left, right in zip(lefts, rights, strict=True):
-                ids, comps, sizes, bits, maps, over, extra = _block(right.values)
-                links = []
-                for i, c, size, b, m, o, e in zip(*_block(left.values), strict=True):
-                    common = np.bitwise_count(bits & b).sum(1, dtype=np.int64)
-                    bound = common + np.bitwise_count(maps & m).sum(1, dtype=np.int64) + np.minimum(over, o)
-                    bound = np.minimum(bound, np.minimum(sizes, size))
-                    open_ = np.flatnonzero((100 * bound >= percent * (sizes + size - bound)) & (comps != c) & (ids != i))
-                    done = set()
-                    for k in open_[np.argsort(-bound[open_], kind="stable")].tolist():
-                        if comps[k] in done:
-                            continue
-                        both = common[k] + len(np.intersect1d(e, extra[k], assume_unique=True))
-                        if 100 * both >= percent * (size + sizes[k] - both):
-                            done.add(comps[k])
-                            links.append({"a": int(i), "b": int(ids[k])})
-                out.append(links)
-            yield pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, left, done = None, [], None, []
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch[c].to_numpy() for c in ("main", "a", "b", "side")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if (now := tuple(keys[lo, :3].tolist())) != key:
+                    key, held, left = now, [], None
+                part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                if keys[lo, 3] == 0:
+                    held.append(part)
+                elif held:
+                    if left is None:
+                        left = _Block.of(pa.concat_tables(held))
+                        done = [set() for _ in left.node]
+                    out += _links(left, _Block.of(part), done, percent, least)
+            cols = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", nameless: bool = False) -> DataFrame:
-    """(id_col, n_shingles, component_id): components of texts whose n-word shingle sets are similar.
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text_hash, n_shingles, component, component_id): components of texts whose n-word shingle sets are similar.
 
-    Sets are equal where digests are: such rows form a class, and its smallest
-    id stands for it. Classes that share a band of the signature are candidates.
-    A bucket of many classes is not expanded into pairs: all compare with its
-    smallest id, by signature batches and then exactly, and what still lies in
-    different components is compared in full, in blocks. So a link between
-    components is missed only by the odds of the bands; `miss` is the chance at
-    which Bayesian pruning may drop a similar pair of the first step. Every link
-    is confirmed on the full sets.
+    One row for each row of docs. Sets are equal where digests are: such texts
+    form a class, a node of the search with a number of its own. Classes that
+    share a band of the signature are candidates. A bucket of many classes is
+    not expanded into pairs: all compare with its first class, by signature
+    batches and then exactly, and what still lies in different components is
+    compared in blocks, by signature batches and then exactly. So a link between
+    components is missed only by the odds of the bands, or of `miss`, the chance
+    at which Bayesian pruning may drop a similar pair. Every link is confirmed
+    on the full sets.
 
     A text with fewer than n words is one shingle; without words it is linked
-    with nothing and stands alone. Rows of one id are one document, compared by
-    the least of their texts; ids are under 2**62. Of null ids each text is a
-    document, after all others; a component of nulls only has a null id, or with `nameless` a number of its text.
+    with nothing and has no component, its component_id is its own id. Texts are
+    told apart by id and text (text_hash, 64 bits): an id may have several, each
+    with links of its own, and rows that repeat both are copies. component_id is
+    the least id of the component, null where all its ids are null; component
+    tells components apart also then, but is another number in every run.
     """
-    lean = docs.select(row_id(F.col(id_col), F.col(text_col)).alias("id"), F.col(text_col).alias("text"))
-    found = materialise(lean.select("id", _described(n)("text").alias("d")).select("id", "d.*"), "described")
-    classes = materialise(found.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    held = classes.select(F.col("digest").alias("rep_digest"), "rep")
-    nodes = found.join(held, (F.col("id") == F.col("rep")) & (F.col("digest") == F.col("rep_digest"))).select("id", "sig")
-    bands = nodes.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key", "leader")
+    lean = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
+    found = materialise(lean.select("i", "h", "id", _described(n)("text").alias("d")).select("i", "h", "id", "d.*"), "described")
+    classes = found.filter("n > 0").groupBy("digest").agg(F.min(F.struct("i", "h")).alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.min("id").alias("least"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    bands = classes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader")
     members = materialise(bands.join(buckets, "key"), "members")  # a plain join, so that Spark can split a bucket of very many
-    wanted = materialise(members.select("id").distinct(), "wanted")
-    sigs = materialise(nodes.join(wanted, "id").groupBy("id").agg(F.min("sig").alias("sig")), "sigs")
-    texts = materialise(lean.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    search = _Search(members.select("key", "id"), sigs, texts, n, percent, miss)
-    search.verify(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    wanted = materialise(members.select("node").distinct(), "wanted")
+    sigs = materialise(classes.join(wanted, "node").select("node", "sig", "rep.i", "rep.h"), "sigs")
+    texts = materialise(lean.join(sigs.select("node", "i", "h"), ["i", "h"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    search = _Search(members.select("key", "node", "n"), sigs.select("node", "sig"), texts, n, percent, miss)
+    search.verify(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     search.finish()
     components = materialise(connected_components(search.links), "components")
     for done in (texts, sigs, members, wanted):
         drop(done)
-    of = found.select("id", "n", "digest").join(classes, "digest", "left").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    smallest = F.coalesce("component", "rep", "id")
-    clean = lambda c: c if nameless else F.when(c < _NAMELESS, c)
-    return of.select(clean(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), clean(smallest).alias("component_id"))
+    placed = classes.select("digest", "node", "least").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialise(placed.select("digest", "component", "least"), "placed")
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = placed.select("digest", "component").join(least, "component")
+    of = found.select("id", "h", "n", "digest").join(named, "digest", "left")
+    own = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return of.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"), "component", own.alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component: of the least id (null last), then text_hash, then of the other columns.
+
+    Texts without words are no duplicates of any other and stay; rows that
+    repeat id and text are copies there too.
+    """
+    found = near_duplicates(docs, n, percent, id_col=id_col, text_col=text_col)
+    i, h = fresh(docs, "_i"), fresh(docs, "_h")
+    mark = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i"), F.col("text_hash").alias("h")]
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), "text_hash")
+    kept = found.filter("component is not null").groupBy("component").agg(F.min_by(F.struct(*mark), order).alias("k")).select("k.*")
+    kept = kept.unionByName(found.filter("component is null").select(*mark)).distinct().select(F.col("i").alias(i), F.col("h").alias(h))
+    named = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), h: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = F.min(whole) if _ordered(docs.schema) else F.any_value(whole)
+    return named.join(kept, [i, h], "left_semi").groupBy(i, h).agg(least.alias("row")).select("row.*")
+
+
+def _ordered(kind: T.DataType) -> bool:
+    """Whether Spark can compare values of this type."""
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return _ordered(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
 
 
 def op5_neardup(spark, sf_dir: str) -> DataFrame:

@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of this application under spark.checkpoint.dir.
 
     The setting is read from the session. Only where it is unset, as in tests
-    on one machine, a temporary folder is chosen and kept in the session.
+    on one machine, a temporary folder is chosen and kept in the session; on a
+    cluster, whose machines share no such folder, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/riskloom-{spark.sparkContext.applicationId}"
@@ -43,26 +47,32 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Writes in here delete their shuffle files at their end."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The setting has this value in here."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Writes in here delete their shuffle files at their end."""
+    return setting(spark, _CLEANUP, "true")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     """Write df once as Parquet and read it back.
 
     It cuts the lineage, so a lost executor costs one re-read, and it freezes
     values such as partition numbers that a recomputation could change. The
     shuffle files of the write are deleted with its end: nothing reads them.
+    `batch` bounds the rows that Python workers get at a time, for wide rows.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    with shuffles_dropped(spark):
+    with shuffles_dropped(spark), setting(spark, _BATCH, str(batch)) if batch else nullcontext():
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

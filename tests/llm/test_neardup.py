@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from riskloom.llm.components import connected_components
-from riskloom.llm.neardup import HASHES, least_matches, near_duplicates, shingle_sets, signatures
+from riskloom.llm import neardup
+from riskloom.llm.neardup import HASHES, first_of_each, least_matches, near_duplicates, shingle_sets, signatures
 
 
 def brute(rows, n, percent=80):
@@ -84,3 +85,33 @@ def test_connected_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
     alone = {x for p in pairs if p[0] == p[1] for x in p} - {x for p in pairs if p[0] != p[1] for x in p}
     assert got == {x: find(x) for x in root if x not in alone}
+
+
+def test_ids_with_several_texts(spark):
+    """Each text of an id is linked by itself, in whatever order the rows come."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    changed = b.replace("b100 ", "q ")
+    for rows in ([(5, a), (5, b), (9, changed)], [(9, changed), (5, b), (5, a)]):
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.component) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {(i, m) for i, _, m, _ in got} == {(5, 5), (9, 5)} and len(got) == 3
+        assert len({k for _, _, _, k in got}) == 2
+    docs = spark.createDataFrame([(1, a, 0), (2, a, 0), (2, c, 3), (2, c, 1), (None, "only one", 0), (None, "", 4), (None, "", 2), (7, None, 0)], "doc_id long, text string, _h int")
+    left = sorted(map(repr, map(tuple, first_of_each(docs).collect())))
+    assert left == sorted(map(repr, [(1, a, 0), (2, c, 1), (None, "only one", 0), (None, "", 2), (7, None, 0)]))
+
+
+def test_blocks_of_a_large_group(spark):
+    """Variants of one text that are near, but mostly not near enough: every block of strays meets every block of members."""
+    rng = random.Random(3)
+    hot = [f"h{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(edited(rng, hot, 0.03))) for i in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 5)
+    assert 5 < len({c for _, c in want.values()}) < 255
+    real = neardup._Search.finish
+    try:
+        for few, many, most_bytes in ((256, 512, 4 << 20), (8, 16, 4 << 20), (256, 512, 6000)):
+            neardup._Search.finish = lambda self, a=few, b=many, c=most_bytes: real(self, a, b, most_bytes=c)
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == want
+    finally:
+        neardup._Search.finish = real
