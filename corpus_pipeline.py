@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.decontaminate import without_benchmark
 from riskloom.llm.mixing import mix_sources
-from riskloom.llm.neardup import near_duplicates
+from riskloom.llm.neardup import first_of_each
 from riskloom.llm.quality import score_quality
 from riskloom.llm.scratch import fresh, materialise
 from riskloom.llm.sharding import shard_by_bytes
@@ -30,15 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Five-word shingles, similarity 0.8. Documents without words are no
     duplicates and stay. Documents are told apart by id and text, so an id may
     have several texts; a null id is after all others. Of rows that repeat the
-    kept id and text one stays.
+    kept id and text the one of the least other columns stays.
     """
-    uid = fresh(docs, "_uid")
-    named = docs.withColumn(uid, F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
-    found = near_duplicates(named.select(F.col(uid).alias("id"), "text"), n=5, id_col="id", nameless=True).select("id", "component_id").distinct()
-    ids = named.groupBy(F.col(uid).alias("id")).agg(F.min("doc_id").alias("doc_id"))  # one, but for repeated rows
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first")
-    kept = found.join(ids, "id").groupBy("component_id").agg(first).select(F.col("first.id").alias(uid))
-    return named.join(kept, uid, "left_semi").dropDuplicates([uid, "text"]).drop(uid)
+    return first_of_each(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
