@@ -25,14 +25,27 @@ def test_top_k(spark):
     rows += [(300 + i, [0.5, 0.5, 0.0, 0.0, 0.1, -0.2]) for i in range(150)]  # one vector, a third of all
     rows += [(900, None), (905, [None] * 6), (910, [float("nan")] * 6), (915, [float("inf")] + [0.0] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for k, bits, block in ((5, 6, 2048), (3, 2, 16), (1, 10, 20)):
-        got = sorted(map(tuple, top_k(df, F.col("vec_id") % 5 == 0, k=k, bits=bits, block=block).collect()))
+    for k, bits, block, chunk in ((5, 6, 2048, 1 << 16), (3, 2, 16, 90), (1, 10, 20, 40)):
+        got = sorted(map(tuple, top_k(df, F.col("vec_id") % 5 == 0, k=k, bits=bits, block=block, chunk=chunk).collect()))
         assert got == brute(rows, k)
     few = df.filter("vec_id < 3")
     assert sorted(map(tuple, top_k(few, F.col("vec_id") % 5 == 0).collect())) == brute(rows[:3], 5)
     assert top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_repeated_ids_and_huge_components(spark):
+    """One vector an id, the least; sums beyond 64 bits are the largest or least long."""
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.25]), (1, [0.5, 0.0]), (1, [2.0, 2.0]), (2, [0.25, 0.0]), (3, [1e300, 0.0]), (4, [-1e300, 1e16]), (5, [1e13, 0.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, top_k(df, F.col("vec_id") % 5 == 0, k=4).collect()))
+        big, most = int(256 * 1e13), 2**63 - 1
+        assert got == [
+            (0, 1, 3, most), (0, 2, 5, 128 * big), (0, 3, 1, 128 * 128), (0, 4, 2, 128 * 64),
+            (5, 1, 3, most), (5, 2, 0, 128 * big), (5, 3, 1, 128 * big), (5, 4, 2, 64 * big),
+        ]
+
+
 PAGES = [(1, "u", "x" * 2000), (2, "u 2\r\n", "x" * 2000), (3, None, None), (4, "u", "WARC/1.1\r\n\r\n\r\n" * 200), (5, "", ""), (6, "q", "WARC/1.1\r\n\r\n\r\n" * 200), (7, "é", "é\x00\r\n"), (7, "é", "é\x00\r\n"), (8, None, "z" * 1000), (None, "é", "z" * 1000), (9, "s", "same"), (10, "s", "same")]
 
 
