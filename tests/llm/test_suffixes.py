@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from riskloom.llm.suffixes import remove_repeats, repeats, suffix_order
+from riskloom.llm.suffixes import gram_lengths, previous_factors, previous_smaller, remove_repeats, repeats, suffix_order
 
 
 def brute(rows, length, keep):
@@ -73,3 +73,58 @@ def test_suffix_order():
         assert order.tolist() == sorted(range(400), key=lambda i: (raw[i : i + depth], i))
     earlier, other = repeats([b"abcdefgh" * 3, b"abcdefghabcdefgh"], 16)
     assert earlier[0].tolist()[:9] == [False] * 8 + [True] and other[1][0]
+
+
+def naive_factors(text, starts, depth):
+    out = []
+    for i in starts:
+        best = 0
+        for j in (j for j in starts if j < i):
+            k = 0
+            while k < depth and i + k < len(text) and text[i + k] == text[j + k]:
+                k += 1
+            best = max(best, k)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 5, 8, 13, 40, 64])
+def test_longest_previous_factors(depth):
+    rng = np.random.default_rng(depth)
+    texts = [rng.integers(97, 97 + k, 180).astype(np.uint8) for k in (1, 2, 4)]
+    texts += [np.concatenate((t[40:120], t, t[::-1], t[:90])) for t in texts] + [np.tile(texts[2][:23], 9), np.frombuffer(b"ab\0\0c\0ab\0\0c\0ab", np.uint8)]
+    for text in texts:
+        for starts in (np.arange(len(text)), np.flatnonzero(rng.random(len(text)) < 0.5)):
+            lengths, sources = previous_factors(text, starts, depth)
+            assert lengths.tolist() == naive_factors(text, starts.tolist(), depth)
+            for i, n, j in zip(starts.tolist(), lengths.tolist(), sources.tolist(), strict=True):
+                assert (n == 0 and j == -1) or (j < i and (text[i : i + n] == text[j : j + n]).all())
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(2)
+    for x in (rng.permutation(3000), np.arange(3000), np.arange(3000)[::-1], np.concatenate((np.arange(1, 5000), [0], np.arange(9000, 5000, -1), [1]))):
+        stack, want = [], []
+        for i, v in enumerate(x.tolist()):
+            while stack and x[stack[-1]] >= v:
+                stack.pop()
+            want.append(stack[-1] if stack else -1)
+            stack.append(i)
+        assert previous_smaller(x).tolist() == want
+
+
+def test_gram_lengths():
+    assert gram_lengths(400) == [32, 309, 378, 396, 400] and gram_lengths(32) == [32]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_hot_anchor_stays_in_suffix_order(spark, keep):
+    """One passage in every text, shorter than a window, between texts that are each text's own or shared by two."""
+    rng = random.Random(7)
+    own = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, sides = own(55), [own(20) for _ in range(25)]
+    rows = [(i, rng.choice(sides) + passage + rng.choice(sides) + own(5)) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (1, 10, 2048):
+        got = sorted((r.doc_id, r._removed.n_removed, r._removed.n_spans, r._removed.kept_sha256, bytes(r._removed.kept)) for r in remove_repeats(docs, 60, keep, group).collect())
+        assert got == brute(rows, 60, keep)
