@@ -1,4 +1,4 @@
-"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: word pairs, or words of short items, as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,13 +10,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.scratch import drop, materialise
+from riskloom.llm.scratch import drop, fresh, materialise
 from riskloom.llm.words import ALNUM, batches, lower, word_hashes
 
 #: Scores of an alignment of words.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words of a seed.
-SEED = 2
+
+
+def seed_words(length: int, threshold: float) -> int:
+    """Words of a seed of an item: every alignment at the threshold holds a run of so many matches.
+
+    An alignment of M matches without two in a row has M - 1 breaks at least,
+    so it scores M + 1 at most; with 2 * threshold * n > n + 1 that is too little.
+    """
+    return 2 if length * (2 * threshold - 1) > 1 + 1e-9 else 1
+
+
+@dataclass
+class Seeds:
+    """Runs of `size` words, as sorted codes, and where they stand: (item, place) lists."""
+
+    size: int
+    codes: np.ndarray
+    places: list[list[tuple[int, int]]]
 
 
 @dataclass
@@ -26,31 +42,34 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     vocabulary: np.ndarray
-    seeds: np.ndarray
-    places: list[list[tuple[int, int]]]
+    seeds: list[Seeds]
     counts: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]]) -> Items:
+    def of(cls, rows: list[tuple[int, str | None]], threshold: float = 0.6, least: int = 3) -> Items:
         hashes, first, _, _ = word_hashes([lower((t or "").encode()) for _, t in rows], ALNUM)
         vocabulary = np.unique(hashes)
         numbers = np.searchsorted(vocabulary, hashes)
         words = [numbers[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        at: dict[int, list[tuple[int, int]]] = {}
-        for k, w in enumerate(words):
-            for p, code in enumerate(_codes(w, len(vocabulary)).tolist()):
-                at.setdefault(code, []).append((k, p))
-        seeds = np.array(sorted(at), np.int64)
-        return cls([i for i, _ in rows], words, vocabulary, seeds, [at[s] for s in seeds.tolist()], [np.unique(w, return_counts=True) for w in words])
-
-
-def _codes(numbers: np.ndarray, base: int) -> np.ndarray:
-    """One number for each run of SEED words; below 0 if a word is unknown (-1)."""
-    n = len(numbers) - SEED + 1
+        seeds = []
+        for size in (1, 2):
+            at: dict[int, list[tuple[int, int]]] = {}
+            for k, w in enumerate(words):
+                if len(w) >= least and seed_words(len(w), threshold) == size:
+                    for p, code in enumerate(_codes(w, len(vocabulary), size).tolist()):
+                        at.setdefault(code, []).append((k, p))
+            codes = np.array(sorted(at), np.int64)
+            seeds.append(Seeds(size, codes, [at[s] for s in codes.tolist()]))
+        return cls([i for i, _ in rows], words, vocabulary, seeds, [np.unique(w, return_counts=True) for w in words])
+
+
+def _codes(numbers: np.ndarray, base: int, size: int) -> np.ndarray:
+    """One number for each run of `size` words; below 0 if a word is unknown (-1)."""
+    n = len(numbers) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     out, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-    for k in range(SEED):
+    for k in range(size):
         part = numbers[k : k + n]
         bad |= part < 0
         out = out * base + part
@@ -61,58 +80,59 @@ def _slack(length: int) -> int:
     return max(4, length)
 
 
+def _hits(numbers: np.ndarray, first: np.ndarray, seeds: Seeds, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in the joined words, seed) of every seed in texts."""
+    codes = _codes(numbers, base, seeds.size)
+    if not len(seeds.codes) or not len(codes):
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    place = np.minimum(np.searchsorted(seeds.codes, codes), len(seeds.codes) - 1)
+    hit = np.flatnonzero((seeds.codes[place] == codes) & (codes >= 0))
+    text_of = np.searchsorted(first, hit, "right") - 1
+    inside = hit + seeds.size <= first[text_of + 1]
+    return text_of[inside], hit[inside], place[hit[inside]]
+
+
 def find_windows(texts: list[bytes], items: Items, threshold: float = 0.6) -> Iterator[tuple[int, list[tuple[int, int, list[int]]]]]:
     """(text, windows) for texts with a seed; a window is (item, first word, word numbers).
 
     Seeds of an item whose places agree on where the item would begin, up to its
-    length, share a window. An alignment of M matches without a seed has M - 1
-    breaks at least, so at 0.6 of the full score of n words M + 1 >= 1.2 n: any
-    alignment of an item of six words or more holds a seed. It matches
-    threshold * n words at least; windows that share fewer with the item are
-    left out.
+    length, share a window. Every alignment at the threshold holds a seed, see
+    seed_words(), and has fewer than as many words of the text too many as the
+    item has words, so it lies in the seed's window. It matches threshold * n
+    words at least; windows that share fewer with the item are left out.
     """
     hashes, first, _, _ = word_hashes([lower(t) for t in texts], ALNUM)
-    if not len(hashes) or not len(items.seeds):
+    if not len(hashes) or not len(items.vocabulary):
         return
     at = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     numbers = np.where(items.vocabulary[at] == hashes, at, -1)
-    codes = _codes(numbers, len(items.vocabulary))
-    place = np.minimum(np.searchsorted(items.seeds, codes), len(items.seeds) - 1)
-    hit = np.flatnonzero((items.seeds[place] == codes) & (codes >= 0))
-    text_of = np.searchsorted(first, hit, "right") - 1
-    inside = hit + SEED <= first[text_of + 1]
-    hit, text_of = hit[inside], text_of[inside]
-    cuts = np.flatnonzero(np.diff(text_of)) + 1
-    for group in np.split(np.arange(len(hit)), cuts):
-        if not len(group):
-            continue
-        t = int(text_of[group[0]])
+    begins: dict[int, dict[int, list[int]]] = {}
+    for seeds in items.seeds:
+        for t, p, s in zip(*(x.tolist() for x in _hits(numbers, first, seeds, len(items.vocabulary))), strict=True):
+            found = begins.setdefault(t, {})
+            for item, offset in seeds.places[s]:
+                found.setdefault(item, []).append(p - offset)
+    for t in sorted(begins):
         low, high = int(first[t]), int(first[t + 1])
-        found: dict[int, list[tuple[int, int]]] = {}
-        for p, s in zip(hit[group].tolist(), place[hit[group]].tolist(), strict=True):
-            for item, offset in items.places[s]:
-                found.setdefault(item, []).append((p - offset, s))
         windows = []
         held = np.bincount(numbers[low:high] + 1, minlength=len(items.vocabulary) + 1)[1:]
-        for item, starts in found.items():
+        for item, starts in begins[t].items():
             length = len(items.words[item])
-            if length <= SEED:
-                continue
             own, times = items.counts[item]
             if np.minimum(held[own], times).sum() < threshold * length - 1e-9:
                 continue
             starts.sort()
-            cluster: list[tuple[int, int]] = []
-            for begin, s in [*starts, (1 << 60, -1)]:
-                if cluster and begin - cluster[0][0] > length:
-                    a = max(low, cluster[0][0] - _slack(length))
-                    b = min(high, cluster[-1][0] + length + _slack(length))
+            cluster: list[int] = []
+            for begin in [*starts, 1 << 60]:
+                if cluster and begin - cluster[0] > length:
+                    a = max(low, cluster[0] - _slack(length))
+                    b = min(high, cluster[-1] + length + _slack(length))
                     inside_item = np.sort(numbers[a:b])
                     shared = np.searchsorted(inside_item, own, "right") - np.searchsorted(inside_item, own)
                     if np.minimum(shared, times).sum() >= threshold * length - 1e-9:
                         windows.append((item, a - low, numbers[a:b].tolist()))
                     cluster = []
-                cluster.append((begin, s))
+                cluster.append(begin)
         yield t, windows
 
 
@@ -147,23 +167,24 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iter
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, common: float = 0.01, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, common: float = 0.01, least: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """(id_col, text_hash, item_col, score): texts that hold a test item, or an edited copy.
 
     Words are runs of ASCII letters, digits and bytes over 0x7F, in lower case. The
     benchmark goes over all texts in blocks of bounded size. Seeds are an item's
-    pairs of words; windows around them that share enough words with the item
-    are aligned, equal windows once. No seed is left out for being frequent;
-    `common` stays for callers and has no effect. Lost: copies of items of three
-    to five words with a word put between every two.
-    score is the alignment's share of the score of an exact copy. Items under
-    three words and null or empty texts match nothing; a row per text and item.
+    pairs of words, or the words of an item so short that an edited copy may
+    hold no pair; windows around them that share enough words with the item are
+    aligned, equal windows once. No seed is left out for being frequent, and no
+    alignment at the threshold is lost; `common` stays for callers and has no
+    effect. score is the best alignment's share of the score of an exact copy.
+    Items under `least` words (they are found everywhere) and null or empty
+    texts match nothing; a row per text and item.
     """
     spark = docs.sparkSession
     lean = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     out = None
     for rows in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        items = Items.of(rows)
+        items = Items.of(rows, threshold, least)
         sent = spark.sparkContext.broadcast(items)  # about block_bytes
         found = materialise(lean.mapInArrow(_windows(sent, threshold), "id long, h long, windows array<struct<item: int, start: int, words: array<int>>>"), "seeds")
         windows = found.select("id", "h", F.explode("windows").alias("w")).select("id", "h", "w.item", "w.words")
@@ -213,8 +234,9 @@ def _aligned(sent, threshold: float):
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the texts that contaminated() reports; columns stay, null ids are told apart by their text."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hit_hash"))
+    hit_id, hit_hash = fresh(docs, "_hit_id"), fresh(docs, "_hit_hash")
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hit_hash))
     return docs.join(found, same, "left_anti")
 
 

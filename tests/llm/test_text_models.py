@@ -66,6 +66,39 @@ def test_contaminated_without_long_seeds(spark):
     assert set(got) == {(1, 1), (2, 1), (3, 2)}
 
 
+def test_contaminated_against_all_alignments(spark):
+    """Every document with every item of 1 to 60 words, by plain alignment of the whole text."""
+    rng = random.Random(9)
+    word = lambda n: f"w{rng.randint(0, n)}"
+    items = [(n, [word(400) for _ in range(n)]) for n in [*range(1, 13), 15, 20, 30, 45, 60]]
+    items += [(100, ["again"] * 8), (101, ["a", "b"] * 6), (102, ["only", "one", "only", "two"])]
+    docs = []
+    for k, (_, w) in enumerate(items):
+        for edit in range(7):
+            own = list(w)
+            for _ in range(round(len(w) * edit / 18)):
+                j = rng.randrange(len(own))
+                own[j : j + rng.choice([0, 1])] = [rng.choice(["zz", word(400)])] * rng.choice([0, 1])
+                own = own or ["zz"]
+            if edit == 5:
+                own = [x for v in w for x in (v, "yy")]
+            if edit == 6:
+                own = [x for j, v in enumerate(w) for x in ([v, "yy"] if j % 2 else [v])]
+            docs.append((k * 10 + edit, [word(900) for _ in range(rng.randint(0, 40))] + own + [word(900) for _ in range(rng.randint(0, 40))]))
+    docs += [(5000 + i, [word(60) for _ in range(150)]) for i in range(20)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    scores = {(i, k): align(t, w) / (2 * len(t)) for i, w in docs for k, t in items if set(t) & set(w)}
+    for least in (1, 3):
+        for threshold in (0.6, 0.8):
+            got = {(r.doc_id, r.item_id): round(r.score, 9) for r in contaminated(df, bench, threshold, least=least).collect()}
+            assert got == {p: round(v, 9) for p, v in scores.items() if v >= threshold - 1e-12 and len(dict(items)[p[1]]) >= least}
+    clash = df.withColumns({c: F.lit("x") for c in ("_hit_id", "_hit_hash", "item_id", "score")})
+    left = without_benchmark(clash, bench)
+    assert left.columns == clash.columns
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for (i, k), v in scores.items() if v >= 0.6 - 1e-12 and len(dict(items)[k]) >= 3}
+
+
 def test_automaton_finds_longest_matches():
     rng = random.Random(5)
     strings = [[rng.randint(0, 3) for _ in range(rng.randint(4, 20))] for _ in range(5)]
