@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +18,8 @@ from riskloom.llm.scratch import drop_path, new_path, shuffles_dropped
 #: Fixed values of the format.
 VERSION, EOL = "WARC/1.1", "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_EPOCH = "2024-01-01T00:00:00Z"
+#: Bytes of a gzip member at most, so that the last byte of its length is 0.
+_MEMBER = (1 << 24) - 1
 
 
 def _pack(payload: str) -> Column:
@@ -55,15 +58,18 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> Archive:
+def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> Archive:
     """Store every page: its payload once for each SHA-256, its exact header block apart.
 
     Payloads are the text in UTF-8, empty for null. Of equal payloads of at
     least `least` bytes the row with the largest id is the response and the
     others revisit it; smaller ones are responses all. Rows that repeat the
     largest id are responses too, and a null id is below all others. Null urls
-    have an empty target. Equal payloads are found by digest alone, through
-    partial aggregation and a join, so a frequent page is no group in one task.
+    have an empty target; a url that no header line can hold as it is also
+    stands in Base64 beside its escaped form, so it comes back unchanged. `date`
+    is every record's, as pages have none. Equal payloads are found by digest
+    alone, through partial aggregation and a join, so a frequent page is no
+    group in one task.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
@@ -77,11 +83,13 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     lean = rows.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     placed = lean.join(holders, "digest")
     revisit = (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("holder"))
+    escaped = F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20")
     fields = [
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         ("WARC-Record-ID", _record_id(F.col("page_id"))),
-        ("WARC-Date", F.lit(_EPOCH)),
-        ("WARC-Target-URI", F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20")),
+        ("WARC-Date", F.lit(date)),
+        ("WARC-Target-URI", escaped),
+        ("X-Target-URI-Base64", F.when(escaped != F.col("url"), F.translate(F.base64(F.encode("url", "UTF-8")), EOL, ""))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         ("X-Payload-SHA256", F.col("digest")),
         ("X-Payload-Length", F.col("size").cast("string")),
@@ -107,19 +115,40 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     return carrying.unionByName(headers.filter("digest is null").select("header", F.lit(b"").alias("payload")))
 
 
-def export_warc(records: DataFrame, mean_bytes: int, target_bytes: int = 16 << 20) -> str:
-    """Write records as gzipped WARC files of about target_bytes each and return their folder.
+def _members(record: bytes) -> Iterator[bytes]:
+    """A record as gzip members: one, but for records of 16 MB and more."""
+    for at in range(0, len(record), _MEMBER):
+        yield gzip.compress(record[at : at + _MEMBER], 6, mtime=0)
 
-    A record is header, payload and two line ends. Payloads are UTF-8, so
-    Spark's text writer puts the bytes out as they are, from the partitions in
-    which the records are. The mean size of a record sets how many a file gets.
+
+def export_warc(records: DataFrame, target_bytes: int = 32 << 20) -> str:
+    """Write records as WARC files, a gzip member a record, and return their folder.
+
+    A record is header, payload and two line ends. A file is closed by the
+    record with which it reaches target_bytes, compressed, so readers can seek to
+    any member and hold any file. Spark's text writer puts a file's bytes out as
+    they are, as one line; the end of the line is the NUL byte in which the
+    length at a member's end ends.
     """
     spark = records.sparkSession
     path = new_path(spark, "warc")
-    whole = F.concat(F.col("header"), F.decode("payload", "UTF-8"))
-    out = records.select(whole.alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in it:
+            for header, payload in zip(batch["header"], batch["payload"], strict=True):
+                for member in _members(header.as_py().encode() + payload.as_py() + (EOL + EOL).encode()):
+                    held.append(member)
+                    size += len(member)
+                if size >= target_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["file"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["file"])
+
+    files = records.select("header", "payload").mapInArrow(run, "file binary")
     with shuffles_dropped(spark):
-        out.option("maxRecordsPerFile", max(1, target_bytes // max(1, mean_bytes))).text(path)
+        files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -145,11 +174,9 @@ READ = "page_id long, record_type string, payload_bytes long, payload_digest str
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Parse gzipped WARC files; each payload is checked against its length and both digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         for batch in it:
             for content in batch["content"]:
                 out: list[tuple] = []
@@ -158,7 +185,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     size = int(f["X-Payload-Length"])
                     if kind == "response" and (len(block) != size or hashlib.sha1(block).hexdigest() != sha1 or hashlib.sha256(block).hexdigest() != f["X-Payload-SHA256"]):
                         raise ValueError(f"payload of {f['WARC-Record-ID']} does not match its digests")
-                    out.append((int(f["X-Page-ID"]) if "X-Page-ID" in f else None, kind, size, sha1, int(f["X-Refers-To-Page"]) if kind == "revisit" else None, f["WARC-Target-URI"], f["X-Payload-SHA256"], kind == "revisit"))
+                    url = base64.b64decode(f["X-Target-URI-Base64"]).decode() if "X-Target-URI-Base64" in f else f["WARC-Target-URI"]
+                    out.append((int(f["X-Page-ID"]) if "X-Page-ID" in f else None, kind, size, sha1, int(f["X-Refers-To-Page"]) if kind == "revisit" else None, url, f["X-Payload-SHA256"], kind == "revisit"))
                 names = [x.split(" ")[0] for x in READ.split(", ")]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
@@ -170,8 +198,7 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     archive = write_archive(pages)
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    folder = export_warc(read_records(spark, archive), int(mean) + 600)
+    folder = export_warc(read_records(spark, archive))
     for stored in (archive.payloads, archive.headers):
         drop_path(spark, stored)
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,6 +1,8 @@
 """Vector search against brute force, archives by exact round trip."""
 
+import gzip
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,6 +51,22 @@ def test_repeated_ids_and_huge_components(spark):
 PAGES = [(1, "u", "x" * 2000), (2, "u 2\r\n", "x" * 2000), (3, None, None), (4, "u", "WARC/1.1\r\n\r\n\r\n" * 200), (5, "", ""), (6, "q", "WARC/1.1\r\n\r\n\r\n" * 200), (7, "é", "é\x00\r\n"), (7, "é", "é\x00\r\n"), (8, None, "z" * 1000), (None, "é", "z" * 1000), (9, "s", "same"), (10, "s", "same")]
 
 
+def members_of(data):
+    """Each gzip member of a file, unpacked."""
+    while data:
+        unpacker = zlib.decompressobj(31)
+        yield unpacker.decompress(data)
+        data = unpacker.unused_data
+
+
+def test_archive_of_a_very_long_page(spark):
+    rng = random.Random(1)
+    pages = [(1, "u" * 200 + "\n", "".join(rng.choice("abcdefgh") for _ in range(1 << 20)) * 17), (2, "v", "short")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = {r.page_id: r for r in read_warc(spark, export_warc(read_records(spark, write_archive(df)))).collect()}
+    assert {i: (r.payload_bytes, r.url) for i, r in rows.items()} == {i: (len(h), u) for i, u, h in pages}
+
+
 def test_archive_round_trip(spark):
     pages = spark.createDataFrame([(*p, 0) for p in PAGES], "page_id long, url string, html string, digest int")
     archive = write_archive(pages)
@@ -58,7 +76,13 @@ def test_archive_round_trip(spark):
     parsed = [next(parse_warc(r.header.encode() + bytes(r.payload) + b"\r\n\r\n")) for r in records.collect()]
     whole = {int(f["X-Page-ID"]): b for f, b in parsed if f["WARC-Type"] == "response"}
     assert all(whole[i].decode() == (h or "") for i, _, h in PAGES if i in whole)
-    rows = {r.page_id: r for r in read_warc(spark, export_warc(records, 500, 2000)).collect()}
+    folder = export_warc(records, 600)
+    rows = {r.page_id: r for r in read_warc(spark, folder).collect()}
+    assert {(r.page_id, r.url) for r in rows.values()} == {(i, u or "") for i, u, _ in PAGES}
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(folder).collect()]
+    members = [m for f in files for m in members_of(f)]
+    assert len(files) > 2 and max(map(len, files)) < 600 + max(len(gzip.compress(m)) for m in members) + 20
+    assert len(members) == len(PAGES) and all(len(list(parse_warc(m))) == 1 for m in members)
     assert rows[1].record_type == "revisit" and rows[1].refers_to == 2
     assert rows[4].refers_to == 6 and rows[None].refers_to == 8
     assert {i for i, r in rows.items() if r.record_type == "response"} == {2, 3, 5, 6, 7, 8, 9, 10}
