@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ TEMPLATES = {
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
 }
 
+#: Whole licences, as published, by label.
+LICENCES = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
 
 @dataclass
 class Automaton:
@@ -93,22 +97,35 @@ class Automaton:
                     up = a.link[up]
         return a
 
-    def matches(self, tokens: Sequence[int], least: int) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of each longest match that cannot be extended."""
+    def matches(self, tokens: Sequence[int], least: int) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(end, length, string, its ends) of each string's longest matches that cannot be extended in it.
+
+        The state's strings match at full length, those of the states that it
+        links to at the length of these. A string whose match did not grow by
+        one has a match that ends before this token.
+        """
         state, size = 0, 0
+        held: dict[int, tuple[int, int]] = {}
         for i, token in enumerate(tokens):
-            if token not in self.moves[state]:
-                if size >= least:
-                    yield i, size, state
-                while state > 0 and token not in self.moves[state]:
-                    state = self.link[state]
+            while state > 0 and token not in self.moves[state]:
+                state = self.link[state]
                 size = self.length[state]
-            if token in self.moves[state]:
-                state, size = self.moves[state][token], size + 1
-            else:
-                state, size = 0, 0
-        if size >= least:
-            yield len(tokens), size, state
+            state, size = (self.moves[state][token], size + 1) if token in self.moves[state] else (0, 0)
+            now: dict[int, tuple[int, int]] = {}
+            up, long = state, size
+            while long >= least:
+                for k, _ in self.ends[up]:
+                    now.setdefault(k, (long, up))
+                up = self.link[up]
+                long = self.length[up]
+            yield from self._ended(held, now, i)
+            held = now
+        yield from self._ended(held, {}, len(tokens))
+
+    def _ended(self, held: dict[int, tuple[int, int]], now: dict[int, tuple[int, int]], at: int) -> Iterator[tuple[int, int, int, list[int]]]:
+        for k, (size, state) in held.items():
+            if k not in now or now[k][0] != size + 1:
+                yield at, size, k, [e for j, e in self.ends[state] if j == k]
 
 
 class Scanner:
@@ -189,27 +206,23 @@ class Scanner:
                 row["spans"].append({"template": self.labels[k], "start_word": start, "end_word": end, "coverage": share})
 
         for a, b in runs:
-            for end, size, state in self.automaton.matches(ids[a:b].tolist(), self.least):
+            for end, size, k, places in self.automaton.matches(ids[a:b].tolist(), self.least):
                 start, stop = a + end - size - base, a + end - base
-                seen: dict[int, list[int]] = {}
-                for k, e in self.automaton.ends[state]:
-                    seen.setdefault(k, []).append(e)
-                for k, places in seen.items():
-                    chain = open_.get(k)
-                    whole = len(self.templates[k])
-                    fit = []
-                    for e in places if chain else ():
-                        over = max(0, chain[2] - (e - size), chain[1] - start)
-                        again = over and min(chain[3], size) >= self.cover * whole
-                        if over < min(size, chain[3]) and not again and start + over <= chain[1] + whole:
-                            fit.append((over, e))
-                    if fit:
-                        over, e = min(fit)
-                        chain[1], chain[2], chain[3] = stop, e, chain[3] + size - over
-                    else:
-                        if chain:
-                            close(k)
-                        open_[k] = [start, stop, min(places), size]
+                chain = open_.get(k)
+                whole = len(self.templates[k])
+                fit = []
+                for e in places if chain else ():
+                    over = max(0, chain[2] - (e - size), chain[1] - start)
+                    again = over and min(chain[3], size) >= self.cover * whole
+                    if over < min(size, chain[3]) and not again and start + over <= chain[1] + whole:
+                        fit.append((over, e))
+                if fit:
+                    over, e = min(fit)
+                    chain[1], chain[2], chain[3] = stop, e, chain[3] + size - over
+                else:
+                    if chain:
+                        close(k)
+                    open_[k] = [start, stop, min(places), size]
         for k in list(open_):
             close(k)
 
@@ -242,10 +255,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
     automaton of the templates; matches of `least` words or more are chained
     into spans, and a template covered to `cover` or more adds its label. score
     is the best coverage of a template in one span. Spans count words from 0.
+    Templates are the notices of TEMPLATES and the whole texts of LICENCES, if
+    no others are given.
     Null and empty texts have no words, empty labels and score 0. There is no
     shuffle; templates are small parameters.
     """
-    args = (tuple(sorted((templates or TEMPLATES).items())), tuple((phrases or PHRASES).items()), least, cover)
+    args = (tuple(sorted((templates or TEMPLATES | LICENCES).items())), tuple((phrases or PHRASES).items()), least, cover)
 
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type

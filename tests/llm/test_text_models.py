@@ -4,7 +4,7 @@ import random
 import re
 
 from riskloom.llm.decontaminate import contaminated, smith_waterman, without_benchmark
-from riskloom.llm.licenses import PHRASES, TEMPLATES, Automaton, scan_licenses
+from riskloom.llm.licenses import LICENCES, PHRASES, TEMPLATES, Automaton, scan_licenses
 from riskloom.llm.quality import Scorer, expectation_maximisation, fit, score_quality
 
 import numpy as np
@@ -102,16 +102,17 @@ def test_contaminated_against_all_alignments(spark):
 def test_automaton_finds_longest_matches():
     rng = random.Random(5)
     strings = [[rng.randint(0, 3) for _ in range(rng.randint(4, 20))] for _ in range(5)]
-    runs = {tuple(s[i:j]) for s in strings for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    strings += [strings[0][:6], strings[1][2:9], strings[0] + strings[1]]
     automaton = Automaton.of(strings)
+    held = [{tuple(s[i:j]): [e for e in range(1, len(s) + 1) if s[e - (j - i) : e] == s[i:j] and e >= j - i] for i in range(len(s)) for j in range(i + 1, len(s) + 1)} for s in strings]
     for _ in range(50):
         text = [rng.randint(0, 4) for _ in range(30)]
-        for end, size, state in automaton.matches(text, 3):
-            found = tuple(text[end - size : end])
-            assert found in runs
-            assert end == len(text) or tuple(text[end - size : end + 1]) not in runs
-            assert all(tuple(strings[k][e - size : e]) == found for k, e in automaton.ends[state])
-            assert {(k, e) for k, s in enumerate(strings) for e in range(size, len(s) + 1) if tuple(s[e - size : e]) == found} == set(automaton.ends[state])
+        longest = lambda k, end: max((n for n in range(1, end + 1) if tuple(text[end - n : end]) in held[k]), default=0)
+        want = []
+        for k in range(len(strings)):
+            reach = [longest(k, end) for end in range(len(text) + 1)] + [0]
+            want += [(end, reach[end], k, held[k][tuple(text[end - reach[end] : end])]) for end in range(len(text) + 1) if reach[end] >= 3 and reach[end + 1] != reach[end] + 1]
+        assert sorted((*m[:3], sorted(m[3])) for m in automaton.matches(text, 3)) == sorted(want)
 
 
 def test_licences(spark):
@@ -147,6 +148,56 @@ def test_licence_with_a_doubled_word(spark):
         assert spans == [1.0] * (2 if r.doc_id.endswith("twice") else 1)
 
 
+def test_whole_licences(spark):
+    """A file with a whole licence gets its label; one that only quotes a part of it does not."""
+    docs = [(k, "Copyright 2020 someone\n" + t) for k, t in LICENCES.items()] + [(f"part of {k}", " ".join(t.split()[: len(t.split()) // 3])) for k, t in LICENCES.items()]
+    for r in scan_licenses(spark.createDataFrame(docs, "doc_id string, text string")).collect():
+        found = {s.template: s for s in r.license.spans}
+        label = r.doc_id.removeprefix("part of ")
+        if label == r.doc_id:
+            assert r.license.score == 1 and found[label].coverage == 1 and found[label].start_word == 3
+        else:
+            assert label not in found
+
+
+def test_chained_spans_against_segments(spark):
+    """Edits cut a template into segments; those of `least` words or more are covered, in one span."""
+    rng = random.Random(4)
+    templates = {f"t{k}": [f"w{k}x{i}" for i in range(n)] for k, n in enumerate((9, 30, 80, 200))}
+    docs, want = [], {}
+    for i in range(120):
+        text, spans = [f"f{j}" for j in range(rng.randint(0, 9))], []
+        for name in rng.sample(sorted(templates), 2):
+            words, segments, run = templates[name], [], 0
+            start = len(text)
+            for w in words:
+                edit = rng.random()
+                if edit < 0.02:  # dropped
+                    segments.append((start, run))
+                    start, run = len(text), 0
+                    continue
+                if edit < 0.05:  # replaced, or one put before
+                    segments.append((start, run))
+                    text.append("zz")
+                    start, run = len(text), 0
+                    if edit < 0.035:
+                        continue
+                text.append(w)
+                run += 1
+            segments.append((start, run))
+            long = [(a, n) for a, n in segments if n >= 4]
+            share = sum(n for _, n in long) / len(words)
+            if share >= 0.6:
+                spans.append((name, long[0][0], sum(long[-1]), round(share, 9)))
+            text += [f"g{j}" for j in range(250)]
+        docs.append((i, " ".join(text)))
+        want[i] = sorted(spans)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = scan_licenses(df, {k: " ".join(w) for k, w in templates.items()}).collect()
+    assert {r.doc_id: sorted((s.template, s.start_word, s.end_word, round(s.coverage, 9)) for s in r.license.spans) for r in rows} == want
+    assert all(r.license.labels == ",".join(sorted({s.template for s in r.license.spans})) for r in rows)
+
+
 def small_corpus(n=400):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice(["ba", "ke", "lo", "mi", "tu"]) for _ in range(rng.randint(1, 4)))
