@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,6 +153,26 @@ def export_warc(records: DataFrame, target_bytes: int = 32 << 20) -> str:
     return path
 
 
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The records of a file of gzip members, those that several members hold in one; small pieces go in, so each byte is copied a few times at most."""
+    at, parts = 0, []
+    while at < len(data):
+        member, out = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("the file ends inside a gzip member")
+            piece = data[at : at + (16 << 10)]
+            out.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        parts.append(b"".join(out))
+        if len(parts[-1]) < _MEMBER:
+            yield b"".join(parts)
+            parts = []
+    if parts:
+        yield b"".join(parts)
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record of an uncompressed WARC file; faults raise."""
     at, end = 0, EOL.encode()
@@ -180,7 +201,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         for batch in it:
             for content in batch["content"]:
                 out: list[tuple] = []
-                for f, block in parse_warc(gzip.decompress(content.as_buffer())):
+                for f, block in (x for record in unpacked(content.as_py()) for x in parse_warc(record)):
                     kind, sha1 = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(f["X-Payload-Length"])
                     if kind == "response" and (len(block) != size or hashlib.sha1(block).hexdigest() != sha1 or hashlib.sha256(block).hexdigest() != f["X-Payload-SHA256"]):
