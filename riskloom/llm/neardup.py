@@ -154,7 +154,7 @@ class _Search:
         self.links = materialise(found, "links", _WIDE)
         drop(pairs)
 
-    def finish(self, few: int = 256, many: int = 512, most: int = 8192, most_bytes: int = 4 << 20) -> None:
+    def finish(self, few: int = 64, many: int = 128, most: int = 8192, most_bytes: int = 4 << 20) -> None:
         """Link what is still apart in a bucket, without a row per pair.
 
         The largest component of a bucket is its main one; members outside it
@@ -166,8 +166,8 @@ class _Search:
         bound the intersection, then it is counted. One link for each stray and
         other component is enough.
 
-        A block has `few` strays or `many` members while a side has 16 blocks
-        at most, then up to `most`; so a row is sent 16 times, or once for each
+        A block has `few` strays or `many` members while a side has 64 blocks
+        at most, then up to `most`; so a row is sent 64 times, or once for each
         `most` rows of the other side. Blocks are bounded by `most_bytes` too.
         """
         spark = self.texts.sparkSession
@@ -183,7 +183,7 @@ class _Search:
         per = groups.groupBy("main").agg(F.count("*").alias("all"), F.sum(held).alias("all_bytes"), F.count_if(stray).alias("out"), F.coalesce(F.sum(F.when(stray, held)), F.lit(0)).alias("out_bytes"))
 
         def blocks(n: str, size: str, block: int) -> Column:
-            by_rows = F.least(F.ceil(F.col(n) / block), F.greatest(F.lit(16), F.ceil(F.col(n) / most)))
+            by_rows = F.least(F.ceil(F.col(n) / block), F.greatest(F.lit(64), F.ceil(F.col(n) / most)))
             return F.greatest(by_rows, F.ceil(F.col(size) / most_bytes), F.lit(1)).cast("long")
 
         sizes = materialise(per.select("main", blocks("out", "out_bytes", few).alias("n_out"), blocks("all", "all_bytes", many).alias("n_all"), F.ceil(F.greatest(F.col("all") / many, F.col("all_bytes") / most_bytes)).cast("long").alias("parts")), "sizes")
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     tells components apart also then, but is another number in every run.
     """
     lean = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
-    found = materialise(lean.select("i", "h", "id", _described(n)("text").alias("d")).select("i", "h", "id", "d.*"), "described")
+    found = materialise(lean.select("i", "h", "id", _described(n)("text").alias("d")).select("i", "h", "id", "d.*"), "described", _WIDE)
     classes = found.filter("n > 0").groupBy("digest").agg(F.min(F.struct("i", "h")).alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.min("id").alias("least"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     bands = classes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("key"))
