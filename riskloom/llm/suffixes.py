@@ -302,7 +302,7 @@ def _order_suffixes(length: int, keep: str):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", group: int = 2048) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", group: int = 512) -> DataFrame:
     """(id, t, spans): bytes of each text covered by a string of `length` bytes that repeats.
 
     docs has id, t (a hash of the text) and text. keep="none" counts a string
@@ -332,9 +332,12 @@ def _level(rows: DataFrame, length: int, gram: int, keep: str, group: int | None
     """Blocks that share a key with others, with their text, and the spans found: of equal blocks, and of keys up to `group`."""
     key = ["id", "t", "b"]
     found = materialise(rows.mapInArrow(_find_blocks(length, gram), "h long, e long, id long, t int, b long, p long, n int"), "blocks")
-    distinct = found.groupBy("h", "e").agg(F.count("*").alias("c"), F.min(F.struct("id", "t", "p", "n", "b")).alias("r"))
+    distinct = materialise(found.groupBy("h", "e").agg(F.count("*").alias("c"), F.min(F.struct("id", "t", "p", "n", "b")).alias("r")), "distinct")
     per_key = distinct.groupBy("h").agg(F.count("*").alias("nd"), F.sum("c").alias("all")).filter("all > 1")
+    per_key = materialise(per_key, "keys")  # written, so that Spark can split a frequent key in the join
     shared = materialise(distinct.join(per_key.select("h", "nd"), "h").select("h", "e", "c", "nd", "r.*"), "shared")
+    drop(distinct)
+    drop(per_key)
     full = shared.filter("c > 1").select("h", "e", *(F.col(x).alias(f"r_{x}") for x in ("id", "t", "p")))
     copies = found.join(full, ["h", "e"])
     if keep == "first":
@@ -387,7 +390,7 @@ def text_hash(text: Column) -> Column:
     return F.hash(F.coalesce(text, F.lit("")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", group: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", group: int = 512, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
     """Add _removed (in place of one): n_removed, n_spans, kept_sha256 and, if asked, the bytes kept.
 
     Texts are bytes in UTF-8, null is empty, matches never cross texts. See
