@@ -1,7 +1,10 @@
-"""What back-end code of seven languages shows: symbols, calls, writes, auth and endpoints, by patterns over lines.
+"""What back-end code of seven languages shows: symbols, calls, writes, auth and endpoints.
 
-A method is a line that declares one, to the line before the next declaration
-of its class or file. Names, attributes and edges are read from that text.
+A declaration is a line that fits a pattern. It ends where the braces that are
+open before it are closed again, or in Python where a line is indented no deeper.
+Ends and enclosing classes are found by filling values along sorted lines, so no
+declaration meets all lines of its file. Braces in strings and in comments that
+end with their line do not count.
 """
 
 from __future__ import annotations
@@ -11,12 +14,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import extension
+from riskloom.functions.text import contains_any, extension
 
 
 @dataclass(frozen=True)
 class Language:
-    """Patterns of a language. Group 1 of class_ and method is the name; of field its type, and group 2 the field."""
+    """Patterns of a language. Group 1 of class_ and method is the name; of field its type, and group 2 the field.
+
+    auth_marks and route_marks fit names of attributes or decorators; with
+    class_marks those of the class count for its methods.
+    """
 
     extensions: tuple[str, ...]
     class_: str
@@ -24,13 +31,16 @@ class Language:
     field: str = ""
     call: str = ""
     auth: str = ""
-    endpoint: str = ""
     writes: str = ""
     external: str = ""
     concurrency: str = ""
     memory: str = ""
     field_first: bool = False
     writes_to: str = "db"
+    property_: str = ""
+    auth_marks: str = ""
+    route_marks: str = ""
+    class_marks: bool = False
 
 
 #: Extensions of files and patterns of edges.
@@ -41,10 +51,11 @@ LANGUAGES = {
         r"^\s*(?:public|private|protected|internal)\s+(?:static\s+|async\s+|virtual\s+|override\s+)*[\w<>\[\],\s?]+?\s+(\w+)\s*\(",
         r"private\s+readonly\s+(\w+)\s+(_\w+)",
         r"\b(_\w+)\.(\w+)\s*\(",
-        r"\[Authorize",
-        r"\[(Http\w+)",
-        r"SaveChanges(?:Async)?\s*\(",
-        r"(?:GetAsync|PostAsync|PutAsync|DeleteAsync|SendAsync)\s*\(",
+        writes=r"SaveChanges(?:Async)?\s*\(",
+        external=r"(?:GetAsync|PostAsync|PutAsync|DeleteAsync|SendAsync)\s*\(",
+        property_=r"^\s*(?:public|private|protected|internal)\s+(?!class\b|interface\b|record\b|enum\b|struct\b)(?:static\s+|virtual\s+|override\s+|required\s+)*[\w<>\[\],.?]+\s+(\w+)\s*(?:\{|=>)",
+        auth_marks="^Authorize$",
+        route_marks="^Http",
     ),
     "java": Language(
         (".java",),
@@ -52,10 +63,11 @@ LANGUAGES = {
         r"^\s*(?:public|private|protected)\s+(?:static\s+|final\s+|synchronized\s+)*[\w<>\[\],\s?]+?\s+(\w+)\s*\(",
         r"(?:private|protected)\s+(?:final\s+)?(\w+)\s+(\w+)\s*[;=]",
         r"\b(?:this\.)?(\w+)\.(\w+)\s*\(",
-        r"@(?:PreAuthorize|Secured|RolesAllowed)",
-        r"@(\w*Mapping)",
-        r"\.save\(|\.delete\(|\.saveAll\(|\.saveAndFlush\(",
-        r"restTemplate\.|webClient\.|httpClient\.",
+        writes=r"\.save\(|\.delete\(|\.saveAll\(|\.saveAndFlush\(",
+        external=r"restTemplate\.|webClient\.|httpClient\.",
+        auth_marks="^(PreAuthorize|Secured|RolesAllowed)$",
+        route_marks="^(Get|Post|Put|Delete|Patch|Request)Mapping",
+        class_marks=True,
     ),
     "python": Language(
         (".py",),
@@ -66,16 +78,17 @@ LANGUAGES = {
         external=r"requests\.(get|post|put|delete)|httpx\.",
     ),
     "nodejs": Language(
-        (".js", ".ts", ".mjs", ".cjs"),
+        (".js", ".ts", ".mjs", ".cjs", ".tsx"),
         r"\bclass\s+(\w+)",
         r"^\s*(?:export\s+)?(?:public\s+|private\s+|protected\s+)?(?:async\s+)?(?:function\s+)?(?!if\b|for\b|while\b|switch\b|return\b|catch\b)(\w+)\s*\([^;]*\{\s*$",
         r"(?:private|protected)\s+(?:readonly\s+)?(\w+)\s*:\s*(\w+)",
         r"this\.(\w+)\.(\w+)\s*\(",
-        r"@UseGuards|@Roles",
-        r"@(Get|Post|Put|Delete|Patch)\b",
-        r"prisma\.\w+\.(create|update|delete|upsert)|\.save\s*\(|repository\.(save|delete)",
-        r"axios\.|fetch\s*\(|http\.(get|post)",
+        writes=r"prisma\.\w+\.(create|update|delete|upsert)|\.save\s*\(|repository\.(save|delete)",
+        external=r"axios\.|fetch\s*\(|http\.(get|post)",
         field_first=True,
+        auth_marks="^(UseGuards|AuthGuard|JwtAuthGuard|RolesGuard|Roles)$",
+        route_marks="^(Get|Post|Put|Delete|Patch|Options|All)$",
+        class_marks=True,
     ),
     "go": Language(
         (".go",),
@@ -106,6 +119,13 @@ LANGUAGES = {
         writes_to="storage",
     ),
 }
+#: Parts of Python decorators that make a route, and methods of routes in scripts.
+ROUTES = (".get", ".post", ".put", ".delete", ".patch", ".options", "route", "api_view")
+VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
+#: Deepest indentation of Python declarations that is told apart.
+_DEEPEST = 64
+#: Lines of a cell in which bodies meet their lines.
+_CELL = 64
 #: Other names of languages.
 ALIASES = {"node.js": "nodejs", "c++": "cpp"}
 #: Confidence of edges; locks are more certain in C++.
@@ -129,46 +149,173 @@ def languages_in_diff(diffs: DataFrame, id_col: str = "diff_id", text_col: str =
     return diffs.select(id_col, names.alias("languages"), F.arrays_overlap(found, front).alias("frontend"))
 
 
-def symbol_kind(language: str, class_name: Column, name: Column, path: Column, attributes: Column) -> Column:
-    """controller_action, service_method, repository_method or method, by attributes and names."""
-    where = F.lower(F.concat_ws("/", path, class_name))
-    web = F.size(attributes) > 0 if language in ("csharp", "java", "nodejs") else F.lit(False)
-    action = web | F.contains(where, F.lit("controller")) | F.contains(where, F.lit("handler")) if language != "python" else F.size(attributes) > 0
-    return F.when(action, "controller_action").when(F.contains(where, F.lit("repositor")), "repository_method").when(F.contains(where, F.lit("service")), "service_method").otherwise("method" if language != "go" else "service_method")
+def symbol_kind(language: str, class_name: Column, name: Column, path: Column, marks: Column, class_marks: Column, params: Column) -> Column:
+    """controller_action, service_method, repository_method or method.
+
+    marks and class_marks are names of attributes, params the first list in
+    parentheses of the declaration, in Go that of a receiver. Each language has
+    its own rule for what a web entry is and where names are looked for.
+    """
+    has = lambda text, *words: contains_any(F.lower(text), words)
+    ends = lambda word: F.endswith(class_name, F.lit(word))
+    where = F.concat_ws(" ", class_name, path)
+    if language == "csharp":
+        rules = (ends("Controller") | F.exists(marks, lambda m: m.startswith("Http")), ends("Service"), ends("Repository"))
+    elif language == "java":
+        of_class = lambda *names: F.arrays_overlap(class_marks, F.array(*(F.lit(n) for n in names)))
+        web = of_class("RestController", "Controller") | F.exists(F.concat(marks, class_marks), lambda m: F.endswith(m, F.lit("Mapping")))
+        rules = (web, of_class("Service") | ends("Service"), of_class("Repository") | ends("Repository"))
+    elif language == "nodejs":
+        web = F.exists(F.concat(marks, class_marks), lambda m: m.rlike(LANGUAGES["nodejs"].route_marks)) | has(where, "controller")
+        rules = (web, has(where, "service"), has(where, "repo"))
+    elif language == "python":
+        rules = (is_route(marks), has(where, "service"), has(where, "repo"))
+    elif language == "php":
+        rules = (has(where, "controller"), has(where, "service"), has(where, "repo"))
+    elif language == "go":
+        web = contains_any(params, ("gin.Context", "echo.Context", "fiber.Ctx", "http.ResponseWriter"))
+        rules = (web, has(where, "service"), has(where, "repo", "store"))
+    else:
+        where = F.concat_ws(" ", class_name, name)
+        rules = (contains_any(params, ("ServerContext", "HttpRequest")), has(where, "service"), has(where, "repo", "store"))
+    kind = F.when(rules[0], "controller_action").when(rules[1], "service_method").when(rules[2], "repository_method")
+    return (kind.when(has(where, "handler"), "controller_action") if language in ("go", "cpp") else kind).otherwise("method")
+
+
+def property_kind(class_name: Column, path: Column) -> Column:
+    """entity_property, model_property or property, by the path and class."""
+    where = F.lower(F.concat_ws(" ", path, class_name))
+    return F.when(F.contains(where, F.lit("entity")), "entity_property").when(contains_any(where, ("model", "dto", "request", "response")), "model_property").otherwise("property")
+
+
+def is_route(marks: Column) -> Column:
+    """Is one of a Python declaration's decorators a route?"""
+    return F.exists(marks, lambda m: contains_any(F.lower(m), ROUTES))
+
+
+def mark_names(text: Column, language: str) -> Column:
+    """Names of the attributes or decorators of a line, without what stands in parentheses."""
+    bare = F.regexp_replace(text, r"\((?:[^()]|\([^()]*\))*\)", "")
+    if language == "csharp":
+        return F.regexp_extract_all(bare, F.lit(r"[\[,]\s*(\w[\w.]*)"), F.lit(1))
+    names = F.regexp_extract_all(bare, F.lit(r"@\s*(\w[\w.]*)"), F.lit(1))
+    return F.transform(names, lambda n: F.element_at(F.split(n, r"\."), -1)) if language == "java" else names
+
+
+def _ends(lines: DataFrame, language: str) -> DataFrame:
+    """Lines (file, line, text, class and name of what they declare) with level and, where they declare, end_line."""
+    by = Window.partitionBy("file").orderBy("line")
+    ahead = Window.partitionBy("file", "level").orderBy("line", "k").rowsBetween(0, Window.unboundedFollowing)
+    none = F.lit(None).cast("int")
+    head = F.col("name").isNotNull() | F.col("class").isNotNull()
+    if language == "python":
+        bare = F.ltrim("text")
+        code = lines.withColumn("level", F.length("text") - F.length(bare)).filter((bare != "") & ~bare.startswith("#"))
+        code = code.withColumns({"before": F.lag("level").over(by), "upto": F.lag("line").over(by), "last": F.max("line").over(Window.partitionBy("file"))})
+        closes = code.filter(~bare.rlike(r"^[)\]}]") & F.col("before").isNotNull() & (F.col("level") <= F.col("before")))
+        events = closes.select("file", F.explode(F.sequence("level", "before")).alias("level"), "line", F.lit(0).alias("k"), F.col("upto").alias("end"))
+        rest = F.col("last")
+    else:
+        bare = F.regexp_replace(F.regexp_replace("text", r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`", "\"\""), r"//.*$", "")
+        count = lambda c: F.length("bare") - F.length(F.replace("bare", F.lit(c)))
+        code = lines.withColumn("bare", bare).withColumns({"opens": count("{"), "shuts": count("}")})
+        code = code.withColumn("after", F.sum(F.col("opens") - F.col("shuts")).over(by).cast("int")).withColumn("level", (F.col("after") - F.col("opens") + F.col("shuts")).cast("int"))
+        top = (F.col("level") + F.col("opens") - 1).cast("int")
+        closes = code.filter((F.col("shuts") > 0) & (top >= F.col("after")))
+        events = closes.select("file", F.explode(F.sequence("after", top)).alias("level"), "line", F.lit(1).alias("k"), F.col("line").alias("end"))
+        rest = F.col("line")
+    told = code.filter(head)
+    both = told.select("file", "level", "line", F.lit(1 if language == "python" else 0).alias("k"), none.alias("end"), F.struct(*(c for c in told.columns if c not in ("file", "level", "line"))).alias("_h"))
+    marked = both.unionByName(events, allowMissingColumns=True).withColumn("end_line", F.first("end", True).over(ahead)).filter("_h is not null")
+    out = marked.select("file", "level", "line", "end_line", "_h.*")
+    bodiless = F.lit(language != "python") & F.col("text").rlike(r";\s*$") & ~F.contains("text", F.lit("{"))
+    return out.withColumn("end_line", F.when(bodiless, F.col("line")).otherwise(F.coalesce("end_line", rest)))
+
+
+def _owned(heads: DataFrame, language: str) -> DataFrame:
+    """Declarations of methods with owner: the class, or in Python also the function, that they stand in."""
+    scope = F.struct("class", F.col("line").alias("from"), F.col("end_line").alias("to"), F.col("marks").alias("class_marks"))
+    if language == "python":
+        opened = heads.filter(F.col("level") < _DEEPEST).withColumn("at", F.explode(F.sequence(F.col("level") + 1, F.lit(_DEEPEST))))
+    else:
+        opened = heads.filter("class is not null").withColumn("at", F.col("level") + 1)
+    opens = opened.select("file", "at", "line", F.lit(0).alias("k"), scope.alias("scope"))
+    own = heads.filter("name is not null").withColumns({"at": F.col("level"), "k": F.lit(1), "scope": F.lit(None).cast(opens.schema["scope"].dataType)})
+    near = F.last("scope", True).over(Window.partitionBy("file", "at").orderBy("line", "k").rowsBetween(Window.unboundedPreceding, -1))
+    filled = own.unionByName(opens, allowMissingColumns=True).withColumn("scope", near).filter("k = 1")
+    return filled.withColumn("owner", F.when(F.col("scope.to") >= F.col("line"), F.col("scope"))).drop("at", "k", "scope")
 
 
 def code_symbols(files: DataFrame, language: str) -> DataFrame:
-    """file, class_name, symbol, symbol_type, start_line, end_line, node_id, attributes, body of methods of one language.
-
-    files: file, content. attributes are the decorators or attributes on the
-    lines right above. Functions outside a class have the id file:name.
+    """file, class_name, symbol, symbol_type, start_line, end_line, node_id, attributes, body of what one language declares.
+
+    files: file, content. attributes are the names of decorators or attributes
+    on the lines right above, in Java and Node also those of the class. Functions
+    outside a class have the id file:name. C# properties have types of their
+    own. Calls such as router.post('/path', ...) are controller actions of Node
+    with the id file:method:path. Properties and routes have no body, as no edges
+    are read from them. Constructors of PHP and Node, special methods of Python
+    but __init__, and its functions that are no routes outside a class, are left out.
     """
-    spec = LANGUAGES[language_name(language)]
+    language = language_name(language)
+    spec = LANGUAGES[language]
     own = files.filter(extension(F.col("file")).isin(*spec.extensions))
-    lines = own.select("file", F.posexplode(F.split("content", "\r?\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
+    lines = own.select("file", F.posexplode(F.split("content", "\r?\n")).alias("n", "text")).select("file", (F.col("n") + 1).alias("line"), "text")
+    is_class = F.col("text").rlike(spec.class_)
+    method = F.when(F.col("text").rlike(spec.method) & ~is_class, F.regexp_extract("text", spec.method, 1))
+    prop = F.when(F.col("text").rlike(spec.property_) & ~is_class & method.isNull(), F.regexp_extract("text", spec.property_, 1)) if spec.property_ else F.lit(None).cast("string")
+    is_mark = F.col("text").rlike(r"^\s*[@\[]") & method.isNull()
     by = Window.partitionBy("file").orderBy("line")
-    is_class, is_method = F.col("text").rlike(spec.class_), F.col("text").rlike(spec.method)
-    name = F.when(is_method & ~is_class, F.regexp_extract("text", spec.method, 1))
-    mark = F.col("text").rlike(r"^\s*[@\[#]") & ~is_method
-    # lines above a declaration belong to it as attributes: count declarations from below
-    starts = F.sum(F.when(name.isNotNull() | is_class, 1).otherwise(0)).over(by)
-    marked = lines.withColumns({"name": name, "class_name": F.last(F.when(is_class, F.regexp_extract("text", spec.class_, 1)), True).over(by), "part": starts, "mark": F.when(mark, F.trim("text"))})
-    up = Window.partitionBy("file").orderBy(F.desc("line"))
-    below = F.sum(F.when(~mark, 1).otherwise(0)).over(up)
-    grouped = marked.withColumn("run", below)
-    marks = grouped.filter("mark is not null").groupBy("file", "run").agg(F.collect_list("mark").alias("attributes"))
-    heads = grouped.filter("name is not null").join(marks, ["file", "run"], "left")
-    body = marked.groupBy("file", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n").alias("body"), F.max("line").alias("end_line"))
-    out = heads.join(body, ["file", "part"]).withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
-    owner = F.coalesce("class_name", F.lit(""))
-    if language_name(language) == "go":
+    told = lines.withColumns({"class": F.when(is_class, F.regexp_extract("text", spec.class_, 1)), "name": F.coalesce(method, prop), "is_property": prop.isNotNull(), "is_mark": is_mark})
+    # marks and the line below them have as many other lines before them
+    told = told.withColumn("run", F.sum(F.when(F.col("is_mark"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    group = Window.partitionBy("file", "run").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = told.withColumn("marks", F.flatten(F.collect_list(F.when(F.col("is_mark"), mark_names(F.col("text"), language))).over(group))).drop("run", "is_mark")
+    heads = _owned(_ends(told, language).select("file", "level", "line", "end_line", "text", "class", "name", "is_property", "marks"), language)
+    none = F.array().cast("array<string>")
+    class_marks = F.coalesce("owner.class_marks", none)
+    owner = F.coalesce("owner.class", F.lit(""))
+    if language == "go":
         owner = F.regexp_extract("text", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1)
-    elif language_name(language) == "python":
-        owner = F.when(F.col("text").rlike(r"^\s"), owner).otherwise("")
-    owned = out.withColumn("class_name", owner)
-    kind = symbol_kind(language, F.col("class_name"), F.col("name"), F.col("file"), F.col("attributes"))
+    elif language == "cpp":
+        outside = F.regexp_extract("text", r"(\w+)::~?\w+\s*\(", 1)
+        owner = F.when(outside != "", outside).otherwise(owner)
+    elif language == "python":
+        inner = F.col("owner").isNotNull() & F.col("owner.class").isNull()
+        special = F.col("name").startswith("__") & (F.col("name") != "__init__")
+        heads = heads.filter(~inner & F.when(F.col("owner").isNull(), (F.col("level") == 0) & is_route(F.col("marks"))).otherwise(~special))
+    if language in ("nodejs", "php"):
+        heads = heads.filter(~F.col("name").isin("constructor", "__construct"))
+    params = F.regexp_extract("text", r"\(([^)]*)\)?", 1)
+    named = heads.withColumn("class_name", owner)
+    kind = symbol_kind(language, F.col("class_name"), F.col("name"), F.col("file"), F.col("marks"), class_marks, params)
+    kind = F.when(F.col("is_property"), property_kind(F.col("class_name"), F.col("file"))).otherwise(kind)
     node = F.concat(F.col("file"), F.lit(":"), F.when(F.col("class_name") != "", F.concat("class_name", F.lit("."))).otherwise(""), F.col("name"))
-    return owned.select("file", "class_name", F.col("name").alias("symbol"), kind.alias("symbol_type"), F.col("line").alias("start_line"), "end_line", node.alias("node_id"), "attributes", "body")
+    attributes = F.concat("marks", class_marks) if spec.class_marks else F.col("marks")
+    out = named.select("file", "class_name", F.col("name").alias("symbol"), kind.alias("symbol_type"), F.col("line").alias("start_line"), "end_line", node.alias("node_id"), attributes.alias("attributes"), "is_property")
+    whole = _bodies(out.filter("not is_property"), lines).unionByName(out.filter("is_property").withColumn("body", F.lit(""))).drop("is_property")
+    return whole.unionByName(_routes(lines)) if language == "nodejs" else whole
+
+
+def _bodies(symbols: DataFrame, lines: DataFrame) -> DataFrame:
+    """Symbols with body, their lines from start_line to end_line; both sides meet in cells of lines."""
+    cell = lambda c: F.floor(F.col(c) / _CELL)
+    spans = symbols.select("file", "start_line", "end_line").distinct().withColumn("cell", F.explode(F.sequence(cell("start_line"), cell("end_line"))))
+    inside = lines.withColumn("cell", cell("line")).join(spans, ["file", "cell"]).filter("line between start_line and end_line")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n")
+    return symbols.join(inside.groupBy("file", "start_line", "end_line").agg(text.alias("body")), ["file", "start_line", "end_line"]).select(*symbols.columns, "body")
+
+
+def _routes(lines: DataFrame) -> DataFrame:
+    """Calls of web methods, as of routers: a controller action each, named method:path or by the method alone."""
+    pattern = rf"(?i)\w\.({'|'.join(VERBS)})\s*\(\s*(?:'([^']*)'|\"([^\"]*)\")?"
+    calls = lines.filter(F.col("text").rlike(pattern)).select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("call"))
+    verb, path = F.lower(F.regexp_extract("call", pattern, 1)), F.concat(F.regexp_extract("call", pattern, 2), F.regexp_extract("call", pattern, 3))
+    name = F.concat_ws(":", verb, F.when(path != "", path))
+    return calls.select(
+        "file", F.lit("").alias("class_name"), name.alias("symbol"), F.lit("controller_action").alias("symbol_type"), F.col("line").alias("start_line"), F.col("line").alias("end_line"),
+        F.concat_ws(":", "file", name).alias("node_id"), F.array(F.upper(verb)).alias("attributes"), F.lit("").alias("body"),
+    )
 
 
 def _hits(symbols: DataFrame, pattern: str, edge_type: str, target: Column | None, prefix: str, confidence: str) -> DataFrame:
@@ -191,15 +338,17 @@ def code_edges(files: DataFrame, symbols: DataFrame, language: str) -> DataFrame
 
     language = language_name(language)
     spec = LANGUAGES[language]
+    if language == "nodejs":
+        symbols = symbols.filter("class_name <> ''")  # functions outside a class have no edges
     node = F.concat_ws(".", F.when(F.col("class_name") != "", F.col("class_name")), "symbol")
     parts = []
-    if spec.auth:
-        above = F.exists("attributes", lambda a: a.rlike(spec.auth))
-        hit = symbols.filter(above | F.col("body").rlike(spec.auth))
+    if spec.auth or spec.auth_marks:
+        above = F.exists("attributes", lambda a: a.rlike(spec.auth_marks)) if spec.auth_marks else F.lit(False)
+        hit = symbols.filter((F.col("body") != "") & (above | (F.col("body").rlike(spec.auth) if spec.auth else F.lit(False))))
         goal = F.concat(F.lit("auth:"), F.col("node_id") if language == "python" else node)
         parts.append(hit.select(F.col("node_id").alias("source"), goal.alias("target"), F.lit("requires_auth").alias("edge_type"), F.concat_ws(":", "file", "start_line").alias("evidence"), F.lit("high").alias("confidence")))
-    if spec.endpoint:
-        hit = symbols.filter(F.exists("attributes", lambda a: a.rlike(spec.endpoint)))
+    if spec.route_marks:
+        hit = symbols.filter((F.col("body") != "") & F.exists("attributes", lambda a: a.rlike(spec.route_marks)))
         parts.append(hit.select(F.col("node_id").alias("source"), F.concat(F.lit("endpoint:"), node).alias("target"), F.lit("exposes_endpoint").alias("edge_type"), F.concat_ws(":", "file", "start_line").alias("evidence"), F.lit("high").alias("confidence")))
     for pattern, edge, prefix in ((spec.writes, "writes_db", spec.writes_to), (spec.external, "calls_external_api", "external"), (spec.concurrency, "concurrency_boundary", "concurrency"), (spec.memory, "memory_ownership", "memory")):
         if pattern:
