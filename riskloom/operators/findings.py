@@ -268,8 +268,9 @@ def standard_context(minimal: DataFrame, snippets: DataFrame) -> DataFrame:
 
 def verbose_context(standard: DataFrame, diff: DataFrame, paths: DataFrame) -> DataFrame:
     """The standard context with the diff (one row) and all chains of the paths."""
-    chains = paths.agg(F.sort_array(F.collect_list(F.array_join("path", " → "))).alias("chains"))
-    return standard.join(F.broadcast(diff.select("text"))).join(F.broadcast(chains))  # one row each
+    one = F.lit(1).alias("_one")  # one row each, of any size: Spark broadcasts what is small
+    chains = paths.agg(F.sort_array(F.collect_list(F.array_join("path", " → "))).alias("chains")).select("chains", one)
+    return standard.select("*", one).join(diff.select("text", one), "_one").join(chains, "_one").drop("_one")
 
 
 def adversarial_context(findings: DataFrame, symbols: DataFrame, callers: DataFrame, each: int = 3, lines: int = 30) -> DataFrame:
@@ -283,5 +284,5 @@ def adversarial_context(findings: DataFrame, symbols: DataFrame, callers: DataFr
 
 
 def send_comments(comments: DataFrame, send) -> None:
-    """Call send(row) for each comment, on the executors; what it does is up to the caller."""
-    comments.foreach(send)
+    """Call send(rows) with an iterator over the comments of each partition, on the executors; what it does is up to the caller."""
+    comments.foreachPartition(send)

@@ -40,7 +40,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 3, edge_type: str | N
     front = typed.join(seeds.select(F.col("node").alias("source")).distinct(), "source").select(F.col("target").alias("node"), F.array("target").alias("path")).distinct()
     out = None
     for d in range(1, depth + 1):
-        front = _cut(front)
+        front = _cut(front) if d < depth else front  # the last hop is read once
         level = front.select("node").distinct().withColumn("depth", F.lit(d))
         out = level if out is None else out.unionByName(level)
         if d < depth:

@@ -67,7 +67,10 @@ def symbol_end(lines: DataFrame, symbols: DataFrame, by: str = "file", most: int
     braces are closed as opened ends it; without braces the last line before one
     that is indented no deeper does; else it is start_line + fallback.
     """
-    near = symbols.join(lines, by).filter((F.col("line") >= F.col("start_line")) & (F.col("line") < F.col("start_line") + most))
+    cell = lambda c: F.floor(c / most)
+    dealt = symbols.withColumn("_cell", F.explode(F.sequence(cell(F.col("start_line")), cell(F.col("start_line") + most - 1))))
+    near = dealt.join(lines.withColumn("_cell", cell(F.col("line"))), [by, "_cell"]).drop("_cell")
+    near = near.filter((F.col("line") >= F.col("start_line")) & (F.col("line") < F.col("start_line") + most))
     count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c)))
     key = Window.partitionBy(*symbols.columns).orderBy("line")
     run = key.rowsBetween(Window.unboundedPreceding, 0)
@@ -93,6 +96,8 @@ def relevant_snippets(symbols: DataFrame, lines: DataFrame, around: int = 3, gap
     """file, s, e, text around symbols (file, start_line, end_line): ranges with a margin, merged if near, cut at `most` lines."""
     ranges = symbols.select("file", F.greatest(F.col("start_line") - around, F.lit(1)).alias("s"), (F.col("end_line") + around).alias("e"))
     islands = merge_intervals(ranges, ["file"], gap, most=most).select("file", "s", "e")
-    inside = lines.join(islands, "file").filter("line between s and e")
+    cell = lambda c: F.floor(F.col(c) / most)
+    dealt = islands.withColumn("_cell", F.explode(F.sequence(cell("s"), cell("e"))))
+    inside = lines.withColumn("_cell", cell("line")).join(dealt, ["file", "_cell"]).filter("line between s and e")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n")
     return inside.groupBy("file", "s", "e").agg(text.alias("text"))

@@ -268,7 +268,7 @@ def code_symbols(files: DataFrame, language: str) -> DataFrame:
     by = Window.partitionBy("file").orderBy("line")
     told = lines.withColumns({"class": F.when(is_class, F.regexp_extract("text", spec.class_, 1)), "name": F.coalesce(method, prop), "is_property": prop.isNotNull(), "is_mark": is_mark})
     # marks and the line below them have as many other lines before them
-    told = told.withColumn("run", F.sum(F.when(F.col("is_mark"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    told = told.withColumn("run", F.coalesce(F.sum(F.when(F.col("is_mark"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     group = Window.partitionBy("file", "run").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     told = told.withColumn("marks", F.flatten(F.collect_list(F.when(F.col("is_mark"), mark_names(F.col("text"), language))).over(group))).drop("run", "is_mark")
     heads = _owned(_ends(told, language).select("file", "level", "line", "end_line", "text", "class", "name", "is_property", "marks"), language)

@@ -91,7 +91,11 @@ def backend_pack(paths: DataFrame, edges: DataFrame, snippets: DataFrame, by: st
     return both.select(by, F.to_json(F.struct("impact_paths", "edges", "snippets", "rules")).alias("pack"))
 
 
-def chat_models(models: DataFrame, leave_out: tuple[str, ...] = ("embed", "whisper", "tts", "dall-e", "moderation", "image", "audio")) -> DataFrame:
+#: Parts of names of models that cannot chat.
+NO_CHAT = ("embedding", "whisper", "tts-", "dall-e", "moderation", "babbage", "davinci-002", "ada-", "curie-")
+
+
+def chat_models(models: DataFrame, leave_out: tuple[str, ...] = NO_CHAT) -> DataFrame:
     """Names of models that can chat, sorted."""
     from riskloom.functions.text import contains_any
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import extension
+from riskloom.functions.text import contains_any, extension
 from riskloom.sources.diff import is_added, same_path_blocks
 
 
@@ -89,7 +89,8 @@ def first_match(line: Column, rules: Sequence[Rule]) -> Column:
 def ddl_rule(line: Column) -> Column:
     """The first DDL rule of a line without its sign; comments have none."""
     text = F.trim(line)
-    return F.when(~text.startswith("--"), first_match(text, DDL))
+    verb = contains_any(F.upper(text), ("DROP", "ALTER", "CREATE"))  # every rule has one; most lines have none
+    return F.when(verb & ~text.startswith("--"), first_match(text, DDL))
 
 
 def is_migration(path: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as T
@@ -142,17 +140,17 @@ WITH RECURSIVE e AS {_EDGES}, w(node, depth, path) AS (SELECT DISTINCT target, 1
 SELECT DISTINCT node, depth FROM w"""
 
 
-def risk_propagation(spark, sf_dir, whole=False):
-    """Customers, all or those whose id is divisible by 50, as changed files; who imports them is above in the tree."""
+def risk_propagation(spark, sf_dir):
+    """Customers as changed files; who imports them is above in the tree."""
     edges = graph_edges(spark, sf_dir).filter("edge_type = 'imports' and not startswith(source, 'c')")
     c = table(spark, sf_dir, "customer")
-    symbols = (c if whole else c.filter("c_custkey % 50 = 0")).select(F.col("c_custkey").alias("symbol_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("file"), F.when(F.col("c_custkey") % 100 == 0, "login").otherwise("show").alias("symbol"), F.lit("function").alias("symbol_type"), F.when(F.col("c_custkey") % 150 == 0, "added").otherwise("modified").alias("change_type"))
+    symbols = c.select(F.col("c_custkey").alias("symbol_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("file"), F.when(F.col("c_custkey") % 100 == 0, "login").otherwise("show").alias("symbol"), F.lit("function").alias("symbol_type"), F.when(F.col("c_custkey") % 150 == 0, "added").otherwise("modified").alias("change_type"))
     out = G.propagate_risk(symbols, edges)
     return out.select("symbol_id", F.array_join("path", ">").alias("path"), "depth", "risk", "confidence", "needs_human_review")
 
 
 RISK_PROPAGATION = """
-WITH c AS (SELECT c_custkey AS i, 'c' || c_custkey || ':' || CASE WHEN c_custkey % 100 = 0 THEN 'login' ELSE 'show' END AS p0, c_custkey % 100 = 0 AS hit, 'n' || c_nationkey AS p1, 'r' || n_regionkey AS p2, c_custkey % 150 = 0 AS added FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0)
+WITH c AS (SELECT c_custkey AS i, 'c' || c_custkey || ':' || CASE WHEN c_custkey % 100 = 0 THEN 'login' ELSE 'show' END AS p0, c_custkey % 100 = 0 AS hit, 'n' || c_nationkey AS p1, 'r' || n_regionkey AS p2, c_custkey % 150 = 0 AS added FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT i AS symbol_id, p0 AS path, 0 AS depth, CASE WHEN added THEN 'medium' ELSE 'high' END AS risk, 'high' AS confidence, false AS needs_human_review FROM c
 UNION ALL SELECT i, p0 || '>' || p1, 1, CASE WHEN hit THEN 'high' ELSE 'medium' END, 'high', false FROM c
 UNION ALL SELECT i, p0 || '>' || p1 || '>' || p2, 2, CASE WHEN hit THEN 'high' ELSE 'medium' END, 'medium', true FROM c"""
@@ -186,37 +184,31 @@ def direct_importers(spark, sf_dir):
 IMPORTERS = f"SELECT DISTINCT target, source FROM {_EDGES} WHERE edge_type = 'imports' AND target IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 7 = 0)"
 
 
-def supply_lines(spark, sf_dir, whole=False):
-    """All lines, or those with a discount of 5 in 100 and every fourth part, as the SQL has them."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l if whole else l.filter("l_discount = 0.05 and l_partkey % 4 = 0")
-
-
-def supply_edges(spark, sf_dir, whole=False):
+def supply_edges(spark, sf_dir):
     """Suppliers to parts."""
-    l = supply_lines(spark, sf_dir, whole)  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     return l.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey")).alias("target"), F.lit("CALLS").alias("edge_type"))
 
 
-_SUPPLY = "(SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_discount = 0.05 AND l_partkey % 4 = 0)"
+_SUPPLY = "(SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem)"
 
 
-def degree(spark, sf_dir, whole=False):
-    return G.degrees(supply_edges(spark, sf_dir, whole))
+def degree(spark, sf_dir):
+    return G.degrees(supply_edges(spark, sf_dir))
 
 
 _DEGREE = f"SELECT node, count(*) AS degree FROM (SELECT source AS node FROM {_SUPPLY} UNION ALL SELECT target FROM {_SUPPLY}) GROUP BY node"
 
 
-def supply_nodes(spark, sf_dir, whole=False):
-    d = G.degrees(supply_edges(spark, sf_dir, whole))
+def supply_nodes(spark, sf_dir):
+    d = G.degrees(supply_edges(spark, sf_dir))
     key = F.substr("node", F.lit(2)).cast("long")
     return d.select("node", (key % 7).cast("string").alias("community"), F.when(key % 5 == 0, ".ts").otherwise(".vue").alias("language"), F.when(F.col("node").startswith("p"), 1).otherwise(F.col("degree")).alias("degree"), (key % 3 == 0).alias("is_test"))
 
 
-def surprise(spark, sf_dir, whole=False):
-    edges = supply_edges(spark, sf_dir, whole).select(F.col("target").alias("source"), F.col("source").alias("target"), "edge_type")
-    out = G.surprise(edges, supply_nodes(spark, sf_dir, whole))
+def surprise(spark, sf_dir):
+    edges = supply_edges(spark, sf_dir).select(F.col("target").alias("source"), F.col("source").alias("target"), "edge_type")
+    out = G.surprise(edges, supply_nodes(spark, sf_dir))
     return out.select("source", "target", "score", F.array_join("reasons", ",").alias("reasons"), "suspicious")
 
 
@@ -228,66 +220,65 @@ s AS (SELECT *, round_even(0.0::DOUBLE + CASE WHEN r1 THEN 0.3::DOUBLE ELSE 0 EN
 SELECT source, target, score, concat_ws(',', CASE WHEN r1 THEN 'cross-community' END, CASE WHEN r2 THEN 'cross-language' END, CASE WHEN r3 THEN 'edge-to-hub' END, CASE WHEN r4 THEN 'cross-test-boundary' END) AS reasons, score >= 0.35 AS suspicious FROM s"""
 
 
-def supply_paths(spark, sf_dir, whole=False):
-    """A path a line: order, supplier, part, end. Over all lines the id names all three, as an order may have a supplier twice."""
-    l = supply_lines(spark, sf_dir, whole)  # noqa: E741
-    path_id = F.concat_ws(":", "l_orderkey", "l_suppkey", "l_partkey") if whole else F.col("l_orderkey") * 1000 + F.col("l_suppkey") % 1000
+def supply_paths(spark, sf_dir):
+    """A path a line: order, supplier, part, end. The id names all three, as an order may have a supplier twice."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    path_id = F.concat_ws(":", "l_orderkey", "l_suppkey", "l_partkey")
     rows = l.select(path_id.alias("path_id"), F.array(F.concat(F.lit("o"), F.col("l_orderkey")), F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey")), F.lit("end")).alias("path"))
     return rows
 
 
-_SPATHS = "(SELECT l_orderkey * 1000 + l_suppkey % 1000 AS path_id, 'o' || l_orderkey AS a, 's' || l_suppkey AS b, 'p' || l_partkey AS c FROM lineitem WHERE l_discount = 0.05 AND l_partkey % 4 = 0)"
+_SPATHS = "(SELECT concat_ws(':', l_orderkey, l_suppkey, l_partkey) AS path_id, 'o' || l_orderkey AS a, 's' || l_suppkey AS b, 'p' || l_partkey AS c FROM lineitem)"
 
 
-def bridges(spark, sf_dir, whole=False):
-    return G.bridges(supply_paths(spark, sf_dir, whole))
+def bridges(spark, sf_dir):
+    return G.bridges(supply_paths(spark, sf_dir))
 
 
 BRIDGES = f"SELECT node, count(DISTINCT path_id) AS n_paths FROM (SELECT path_id, b AS node FROM {_SPATHS} UNION ALL SELECT path_id, c FROM {_SPATHS}) GROUP BY node HAVING count(DISTINCT path_id) >= 2"
 
 
-def path_edges(spark, sf_dir, whole=False):
-    return G.path_edges(supply_paths(spark, sf_dir, whole)).select("source", "target", "path_id")
+def path_edges(spark, sf_dir):
+    return G.path_edges(supply_paths(spark, sf_dir)).select("source", "target", "path_id")
 
 
 PATH_EDGES = f"SELECT source, target, min(path_id) AS path_id FROM (SELECT a AS source, b AS target, path_id FROM {_SPATHS} UNION ALL SELECT b, c, path_id FROM {_SPATHS} UNION ALL SELECT c, 'end', path_id FROM {_SPATHS}) GROUP BY ALL"
 
 
-def untested(spark, sf_dir, whole=False):
-    none = table(spark, sf_dir, "region").filter("r_regionkey < 0")
-    return G.untested_hotspots(supply_nodes(spark, sf_dir, whole), none).select("node", F.col("degree").cast("long").alias("degree"))
+def untested(spark, sf_dir):
+    """Hotspots of a change without related tests; and of one with tests, which are all regions, and which so has none."""
+    nodes, regions = supply_nodes(spark, sf_dir), table(spark, sf_dir, "region")
+    out = None
+    for covered, tests in ((False, regions.limit(0)), (True, regions)):
+        rows = G.untested_hotspots(nodes, tests).select("node", F.col("degree").cast("long").alias("degree"), F.lit(covered).alias("covered"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-UNTESTED = f"SELECT node, degree FROM ({_DEGREE}) WHERE node[1] <> 'p' AND degree >= 5 AND CAST(substr(node, 2) AS BIGINT) % 3 <> 0"
+UNTESTED = f"SELECT node, degree, false AS covered FROM ({_DEGREE}) WHERE node[1] <> 'p' AND degree >= 5 AND CAST(substr(node, 2) AS BIGINT) % 3 <> 0"
 
 
-def augmented(spark, sf_dir, whole=False):
-    paths = supply_paths(spark, sf_dir, whole).select(F.slice("path", 1, 3).alias("path"), F.lit("high").alias("risk"), F.lit("high").alias("confidence"))
+def augmented(spark, sf_dir):
+    paths = supply_paths(spark, sf_dir).select(F.slice("path", 1, 3).alias("path"), F.lit("high").alias("risk"), F.lit("high").alias("confidence"))
     hits = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("file"))
     out = G.augment_paths(paths, hits)
     return out.groupBy("risk", F.size("path").alias("size")).agg(F.count("*").alias("n"))
 
 
 AUGMENTED = f"""
-SELECT 'high' AS risk, 3 AS size, count(*) AS n FROM {_SPATHS} UNION ALL SELECT 'low', 1, count(*) FROM part WHERE 'p' || p_partkey NOT IN (SELECT c FROM {_SPATHS})"""
+SELECT * FROM (SELECT 'high' AS risk, 3 AS size, count(*) AS n FROM {_SPATHS} UNION ALL SELECT 'low', 1, count(*) FROM part WHERE 'p' || p_partkey NOT IN (SELECT c FROM {_SPATHS})) WHERE n > 0"""
 
 _TERMS = (("q1", "the"), ("q1", "license"), ("q2", "general"), ("q2", "public"), ("q3", "unfoundword"), ("q3", "released"))
 
 
-def searched(spark, sf_dir, whole=False):
-    """Documents of all languages, or English ones."""
-    d = table(spark, sf_dir, "documents")
-    return d if whole else d.filter("lang = 'en'")
-
-
-def bm25(spark, sf_dir, whole=False):
+def bm25(spark, sf_dir):
     terms = spark.createDataFrame(_TERMS, "query string, term string")
-    return Q.bm25(searched(spark, sf_dir, whole), terms, "doc_id", "text").select("query", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return Q.bm25(table(spark, sf_dir, "documents"), terms, "doc_id", "text").select("query", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _BM25 = """
 q(query, term) AS (VALUES ('q1', 'the'), ('q1', 'license'), ('q2', 'general'), ('q2', 'public'), ('q3', 'unfoundword'), ('q3', 'released')),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE lang = 'en'),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM w),
 tf AS (SELECT doc_id, len(t) AS size, term, len(list_filter(t, lambda x: x = term)) AS tf FROM w CROSS JOIN (SELECT DISTINCT term FROM q)),
 h AS (SELECT * FROM tf WHERE tf > 0), df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
@@ -305,19 +296,18 @@ def cosines(spark, sf_dir):
     return e.join(F.broadcast(asked)).select(F.lit("e").alias("query"), "id", F.round(score, 9).alias("score"))
 
 
-def rrf_hybrid(spark, sf_dir, whole=False):
-    """A list of words and one of vectors, fused. Over whole tables vectors are ranked by cosine, else by their first component as in the SQL."""
+def rrf_hybrid(spark, sf_dir):
+    """A list of words and one of vectors, fused."""
     terms = spark.createDataFrame(_TERMS[:2], "query string, term string")
-    scores = Q.bm25(searched(spark, sf_dir, whole), terms, "doc_id", "text").withColumn("score", F.round("score", 6))
+    scores = Q.bm25(table(spark, sf_dir, "documents"), terms, "doc_id", "text").withColumn("score", F.round("score", 6))
     one = Q.top_hits(scores, 50).select(F.lit(0).alias("list_no"), (F.col("rank") - 1).alias("rank"), F.col("id").alias("item"))
-    e = table(spark, sf_dir, "embeddings").select(F.lit("e").alias("query"), F.col("vec_id").alias("id"), F.round(F.element_at("embedding", 1).cast("double"), 9).alias("score"))
-    two = Q.top_hits(cosines(spark, sf_dir) if whole else e, 50).select(F.lit(1).alias("list_no"), (F.col("rank") - 1).alias("rank"), F.col("id").alias("item"))
+    two = Q.top_hits(cosines(spark, sf_dir), 50).select(F.lit(1).alias("list_no"), (F.col("rank") - 1).alias("rank"), F.col("id").alias("item"))
     out = Q.rrf(one.unionByName(two))
     return out.select("item", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
 
 
 RRF = f"""
-WITH {_BM25}, a AS (SELECT doc_id AS item, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM sc WHERE query = 'q1'), b AS (SELECT vec_id AS item, row_number() OVER (ORDER BY round(embedding[1]::DOUBLE, 9) DESC, vec_id) AS rn FROM embeddings),
+WITH {_BM25}, a AS (SELECT doc_id AS item, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM sc WHERE query = 'q1'), b AS (SELECT vec_id AS item, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 9) DESC, vec_id) AS rn FROM embeddings),
 u AS (SELECT 0 AS l, * FROM a WHERE rn <= 50 UNION ALL SELECT 1, * FROM b WHERE rn <= 50)
 SELECT item, round(sum(1.0::DOUBLE / (60 + rn)), 9) AS score, string_agg(DISTINCT l::VARCHAR, ',' ORDER BY l::VARCHAR) AS sources FROM u GROUP BY item"""
 
@@ -327,11 +317,10 @@ def document_lines(spark, sf_dir):
     return d.select(F.concat_ws("/", F.lit("src"), "source", F.concat(F.lit("d"), F.col("doc_id"), F.lit(".py"))).alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "text")).select("file", (F.col("n") + 1).alias("line"), "text")
 
 
-def call_sites(spark, sf_dir, whole=False):
-    """All call sites, or the first forty of each symbol as in the SQL."""
+def call_sites(spark, sf_dir):
     symbols = spark.createDataFrame([(1, "Licens", "src/src1/x.py"), (2, "Vers", "src/src2/d22.py"), (3, "Nothere", "a.py")], "seq long, symbol string, self_file string")
     out = Q.call_sites(document_lines(spark, sf_dir), symbols)
-    return (out if whole else out.filter("order <= 40")).select("seq", "symbol", "file", F.col("line").cast("long").alias("line"), F.col("order").alias("place"))
+    return out.select("seq", "symbol", "file", F.col("line").cast("long").alias("line"), F.col("order").alias("place"))
 
 
 CALL_SITES = """
@@ -340,7 +329,7 @@ l AS (SELECT 'src/' || source || '/d' || doc_id || '.py' AS file, unnest(string_
 h AS (SELECT seq, symbol, file, line, CASE WHEN starts_with(file, dir || '/') THEN 2 WHEN dir <> '' THEN 1 ELSE 0 END AS near FROM l JOIN s ON contains(text, symbol) AND file <> self_file
   WHERE NOT regexp_matches(ltrim(text), '^(#|//|/\\*|\\*|import |from |import\\{|using |use |require )') AND (contains(text, symbol || '(') OR contains(text, symbol || '.')
     OR NOT (contains(text, ': ' || symbol) OR contains(text, '->' || symbol) OR contains(text, '-> ' || symbol) OR contains(text, '[' || symbol) OR contains(text, '| ' || symbol) OR contains(text, symbol || ']') OR contains(text, symbol || ','))))
-SELECT CAST(seq AS BIGINT) AS seq, symbol, file, line, place FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY near DESC, file, line) AS place FROM h) WHERE place <= 40"""
+SELECT CAST(seq AS BIGINT) AS seq, symbol, file, line, place FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY near DESC, file, line) AS place FROM h)"""
 
 
 def ship_ranges(spark, sf_dir):
@@ -381,16 +370,14 @@ def as_of_decl(spark, sf_dir):
 AS_OF = "SELECT e.event_id, d.event_id AS decl_id FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') d ON e.user_id = d.user_id AND e.ts >= d.ts"
 
 
-def innermost(spark, sf_dir, whole=False):
-    """Spans of all suppliers, or of every third."""
+def innermost(spark, sf_dir):
     spans = ship_ranges(spark, sf_dir).distinct()
-    spans = spans if whole else spans.filter("file % 3 = 0")
     points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.explode(F.sequence(F.lit(10), F.lit(3000), F.lit(100))).alias("p"))
     return I.innermost(points, spans, ["file"]).select("file", F.col("p").cast("long").alias("p"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
 
 
 INNERMOST = f"""
-SELECT file, p, s, e FROM (SELECT t.file, p, s, e, row_number() OVER (PARTITION BY t.file, p ORDER BY s DESC, e) AS rn FROM (SELECT s_suppkey AS file, unnest(range(10, 3001, 100)) AS p FROM supplier) t JOIN {_RANGES} r ON r.file = t.file AND s <= p AND p <= e WHERE t.file % 3 = 0) WHERE rn = 1"""
+SELECT file, p, s, e FROM (SELECT t.file, p, s, e, row_number() OVER (PARTITION BY t.file, p ORDER BY s DESC, e) AS rn FROM (SELECT s_suppkey AS file, unnest(range(10, 3001, 100)) AS p FROM supplier) t JOIN {_RANGES} r ON r.file = t.file AND s <= p AND p <= e) WHERE rn = 1"""
 
 
 def proto_diff(spark, sf_dir):
@@ -486,21 +473,3 @@ QUERIES = {
     "node_upsert": (node_upsert, UPSERT),
     "node_context": (node_contexts, NODE_CONTEXTS),
 }
-
-#: The same queries over whole tables, named NAME_all; the SQL above has the cuts, so these have none.
-WHOLE = {
-    f"{name}_all": partial(QUERIES[name][0], whole=True)
-    for name in (
-        "degree",
-        "surprise",
-        "bridges",
-        "path_edges",
-        "untested_hotspots",
-        "augmented_paths",
-        "risk_propagation",
-        "innermost",
-        "bm25",
-        "rrf_hybrid",
-        "call_sites",
-    )
-}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +47,9 @@ SELECT user_id AS file, count(*) AS n_flagged, CASE min({EVENT_RANK}) WHEN 0 THE
 FROM events GROUP BY user_id ORDER BY count(*) DESC, min(event_id) LIMIT 10"""
 
 
-def file_history(spark, sf_dir, whole=False):
-    """The last events of customers who are users, all or those with an id below 20."""
-    c = table(spark, sf_dir, "customer")
-    files = (c if whole else c.filter("c_custkey < 20")).select(F.col("c_custkey").alias("file"))
+def file_history(spark, sf_dir):
+    """The last events of customers who are users."""
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"))
     out = H.file_history(event_items(spark, sf_dir), files)
     return out.select("file", "flagged_count", "nth", "timestamp", "risk")
 
@@ -61,7 +58,7 @@ FILE_HISTORY = f"""
 SELECT file, flagged_count, nth, timestamp, risk FROM (
   SELECT user_id AS file, count(*) OVER (PARTITION BY user_id) AS flagged_count,
     row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS nth, ts AS timestamp, {EVENT_RISK} AS risk
-  FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 20)) WHERE nth <= 3"""
+  FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) WHERE nth <= 3"""
 
 
 def risk_trend(spark, sf_dir):
@@ -125,24 +122,24 @@ def gate(spark, sf_dir):
 GATE = "SELECT bool_or(event_type = 'error') AS stop FROM events"
 
 
-def document_items(spark, sf_dir, whole=False):
-    """Documents as findings; the description is the whole text, or characters 201-300 as in the SQL."""
+def document_items(spark, sf_dir):
+    """Documents as findings with their whole texts."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("seq"),
         F.col("source").alias("file"),
         F.col("n_chars").alias("line"),
         F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 3 == 1, "medium").otherwise("low").alias("risk"),
-        F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.substring("text", 1, 200)).alias("reason"),
-        (F.col("text") if whole else F.substring("text", 201, 100)).alias("description"),
+        F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("text")).alias("reason"),
+        F.col("text").alias("description"),
         F.lit("").alias("evidence"),
         (F.col("doc_id") % 5 == 0).alias("needs_human_review"),
         F.when(F.col("doc_id") % 7 < 3, "missing_error_handling").otherwise("other").alias("issue_type"),
     )
 
 
-def checkpoints(spark, sf_dir, whole=False):
-    return O.checkpoints(document_items(spark, sf_dir, whole))
+def checkpoints(spark, sf_dir):
+    return O.checkpoints(document_items(spark, sf_dir))
 
 
 def _checkpoints_sql() -> str:
@@ -151,8 +148,8 @@ def _checkpoints_sql() -> str:
     auth = " OR ".join(f"contains(lower(reason), '{w}')" for w in O.AUTH_WORDS)
     return f"""
 WITH k(place, name, words) AS (VALUES {rows}),
-d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(text, 1, 200) END AS reason,
-  substr(text, 201, 100) AS description, source || ':' || n_chars AS ev, doc_id % 5 = 0 AS human, doc_id % 7 < 3 AS missing FROM documents),
+d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS reason,
+  text AS description, source || ':' || n_chars AS ev, doc_id % 5 = 0 AS human, doc_id % 7 < 3 AS missing FROM documents),
 h AS (SELECT k.place, k.name, d.*, row_number() OVER (PARTITION BY k.place ORDER BY CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, doc_id) AS rn
   FROM k JOIN d ON len(list_filter(k.words, lambda w: contains(lower(reason || ' ' || description), w))) > 0)
 SELECT CAST(k.place AS INTEGER) AS place, k.name, coalesce(h.risk, 'ok') AS status, CASE WHEN h.risk IS NULL THEN 'no evident risk' WHEN reason <> '' THEN reason ELSE description END AS reason, coalesce(h.ev, '-') AS evidence,
@@ -233,21 +230,21 @@ SELECT file, seq, risk FROM (SELECT user_id AS file, event_id AS seq, {EVENT_RIS
 WHERE rn = 1 ORDER BY {_RANK}, seq LIMIT 25"""
 
 
-def event_paths(spark, sf_dir, whole=False):
-    """Paths of the users' kinds of event in a day: all of them, or the first four as in the SQL."""
+def event_paths(spark, sf_dir):
+    """Paths of the users' kinds of event in a day."""
     e = table(spark, sf_dir, "events").withColumn("path_id", F.col("user_id") * 1000 + F.dayofyear("ts"))
     every = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x.event_type)
-    p = e.groupBy("path_id").agg((every if whole else F.slice(every, 1, 4)).alias("path"), F.max_by("event_type", "event_id").alias("last"))
+    p = e.groupBy("path_id").agg(every.alias("path"), F.max_by("event_type", "event_id").alias("last"))
     return p.withColumn("risk", event_risk(F.col("last"))).withColumn("seq", F.col("path_id"))
 
 
-_PATHS = f"""(SELECT user_id * 1000 + dayofyear(ts) AS path_id, list(event_type ORDER BY event_id)[1:4] AS path,
+_PATHS = f"""(SELECT user_id * 1000 + dayofyear(ts) AS path_id, list(event_type ORDER BY event_id) AS path,
   CASE arg_max(event_type, event_id) WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' ELSE 'low' END AS risk FROM events GROUP BY 1)"""
 
 
-def impact_blocks(spark, sf_dir, whole=False):
-    items = document_items(spark, sf_dir, whole).withColumn("file", F.when(F.col("seq") % 2 == 0, "error").otherwise("purchase"))
-    out = O.impact_blocks(event_paths(spark, sf_dir, whole), items)
+def impact_blocks(spark, sf_dir):
+    items = document_items(spark, sf_dir).withColumn("file", F.when(F.col("seq") % 2 == 0, "error").otherwise("purchase"))
+    out = O.impact_blocks(event_paths(spark, sf_dir), items)
     return out.select("source", "risk", F.explode("chains").alias("c")).select("source", "risk", "c.path_id", F.posexplode("c.chain").alias("place", "n")).select("source", "risk", "path_id", "place", "n.file", F.col("n.risk").alias("node_risk"), F.col("n.line").alias("line"))
 
 
@@ -259,24 +256,24 @@ x AS (SELECT source, worst, path_id, unnest(path) AS file, generate_subscripts(p
 SELECT source, CASE worst WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, path_id, CAST(i - 1 AS INTEGER) AS place, x.file, coalesce(b.risk, 'low') AS node_risk, coalesce(b.line, 0) AS line FROM x LEFT JOIN b ON x.file = b.file"""
 
 
-def blast_clusters(spark, sf_dir, whole=False):
-    return O.blast_clusters(event_paths(spark, sf_dir, whole)).select("source", "endpoint", "path_id", "risk")
+def blast_clusters(spark, sf_dir):
+    return O.blast_clusters(event_paths(spark, sf_dir)).select("source", "endpoint", "path_id", "risk")
 
 
 BLAST = f"""
 SELECT source, endpoint, path_id, risk FROM (SELECT path[1] AS source, path[-1] AS endpoint, path_id, risk, row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY {_RANK}, path_id) AS rn FROM {_PATHS} WHERE path[1] <> path[-1]) WHERE rn = 1"""
 
 
-def chain_tree(spark, sf_dir, whole=False):
-    return O.merged_chains(event_paths(spark, sf_dir, whole)).select(F.array_join("prefix", ">").alias("prefix"), "depth", "node", "first_path")
+def chain_tree(spark, sf_dir):
+    return O.merged_chains(event_paths(spark, sf_dir)).select(F.array_join("prefix", ">").alias("prefix"), "depth", "node", "first_path")
 
 
 CHAIN_TREE = f"""
 SELECT array_to_string(path[1:n], '>') AS prefix, CAST(n AS INTEGER) AS depth, path[n] AS node, min(path_id) AS first_path FROM (SELECT path_id, path, unnest(range(1, len(path) + 1)) AS n FROM {_PATHS}) GROUP BY ALL"""
 
 
-def minimal_context(spark, sf_dir, whole=False):
-    out = O.minimal_context(document_items(spark, sf_dir, whole), event_paths(spark, sf_dir, whole))
+def minimal_context(spark, sf_dir):
+    out = O.minimal_context(document_items(spark, sf_dir), event_paths(spark, sf_dir))
     return out.select("n_high", "n_medium", F.array_join("key_risks", "|").alias("key_risks"), F.array_join("endpoints", "|").alias("endpoints"))
 
 
@@ -309,9 +306,8 @@ s AS (SELECT source, CAST(sum(b) AS BIGINT) AS baseline, CAST(sum(u) AS BIGINT)
 SELECT *, greatest(baseline - used, 0) AS saved, CAST(round_even(greatest(baseline - used, 0) * 100 / baseline, 0) AS BIGINT) AS saved_percent FROM s"""
 
 
-def reply_parse(spark, sf_dir, whole=False):
+def reply_parse(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    e = e if whole else e.filter("event_id % 5 = 0")
     obj = F.to_json(F.struct(F.col("event_type").alias("file"), F.when(F.col("event_id") % 3 == 0, F.lit("x")).otherwise(F.col("user_id").cast("string")).alias("line"), F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string")).otherwise("high").alias("risk"), (F.col("user_id") % 2 == 0).alias("needs_human_review")))
     broken = F.when(F.col("event_id") % 10 == 0, '[{"file": ').otherwise(F.concat(F.lit("Here it is: ["), obj, F.lit(', 7, {"reason": "b"}] done')))
     out = R.parse_reply(e.select("event_id", broken.alias("reply")))
@@ -319,7 +315,7 @@ def reply_parse(spark, sf_dir, whole=False):
 
 
 REPLY_PARSE = """
-WITH e AS (SELECT * FROM events WHERE event_id % 5 = 0 AND event_id % 10 <> 0)
+WITH e AS (SELECT * FROM events WHERE event_id % 10 <> 0)
 SELECT event_id, 0 AS seq, event_type AS file, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS INTEGER) AS line, CASE WHEN event_id % 4 = 0 THEN 'low' ELSE 'high' END AS risk, 'medium' AS confidence, '' AS reason, user_id % 2 = 0 AS needs_human_review FROM e
 UNION ALL SELECT event_id, 2, '', 0, 'low', 'medium', 'b', false FROM e"""
 
@@ -372,17 +368,3 @@ QUERIES = {
     "incremental_update": (incremental_update, INCREMENTAL),
     "file_states": (file_states, FILE_STATES),
 }
-
-#: The same queries over whole tables, named NAME_all; the SQL above has the cuts, so these have none.
-WHOLE = {
-    f"{name}_all": partial(QUERIES[name][0], whole=True)
-    for name in (
-        "reply_parse",
-        "checkpoints",
-        "impact_blocks",
-        "minimal_context",
-        "blast_clusters",
-        "chain_tree",
-        "file_history",
-    )
-}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import contracts, findings, graph, intervals, languages, rules
 from riskloom.sources import diff as D
+from riskloom.sources.store import checkpointed
 
 
 def script_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,10 +23,10 @@ def script_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def code_graph(files: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of back-end files of several languages."""
+    """(nodes, edges) of back-end files of several languages. Symbols are written once, as every kind of edge reads them."""
     nodes = edges = None
     for name in names:
-        own = languages.code_symbols(files, name)
+        own = checkpointed(languages.code_symbols(files, name))
         links = languages.code_edges(files, own, name)
         nodes = own if nodes is None else nodes.unionByName(own)
         edges = links if edges is None else edges.unionByName(links)

@@ -132,21 +132,25 @@ def apply_patch(patches: DataFrame, files: DataFrame) -> DataFrame:
     which must fit a row.
     """
     trimmed = lambda a: F.transform(a, lambda x: F.rtrim(x))
-    hunks = patches.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "old_lines", "new_lines"))).alias("hunks"))
+    bare = patches.select("path", "seq", "old_lines", "new_lines", trimmed(F.col("old_lines")).alias("old_bare"), trimmed(F.col("new_lines")).alias("new_bare"))
+    hunks = bare.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "old_lines", "new_lines", "old_bare", "new_bare"))).alias("hunks"))
 
     def step(state: Column, h: Column) -> Column:
         size = F.size(h.old_lines)
-        room = F.greatest(F.size(state.lines) - size + 1, F.lit(0))
+        room = F.greatest(F.size(state.bare) - size + 1, F.lit(0))
         places = F.when(room > 0, F.sequence(F.lit(1), room)).otherwise(F.array().cast("array<int>"))
-        found = F.filter(places, lambda i: F.slice(trimmed(state.lines), i, size) == trimmed(h.old_lines))
+        first = F.try_element_at(h.old_bare, F.lit(1))
+        found = F.filter(places, lambda i: (F.element_at(state.bare, i) == first) & (F.slice(state.bare, i, size) == h.old_bare))
         at = F.try_element_at(found, F.lit(1))
-        changed = F.concat(F.slice(state.lines, F.lit(1), at - 1), h.new_lines, F.slice(state.lines, at + size, F.size(state.lines)))
+        put = lambda old, new: F.concat(F.slice(old, F.lit(1), at - 1), new, F.slice(old, at + size, F.size(old)))
+        hit = (size > 0) & at.isNotNull()
         return F.struct(
-            F.when((size > 0) & at.isNotNull(), changed).otherwise(state.lines).alias("lines"),
+            F.when(hit, put(state.lines, h.new_lines)).otherwise(state.lines).alias("lines"),
+            F.when(hit, put(state.bare, h.new_bare)).otherwise(state.bare).alias("bare"),
             (state.ok & ((size == 0) | at.isNotNull())).alias("ok"),
         )
 
-    start = F.struct(F.col("lines"), F.lit(True).alias("ok"))
+    start = F.struct(F.col("lines"), trimmed(F.col("lines")).alias("bare"), F.lit(True).alias("ok"))
     done = files.join(hunks, "path").withColumn("r", F.aggregate("hunks", start, step))
     return done.select("path", F.when(F.col("r.ok"), F.col("r.lines")).otherwise(F.col("lines")).alias("lines"), F.col("r.ok").alias("ok"))
 

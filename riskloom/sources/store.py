@@ -9,9 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The version of the stored graph; parts of paths that scans leave out.
+#: The version of the stored graph; folders that scans of scripts and of back-end code leave out.
 VERSION = 2
-SKIP = ("node_modules", ".git", "dist", "build", ".venv", "__pycache__")
+SKIP = ("node_modules", ".git", "dist", "build", "__pycache__", ".cache", ".riskloom")
+BACKEND_SKIP = ("bin", "obj", ".git", ".vs", "node_modules", "dist", "build", "__pycache__", ".riskloom")
 
 REPORT = (
     "timestamp string, commit string, verdict string, high long, medium long, low long, elapsed double, "
@@ -24,18 +25,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir, which all executors share, and read back.
 
     Only where the setting is missing, as in tests on one machine, a temporary
-    folder is set.
+    folder is set; on a cluster that is an error.
     """
     spark = df.sparkSession
+    path = scratch_path(spark, "hop")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the folder of spark.checkpoint.dir; it goes when the session's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/riskloom-{spark.sparkContext.applicationId}/hop-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/riskloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    fs, hadoop = _filesystem(spark, path)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
+def _filesystem(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
 def source_tree(spark: SparkSession, root: str, extensions: Sequence[str], skip: Sequence[str] = SKIP) -> DataFrame:
@@ -47,6 +61,18 @@ def source_tree(spark: SparkSession, root: str, extensions: Sequence[str], skip:
     return kept.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*(F.lit(s) for s in skip))))
 
 
+def read_diffs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """diff_id (the path), text of files that each hold a unified diff: where a plan over changes begins."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("diff_id"), F.col("value").alias("text"))
+
+
+def text_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """file, old, new of two source trees (path, content); a side that lacks the file is null."""
+    side = lambda df, name: df.select(F.col("path").alias("file"), F.col("content").cast("string").alias(name))
+    return side(old, "old").join(side(new, "new"), "file", "full")
+
+
 def file_states(stored: DataFrame, current: DataFrame, key: str = "file") -> DataFrame:
     """key, state: added, changed, removed or same, by the content hash of both sides."""
     both = stored.select(key, F.col("file_hash").alias("was")).join(current.select(key, F.col("file_hash").alias("now")), key, "full")
@@ -83,21 +109,38 @@ def save_graph(nodes: DataFrame, edges: DataFrame, root: str) -> None:
 
 
 def load_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
-    """(nodes, edges), or None where this version has not been stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(graph_path(root, "edges"))
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(graph_path(root, "nodes")), spark.read.parquet(graph_path(root, "edges"))
+    """(nodes, edges), or None where this version has not been stored; then an old store of JSON lines counts, if there is one."""
+    fs, path = _filesystem(spark, graph_path(root, "edges"))
+    if fs.exists(path):
+        return spark.read.parquet(graph_path(root, "nodes")), spark.read.parquet(graph_path(root, "edges"))
+    nodes, edges = (f"{root.rstrip('/')}/{n}.json" for n in ("nodes", "edges"))
+    if all(fs.exists(_filesystem(spark, p)[1]) for p in (nodes, edges)):
+        return load_graph_json(spark, nodes, edges)
+    return None
+
+
+def drop_other_versions(spark: SparkSession, root: str) -> list[str]:
+    """Delete stored graphs of other versions, so that the next update fills the store anew; their folders' names."""
+    fs, path = _filesystem(spark, root)
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    old = [p for p in found if p.getName().startswith("v=") and p.getName() != f"v={VERSION}"]
+    for p in old:
+        fs.delete(p, True)
+    return sorted(p.getName() for p in old)
 
 
 def load_reports(spark: SparkSession, folder: str, limit: int = 30) -> DataFrame:
-    """The latest reports by timestamp; malformed files and those without one are left out."""
-    raw = spark.read.option("multiLine", True).option("pathGlobFilter", "*_report.json").option("mode", "PERMISSIVE").schema(REPORT).json(folder)
+    """The latest reports by timestamp; malformed files and those without one are left out.
+
+    Files are named *_report.json, or as save_reports() names them.
+    """
+    raw = spark.read.option("multiLine", True).option("pathGlobFilter", "{*_report,part-*}.json").option("mode", "PERMISSIVE").schema(REPORT).json(folder)
     return raw.filter("coalesce(timestamp, '') <> ''").orderBy(F.desc("timestamp")).limit(limit)
 
 
 def save_reports(reports: DataFrame, folder: str) -> None:
-    reports.write.mode("append").json(folder)
+    """Each report to a file of its own, for load_reports()."""
+    reports.write.mode("append").option("maxRecordsPerFile", 1).json(folder)
 
 
 def latest_queue(spark: SparkSession, path: str) -> DataFrame:
@@ -135,19 +178,33 @@ def parse_tests(files: DataFrame) -> DataFrame:
 
 
 def related_tests(tests: DataFrame, changed: DataFrame) -> DataFrame:
-    """Tests whose describe or name contains the stem of a changed file (column stem; these are few).
+    """Tests whose describe or name contains the stem of a changed file (column stem).
 
-    The stems of a change are gathered to one row, which its size bounds.
+    Stems go to every task in rows of bounded size, see in_blocks(); a test that
+    several blocks fit comes once.
     """
-    stems = changed.agg(F.collect_set(F.regexp_replace(F.lower("stem"), r"\.(spec|test)$", "")).alias("stems"))
+    from riskloom.operators.retrieval import in_blocks
+
+    stems = changed.select(F.regexp_replace(F.lower("stem"), r"\.(spec|test)$", "").alias("stem")).filter("stem <> ''").distinct()
     text = F.lower(F.concat_ws("\n", "describe", "it"))
-    return tests.join(F.broadcast(stems)).filter(F.exists("stems", lambda s: (s != "") & F.contains(text, s))).drop("stems")
+    found = [tests.join(F.broadcast(some)).filter(F.exists("_s", lambda s: F.contains(text, s.stem))).drop("_s") for some in in_blocks(stems, "stem")]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out if len(found) == 1 else out.dropDuplicates()
 
 
 def load_skills(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """name, text, ok of rule files; an empty one is not ok."""
-    raw = spark.read.text(list(paths), wholetext=True).withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.[^./]*)?$", 1))
-    return raw.select("name", F.format_string("# Skill: %s\n%s", "name", F.trim("value")).alias("text"), (F.trim("value") != "").alias("ok"))
+    """name, text, ok, error of rule files; one that is empty or missing is not ok, and has an error for a text."""
+    there = {p: fs.exists(h) for p in paths for fs, h in [_filesystem(spark, p)]}
+    lost = [(p.rsplit("/", 1)[-1].rsplit(".", 1)[0], None, False, f"missing: {p}") for p, ok in there.items() if not ok]
+    out = spark.createDataFrame(lost, "name string, text string, ok boolean, error string")
+    if kept := [p for p, ok in there.items() if ok]:
+        raw = spark.read.text(kept, wholetext=True).withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.[^./]*)?$", 1))
+        bare = F.regexp_replace("value", r"^\s+|\s+$", "")
+        ok = bare != ""
+        out = raw.select("name", F.format_string("# Skill: %s\n%s", "name", bare).alias("text"), ok.alias("ok"), F.when(~ok, F.concat(F.lit("empty: "), "name")).alias("error")).unionByName(out)
+    return out
 
 
 def vue_script(content: Column) -> Column:

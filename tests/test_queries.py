@@ -28,6 +28,14 @@ def test_against_sql(spark, name):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
 
 
+def test_end_of_a_long_day(spark, tmp_path):
+    """The endpoint is a day's last event, however many there are."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-02' + to_hours(i::INT) AS ts, 7::BIGINT AS user_id, ['view', 'view', 'view', 'click', 'view', 'error'][i] AS event_type FROM range(1, 7) t(i)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"COPY (SELECT * FROM '{SF}/documents.parquet') TO '{tmp_path}/documents.parquet'")
+    assert entry.queries()["minimal_context"](spark, str(tmp_path)).first().endpoints == "error"
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

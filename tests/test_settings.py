@@ -21,7 +21,7 @@ def test_backend_pack(spark):
     pack = json.loads(R.backend_pack(paths, edges, snippets).first().pack)
     assert [p["path"] for p in pack["impact_paths"]] == [["b"], ["a"]] and pack["rules"] == ["x", "y"]
     assert len(pack["edges"]) == 30 and pack["edges"][0]["source"] == "s39"
-    names = spark.createDataFrame([("gpt",), ("text-embed",), ("a-chat",)], "name string")
+    names = spark.createDataFrame([("gpt",), ("text-embedding-3",), ("a-chat",)], "name string")
     assert [r.name for r in R.chat_models(names).collect()] == ["a-chat", "gpt"]
 
 
