@@ -173,11 +173,12 @@ class _Search:
         spark = self.texts.sparkSession
         components = connected_components(self.links)
         placed = self.members.join(components.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+        several = materialise(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "several")
         placed = materialise(placed.join(several, "key"), "placed")
-        main = placed.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+        main = materialise(placed.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main")), "main")
         groups = materialise(placed.join(main, "key").select("main", "node", "c", "n").distinct(), "groups")
-        drop(placed)
+        for done in (several, placed, main):
+            drop(done)
         stray = F.col("c") != F.col("main")
         held = 4 * HASHES + 128 + 8 * F.col("n")  # bytes of a row, at most
         per = groups.groupBy("main").agg(F.count("*").alias("all"), F.sum(held).alias("all_bytes"), F.count_if(stray).alias("out"), F.coalesce(F.sum(F.when(stray, held)), F.lit(0)).alias("out_bytes"))
@@ -330,7 +331,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     bands = classes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader")
-    members = materialise(bands.join(buckets, "key"), "members")  # a plain join, so that Spark can split a bucket of very many
+    buckets = materialise(buckets, "buckets")  # written, so that Spark can split a bucket of very many in the join
+    members = materialise(bands.join(buckets, "key"), "members")
     wanted = materialise(members.select("node").distinct(), "wanted")
     sigs = materialise(classes.join(wanted, "node").select("node", "sig", "rep.i", "rep.h"), "sigs")
     texts = materialise(lean.join(sigs.select("node", "i", "h"), ["i", "h"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
@@ -338,7 +340,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     search.verify(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     search.finish()
     components = materialise(connected_components(search.links), "components")
-    for done in (texts, sigs, members, wanted):
+    for done in (texts, sigs, members, wanted, buckets):
         drop(done)
     placed = classes.select("digest", "node", "least").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialise(placed.select("digest", "component", "least"), "placed")
