@@ -6,6 +6,7 @@ from riskloom.llm.decontaminate import op2_decontamination
 from riskloom.llm.licenses import op10_licenses
 from riskloom.llm.mixing import OP4_SQL, op4_mixing
 from riskloom.llm.neardup import OP5_SQL, op5_neardup
+from riskloom.llm.packing import op13_packing
 from riskloom.llm.quality import op7_quality
 from riskloom.llm.sharding import OP8_SQL, op8_sharding
 from riskloom.llm.suffixes import OP3_SQL, op3_suffixes
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_vectors": op9_vectors,
     "op10_licenses": op10_licenses,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

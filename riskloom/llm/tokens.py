@@ -219,7 +219,7 @@ def _counter(file: bytes) -> PrefixCounter:
     return PrefixCounter(file)
 
 
-def _read(spark, path: str):
+def read_tokenizer(spark, path: str):
     """The tokenizer's file, sent once to each executor; vocabularies have a few MB."""
     with open(path, "rb") as f:
         data = f.read()
@@ -238,7 +238,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, text_c
     prefix (see tokens_at()). Null and empty texts have 0 tokens. Other columns
     stay; only the texts pass through Python.
     """
-    file = _read(docs.sparkSession, tokenizer_path)
+    file = read_tokenizer(docs.sparkSession, tokenizer_path)
     kind = T.StructType([T.StructField("token_count", T.LongType()), T.StructField("cut_chars", T.LongType()), T.StructField("token_steps", T.BinaryType())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
