@@ -13,6 +13,7 @@ from riskloom.llm.suffixes import OP3_SQL, op3_suffixes
 from riskloom.llm.tokens import op1_tokens
 from riskloom.llm.vectors import OP9_SQL, op9_vectors
 from riskloom.llm.warc import OP6_SQL, op6_warc
+from riskloom.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_tokens": op1_tokens,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_vectors": op9_vectors,
     "op10_licenses": op10_licenses,
+    "op12_whitening": op12_whitening,
     "op13_packing": op13_packing,
 }
 
