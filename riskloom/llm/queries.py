@@ -11,6 +11,7 @@ from riskloom.llm.quality import op7_quality
 from riskloom.llm.sharding import OP8_SQL, op8_sharding
 from riskloom.llm.suffixes import OP3_SQL, op3_suffixes
 from riskloom.llm.tokens import op1_tokens
+from riskloom.llm.trie import OP11_SQL, op11_trie
 from riskloom.llm.vectors import OP9_SQL, op9_vectors
 from riskloom.llm.warc import OP6_SQL, op6_warc
 from riskloom.llm.whitening import op12_whitening
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_vectors": op9_vectors,
     "op10_licenses": op10_licenses,
+    "op11_trie": op11_trie,
     "op12_whitening": op12_whitening,
     "op13_packing": op13_packing,
 }
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_sharding": OP8_SQL,
     "op6_warc": OP6_SQL,
     "op9_vectors": OP9_SQL,
+    "op11_trie": OP11_SQL,
 }
