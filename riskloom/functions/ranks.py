@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,14 @@ def min_confidence(a: Column, b: Column) -> Column:
 def first_best(value: Column, rank: Column, seq: Column) -> Column:
     """value of the row of least rank, and of the least seq among equals."""
     return F.min_by(value, F.struct(rank, seq))
+
+
+def first_of(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """One row for each value of keys: the one of least `order` where df has it, then of the least other columns.
+
+    Equal rows are interchangeable, so the result does not hang on the order of
+    input. Columns must be orderable.
+    """
+    rest = [c for c in df.columns if c not in keys and c != order]
+    by = [F.col(f"`{c}`") for c in ([order] if order in df.columns else []) + rest] or [F.lit(0)]
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter("_nth = 1").drop("_nth")

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.sources.diff import is_added, is_removed
 
 _FIELD = r"(?U)^\s*(?:repeated\s+)?(\w+)\s+(\w+)\s*=\s*(\d+)\s*;"
 _ENUM = r"^\s*([A-Z][A-Z0-9_]+)\s*=\s*(\d+)\s*;"
-#: A request body's schema as far as it is compared.
-_PROP = "map<string, struct<type: string>>"
-_BODY = f"struct<content: map<string, struct<schema: struct<properties: {_PROP}, required: array<string>>>>>"
-_SPEC = f"struct<paths: map<string, map<string, struct<requestBody: {_BODY}>>>>"
+#: An object of which each value is kept as JSON text, so that values of any kind may stand side by side.
+_OBJECT = "map<string, string>"
 
 
-def proto_findings(lines: DataFrame, by: tuple = ("path",)) -> DataFrame:
+def proto_findings(lines: DataFrame, by: tuple = ("diff_id", "path")) -> DataFrame:
     """Changed, renamed, removed and added fields and removed enum values of .proto files in diff lines.
 
+    Each diff is compared on its own: `by` names the diff and the path.
+
     Of lines that name a field twice the last counts. A renamed field is found
     by its number; the new name also counts as added.
     """
@@ -51,42 +51,51 @@ def proto_findings(lines: DataFrame, by: tuple = ("path",)) -> DataFrame:
     return out.withColumn("risk", F.when(F.col("change_type").isin("added_field", "renamed_field"), "low").otherwise("high"))
 
 
-def openapi_findings(specs: DataFrame, old: str = "old", new: str = "new", by: str = "file") -> DataFrame:
+def _fields(text: Column) -> Column:
+    """The fields of a JSON object in order, each as JSON text; none for what is no object."""
+    return F.coalesce(F.from_json(text, _OBJECT), F.expr(f"cast(map() as {_OBJECT})"))
+
+
+def _body(method: Column) -> Column:
+    """Fields of the first schema of a method's request body that has any."""
+    content = _fields(F.try_element_at(_fields(F.try_element_at(_fields(method), F.lit("requestBody"))), F.lit("content")))
+    schemas = F.transform(F.map_values(content), lambda m: _fields(F.try_element_at(_fields(m), F.lit("schema"))))
+    return F.coalesce(F.try_element_at(F.filter(schemas, lambda x: F.size(x) > 0), F.lit(1)), F.expr(f"cast(map() as {_OBJECT})"))
+
+
+def openapi_findings(specs: DataFrame, old: str = "old", new: str = "new", by: str | tuple = "file") -> DataFrame:
     """Removed and added endpoints and methods, and changes of request bodies.
 
     specs has two JSON texts a row; YAML ones are turned to JSON before. A row
-    with a text that is empty or no document gives nothing.
+    with a text that is empty or no document gives nothing. Whatever stands
+    under a path counts as one of its methods, as summary or parameters do; only
+    objects have a request body. Types are compared as JSON, so a list of types
+    differs from one of them. `by` names the columns that identify a row.
     """
+    keys = [by] if isinstance(by, str) else list(by)
     whole = specs.filter((F.size(F.json_object_keys(old)) > 0) & (F.size(F.json_object_keys(new)) > 0))
-    doc = whole.select(by, F.from_json(old, _SPEC).alias("o"), F.from_json(new, _SPEC).alias("n"))
-    side = lambda s: doc.select(by, F.explode(f"{s}.paths").alias("path", "methods")).select(by, "path", F.coalesce("methods", F.expr(f"cast(map() as map<string, struct<requestBody: {_BODY}>>)")).alias(f"{s}m"))
-    paths = side("o").join(side("n"), [by, "path"], "full")
-    gone = paths.filter("nm is null").select(by, F.lit("removed_endpoint").alias("change_type"), F.col("path").alias("item"))
-    fresh = paths.filter("om is null").select(by, F.explode("nm").alias("method", "x"), "path").select(by, F.lit("added_endpoint").alias("change_type"), F.concat_ws(" ", F.upper("method"), "path").alias("item"))
-    both = paths.filter("om is not null and nm is not null").select(by, "path", F.explode("om").alias("method", "o"), "nm")
+    side = lambda text, s: whole.select(*keys, F.explode(_fields(F.try_element_at(_fields(F.col(text)), F.lit("paths")))).alias("path", "v")).select(*keys, "path", _fields(F.col("v")).alias(s))
+    paths = side(old, "om").join(side(new, "nm"), [*keys, "path"], "full")
+    gone = paths.filter("nm is null").select(*keys, F.lit("removed_endpoint").alias("change_type"), F.col("path").alias("item"))
     label = F.concat_ws(" ", F.upper("method"), "path")
-    lost = both.filter(~F.map_contains_key("nm", F.col("method"))).select(by, F.lit("removed_method").alias("change_type"), label.alias("item"))
-    kept = both.filter(F.map_contains_key("nm", F.col("method"))).withColumn("n", F.try_element_at("nm", F.col("method")))
-    schema = lambda s: F.try_element_at(F.filter(F.transform(F.map_values(F.coalesce(F.col(f"{s}.requestBody.content"), F.expr("map()").cast(_BODY[len("struct<content: ") : -1]))), lambda m: m.schema), lambda x: x.isNotNull()), F.lit(1))
-    bodies = kept.select(by, label.alias("label"), schema("o").alias("o"), schema("n").alias("n")).select(
-        by,
-        "label",
-        F.coalesce("o.properties", F.expr(f"cast(map() as {_PROP})")).alias("op"),
-        F.coalesce("n.properties", F.expr(f"cast(map() as {_PROP})")).alias("np"),
-        F.coalesce("o.required", F.array().cast("array<string>")).alias("oq"),
-        F.coalesce("n.required", F.array().cast("array<string>")).alias("nq"),
-    )
+    fresh = paths.filter("om is null").select(*keys, F.explode("nm").alias("method", "x"), "path").select(*keys, F.lit("added_endpoint").alias("change_type"), label.alias("item"))
+    both = paths.filter("om is not null and nm is not null").select(*keys, "path", F.explode("om").alias("method", "o"), "nm")
     has = lambda m, k: F.map_contains_key(m, k)
-    kind = lambda m, k: F.try_element_at(m, k).getField("type")
+    lost = both.filter(~has("nm", F.col("method"))).select(*keys, F.lit("removed_method").alias("change_type"), label.alias("item"))
+    kept = both.filter(has("nm", F.col("method"))).select(*keys, label.alias("label"), _body(F.col("o")).alias("o"), _body(F.try_element_at("nm", F.col("method"))).alias("n"))
+    names = lambda s: F.coalesce(F.from_json(F.try_element_at(s, F.lit("required")), "array<string>"), F.array().cast("array<string>"))
+    part = lambda s: _fields(F.try_element_at(s, F.lit("properties")))
+    bodies = kept.select(*keys, "label", part("o").alias("op"), part("n").alias("np"), names("o").alias("oq"), names("n").alias("nq"))
+    kind = lambda m, k: F.nullif(F.try_element_at(_fields(F.try_element_at(m, k)), F.lit("type")), F.lit(""))
     op, np_, oq, nq = (F.col(c) for c in ("op", "np", "oq", "nq"))
-    tagged = lambda keys, name: F.transform(keys, lambda k: F.struct(F.lit(name).alias("t"), k.alias("k")))
+    tagged = lambda found, name: F.transform(found, lambda k: F.struct(F.lit(name).alias("t"), k.alias("k")))
     changes = F.concat(
         tagged(F.filter(F.array_distinct(oq), lambda k: ~has(np_, k)), "removed_required_field"),
-        tagged(F.filter(F.map_keys(op), lambda k: has(np_, k) & kind(op, k).isNotNull() & kind(np_, k).isNotNull() & (kind(op, k) != kind(np_, k))), "changed_field_type"),
+        tagged(F.filter(F.map_keys(op), lambda k: has(np_, k) & (kind(op, k) != kind(np_, k))), "changed_field_type"),
         tagged(F.array_except(nq, oq), "added_required_field"),
         tagged(F.filter(F.map_keys(np_), lambda k: ~has(op, k) & ~F.array_contains(nq, k)), "added_optional_field"),
     )
-    fields = bodies.select(by, "label", F.explode(changes).alias("c")).select(by, F.col("c.t").alias("change_type"), F.concat_ws(" → ", "label", "c.k").alias("item"))
+    fields = bodies.select(*keys, "label", F.explode(changes).alias("c")).select(*keys, F.col("c.t").alias("change_type"), F.concat_ws(" → ", "label", "c.k").alias("item"))
     out = gone.unionByName(fresh).unionByName(lost).unionByName(fields)
     return out.withColumn("risk", F.when(F.col("change_type").isin("added_endpoint", "added_optional_field"), "low").otherwise("high"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.ranks import min_confidence
+from riskloom.functions.ranks import first_of, min_confidence
 from riskloom.functions.text import contains_any, dirname, extension
 
 #: Words that raise the risk of a front-end path.
@@ -196,12 +196,13 @@ def surprise(edges: DataFrame, nodes: DataFrame, least: float = 0.35) -> DataFra
     """Edges (source, target, edge_type, source_kind) scored by what sets their ends apart.
 
     nodes: node, community, language, degree, is_test; missing ones count as
-    unknown. Of a repeated edge the first counts. suspicious is a score of
+    unknown. Of a repeated edge the first by seq counts
+    (where edges have it, then by the other columns). suspicious is a score of
     `least` or more; reasons tells the rules met.
     """
     mid = nodes.agg(F.when(F.count("degree") >= 2, F.median("degree")).alias("median"))
     side = lambda p: nodes.select(F.col("node").alias(p), F.struct("community", "language", "degree", "is_test").alias(f"{p}_n"))
-    once = edges.dropDuplicates(["source", "target"])
+    once = first_of(edges, ["source", "target"])
     both = once.join(side("source"), "source", "left").join(side("target"), "target", "left").join(F.broadcast(mid))  # one row
     s, t = F.col("source_n"), F.col("target_n")
     known = s.community.isNotNull() & t.community.isNotNull()
@@ -261,7 +262,7 @@ def review_questions(edges: DataFrame, spots: DataFrame, bridge: DataFrame, each
 def augment_paths(paths: DataFrame, hits: DataFrame) -> DataFrame:
     """Paths and, for files that no path ends in, one path of the hit alone at low risk and confidence."""
     ends = paths.select(F.element_at("path", -1).alias("file")).distinct()
-    extra = hits.dropDuplicates(["file"]).join(ends, "file", "left_anti")
+    extra = hits.select("file").distinct().join(ends, "file", "left_anti")
     return paths.unionByName(extra.select(F.array("file").alias("path"), F.lit("low").alias("risk"), F.lit("low").alias("confidence")), allowMissingColumns=True)
 
 

@@ -34,9 +34,9 @@ def file_history(items: DataFrame, files: DataFrame, recent: int = 3, newest_fir
     """file, flagged_count, nth, timestamp, risk, line: the latest findings of wanted files, one row each."""
     order = newest_first or (F.desc("timestamp"), F.col("seq"))
     wanted = items.join(files.select("file").distinct(), "file", "left_semi")
-    by = Window.partitionBy("file")
-    ranked = wanted.withColumns({"flagged_count": F.count("*").over(by), "nth": F.row_number().over(by.orderBy(*order)).cast("long")})
-    return ranked.filter(F.col("nth") <= recent)
+    nth = F.row_number().over(Window.partitionBy("file").orderBy(*order))
+    few = wanted.withColumn("nth", nth).filter(F.col("nth") <= recent).withColumn("nth", F.col("nth").cast("long"))  # tasks send `recent` rows of a file
+    return few.join(wanted.groupBy("file").agg(F.count("*").alias("flagged_count")), "file")
 
 
 def risk_trend(reports: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.ranks import first_of
 from riskloom.functions.text import contains_any, extension
 
 
@@ -360,7 +361,7 @@ def code_edges(files: DataFrame, symbols: DataFrame, language: str) -> DataFrame
         rows = symbols.select("file", "node_id", "start_line", F.posexplode(F.split("body", "\n")).alias("offset", "code"))
         calls = rows.select("file", F.col("node_id").alias("source"), F.concat_ws(":", "file", F.col("start_line") + F.col("offset")).alias("evidence"), F.explode(F.regexp_extract_all("code", F.lit(spec.call), F.lit(0))).alias("hit"))
         named = calls.select("file", "source", "evidence", F.regexp_extract("hit", spec.call, 1).alias("field"), F.regexp_extract("hit", spec.call, 2).alias("method"))
-        typed = named.join(fields.dropDuplicates(["file", "field"]), ["file", "field"])
+        typed = named.join(first_of(fields, ["file", "field"], "line"), ["file", "field"])
         seq = symbols.select("class_name", "symbol", "node_id", F.struct("file", "start_line").alias("seq"))
         parts.append(resolve_calls(typed, method_index(seq)))
     out = parts[0]

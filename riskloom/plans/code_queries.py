@@ -392,7 +392,7 @@ def proto_diff(spark, sf_dir):
         .when(F.col("k") % 6 == 4, F.concat(F.lit("+  string "), name, F.lit(" = "), F.col("k"), F.lit(";")))
     )
     lines = p.select(F.lit("a.proto").alias("path"), F.explode(F.array_compact(F.array(old, new, F.when(F.col("k") % 11 == 0, F.concat(F.lit("-  STATE_"), F.col("k"), F.lit(" = 1;")))))).alias("line"), "k").withColumn("pos", F.col("k"))
-    return C.proto_findings(lines).select("change_type", "item", "risk")
+    return C.proto_findings(lines, ("path",)).select("change_type", "item", "risk")
 
 
 PROTO = """

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import extension
 from riskloom.operators import graph as G
 from riskloom.operators import history as H
 from riskloom.operators import intervals as I
@@ -117,12 +118,12 @@ def changed_code(spark, sf_dir):
     text = F.concat(F.lit("diff --git a/"), "file", F.lit(" b/"), "file", F.lit("\n@@ -"), at, F.lit(",1 +"), at, F.lit(",1 @@\n-old\n+new"))
     lines = D.diff_lines(files.select(F.col("p_partkey").alias("diff_id"), text.alias("text")))
     nodes, _ = V.code_graph(files, LANGUAGES)
-    return V.changed_code(lines, nodes).select("node_id", "symbol")
+    return V.changed_code(lines, nodes).select("diff_id", "node_id", "symbol")
 
 
 CHANGED_CODE = f"""
 WITH f(m, file) AS (VALUES {_PATH_ROWS}), c(m, line, name) AS (VALUES {_rows(CHANGED)})
-SELECT replace(file || ':' || name, '{{k}}', {_K}) AS node_id, split_part(name, '.', 2) AS symbol FROM part JOIN f ON p_partkey % 7 = f.m JOIN c ON c.m = f.m"""
+SELECT p_partkey AS diff_id, replace(file || ':' || name, '{{k}}', {_K}) AS node_id, split_part(name, '.', 2) AS symbol FROM part JOIN f ON p_partkey % 7 = f.m JOIN c ON c.m = f.m"""
 
 
 def script_files(spark, sf_dir) -> DataFrame:
@@ -158,10 +159,10 @@ def changed_scripts(spark, sf_dir):
     text = F.concat(F.lit("diff --git a/"), "file", F.lit(" b/"), "file", new, F.lit("\n@@ -3,1 +3,1 @@\n-old\n+new"))
     lines = D.diff_lines(files.select(F.col("p_partkey").alias("diff_id"), text.alias("text")))
     out = V.changed_scripts(lines, files.select("file", "content"))
-    return out.select("file", "symbol", "symbol_type", F.col("start_line").cast("long").alias("start_line"), "change_type")
+    return out.select("diff_id", "file", "symbol", "symbol_type", F.col("start_line").cast("long").alias("start_line"), "change_type")
 
 
-CHANGED_SCRIPTS = "SELECT 'web/p' || p_partkey || '.ts' AS file, 'show' || p_partkey AS symbol, 'function' AS symbol_type, CAST(2 AS BIGINT) AS start_line, CASE WHEN p_partkey % 4 = 0 THEN 'added' ELSE 'modified' END AS change_type FROM part"
+CHANGED_SCRIPTS = "SELECT p_partkey AS diff_id, 'web/p' || p_partkey || '.ts' AS file, 'show' || p_partkey AS symbol, 'function' AS symbol_type, CAST(2 AS BIGINT) AS start_line, CASE WHEN p_partkey % 4 = 0 THEN 'added' ELSE 'modified' END AS change_type FROM part"
 
 
 def added_symbols(spark, sf_dir):
@@ -229,10 +230,10 @@ MERGE_META = "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN 'b' || p_partk
 
 
 def static_review(spark, sf_dir):
-    return V.static_review(part_diffs(spark, sf_dir)).select("file", F.col("line").cast("long").alias("line"), "risk", "kind", "what")
+    return V.static_review(part_diffs(spark, sf_dir)).select("diff_id", "file", F.col("line").cast("long").alias("line"), "risk", "kind", "what")
 
 
-STATIC_REVIEW = f"SELECT path AS file, line, risk, 'migration' AS kind, operation || ' ' || table_name || ' ' || column_name AS what FROM ({DDL_RULES})"
+STATIC_REVIEW = f"SELECT diff_id, path AS file, line, risk, 'migration' AS kind, operation || ' ' || table_name || ' ' || column_name AS what FROM ({DDL_RULES})"
 
 
 def patched_files(spark, sf_dir):
@@ -459,10 +460,15 @@ DIFF_LANGUAGES = f"SELECT p_partkey AS diff_id, CASE m WHEN 0 THEN 'python' WHEN
 
 
 def language_profiles(spark, sf_dir):
-    return L.profiles(spark).groupBy("language", F.col("place").cast("long").alias("place")).agg(F.array_join(F.sort_array(F.collect_list("extension")), ",").alias("extensions"))
+    """Supported languages with the parts' files of each."""
+    files = part_paths(spark, sf_dir).select(extension(F.col("path")).alias("extension")).groupBy("extension").count()
+    known = L.profiles(spark).join(files, "extension", "left")
+    return known.groupBy("language", F.col("place").cast("long").alias("place")).agg(F.array_join(F.sort_array(F.collect_list("extension")), ",").alias("extensions"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_files"))
 
 
-PROFILES = "SELECT language, CAST(place AS BIGINT) AS place, extensions FROM (VALUES ('csharp', 0, '.cs'), ('java', 1, '.java'), ('python', 2, '.py'), ('nodejs', 3, '.cjs,.js,.mjs,.ts,.tsx'), ('go', 4, '.go'), ('php', 5, '.php'), ('cpp', 6, '.cc,.cpp,.cxx,.h,.hpp')) v(language, place, extensions)"
+PROFILES = f"""
+SELECT language, CAST(place AS BIGINT) AS place, extensions, (SELECT count(*) FROM {_PATHS} WHERE list_contains(string_split(extensions, ','), lower('.' || split_part(path, '.', -1)))) AS n_files
+FROM (VALUES ('csharp', 0, '.cs'), ('java', 1, '.java'), ('python', 2, '.py'), ('nodejs', 3, '.cjs,.js,.mjs,.ts,.tsx'), ('go', 4, '.go'), ('php', 5, '.php'), ('cpp', 6, '.cc,.cpp,.cxx,.h,.hpp')) v(language, place, extensions)"""
 
 
 def run_rows(spark, sf_dir):

@@ -68,11 +68,6 @@ def same_path_blocks(lines: DataFrame) -> DataFrame:
     return lines.filter("path = old_path and not contains(path, ' ')")
 
 
-def path_matches(path: Column, wanted: Column) -> Column:
-    """Equal, or one ends in a slash and the other."""
-    return (path == wanted) | F.endswith(path, F.concat(F.lit("/"), wanted)) | F.endswith(wanted, F.concat(F.lit("/"), path))
-
-
 def diff_for_files(lines: DataFrame, files: DataFrame, id_col: str = "diff_id") -> DataFrame:
     """The diff text restricted to files (column file): equal paths or paths that end in / and the file.
 
@@ -126,14 +121,16 @@ def merge_request_diff(changes: DataFrame, id_col: str = "diff_id") -> DataFrame
 def apply_patch(patches: DataFrame, files: DataFrame) -> DataFrame:
     """Apply hunks by content: (path, seq, old_lines, new_lines) on (path, lines).
 
-    Each hunk replaces the first block of lines that equals its old lines, up to
+    Where patches have a diff_id, each diff is applied on its own and gives its
+    own row of a file. Each hunk replaces the first block of lines that equals its old lines, up to
     trailing blanks. A hunk without old lines does nothing. ok is false, and
     lines stay, if any hunk finds no block. Hunks fold over one file's lines,
     which must fit a row.
     """
     trimmed = lambda a: F.transform(a, lambda x: F.rtrim(x))
-    bare = patches.select("path", "seq", "old_lines", "new_lines", trimmed(F.col("old_lines")).alias("old_bare"), trimmed(F.col("new_lines")).alias("new_bare"))
-    hunks = bare.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "old_lines", "new_lines", "old_bare", "new_bare"))).alias("hunks"))
+    own = [c for c in ("diff_id", "path") if c in patches.columns]
+    bare = patches.select(*own, "seq", "old_lines", "new_lines", trimmed(F.col("old_lines")).alias("old_bare"), trimmed(F.col("new_lines")).alias("new_bare"))
+    hunks = bare.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("seq", "old_lines", "new_lines", "old_bare", "new_bare"))).alias("hunks"))
 
     def step(state: Column, h: Column) -> Column:
         size = F.size(h.old_lines)
@@ -152,14 +149,14 @@ def apply_patch(patches: DataFrame, files: DataFrame) -> DataFrame:
 
     start = F.struct(F.col("lines"), trimmed(F.col("lines")).alias("bare"), F.lit(True).alias("ok"))
     done = files.join(hunks, "path").withColumn("r", F.aggregate("hunks", start, step))
-    return done.select("path", F.when(F.col("r.ok"), F.col("r.lines")).otherwise(F.col("lines")).alias("lines"), F.col("r.ok").alias("ok"))
+    return done.select(*own, F.when(F.col("r.ok"), F.col("r.lines")).otherwise(F.col("lines")).alias("lines"), F.col("r.ok").alias("ok"))
 
 
-def patch_hunks(lines: DataFrame) -> DataFrame:
-    """path, seq, old_lines, new_lines of each hunk, for apply_patch()."""
+def patch_hunks(lines: DataFrame, id_col: str = "diff_id") -> DataFrame:
+    """diff_id, path, seq, old_lines, new_lines of each hunk, for apply_patch()."""
     body = lines.filter("hunk > 0 and kind <> 'header'")
     part = lambda keep: F.transform(F.filter(F.sort_array(F.collect_list(F.struct("pos", "kind", "line"))), keep), lambda x: F.substr(x.line, F.lit(2)))
-    return body.groupBy("path", F.col("hunk").alias("seq")).agg(part(lambda x: x.kind != "added").alias("old_lines"), part(lambda x: x.kind != "removed").alias("new_lines"))
+    return body.groupBy(F.col(id_col).alias("diff_id"), "path", F.col("hunk").alias("seq")).agg(part(lambda x: x.kind != "added").alias("old_lines"), part(lambda x: x.kind != "removed").alias("new_lines"))
 
 
 def merge_request_meta(replies: DataFrame, column: str = "reply") -> DataFrame:
@@ -168,14 +165,12 @@ def merge_request_meta(replies: DataFrame, column: str = "reply") -> DataFrame:
     return replies.withColumn("_m", parsed.getField("diff_refs")).select(*replies.columns, "_m.base_sha", "_m.head_sha", "_m.start_sha")
 
 
-def changed_lines(lines: DataFrame) -> DataFrame:
-    """file, line of added lines by their number in the new file, and of the place of removed ones."""
-    from pyspark.sql import Window as W
-
+def changed_lines(lines: DataFrame, id_col: str = "diff_id") -> DataFrame:
+    """diff_id, file, line of added lines by their number in the new file, and of the place of removed ones."""
     start = F.regexp_extract("line", _HUNK, 1)
     inside = lines.filter("hunk > 0").withColumn("_s", F.when(start != "", start.cast("int")))
-    own = W.partitionBy("path", "hunk").orderBy("pos")
+    own = Window.partitionBy(id_col, "path", "hunk").orderBy("pos")
     step = F.when(F.col("_s").isNotNull() | (F.col("kind") == "removed"), 0).otherwise(1)
-    at = F.first("_s").over(own) + F.sum(step).over(own.rowsBetween(W.unboundedPreceding, 0)) - 1
+    at = F.first("_s").over(own) + F.sum(step).over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1
     numbered = inside.withColumn("_n", F.when(F.col("kind") == "removed", F.greatest(at + 1, F.lit(1))).otherwise(at))
-    return numbered.filter("kind in ('added', 'removed')").select(F.col("path").alias("file"), F.col("_n").alias("line")).distinct()
+    return numbered.filter("kind in ('added', 'removed')").select(F.col(id_col).alias("diff_id"), F.col("path").alias("file"), F.col("_n").alias("line")).distinct()
