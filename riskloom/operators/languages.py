@@ -1,14 +1,16 @@
 """What back-end code of seven languages shows: symbols, calls, writes, auth and endpoints.
 
-A declaration is a line that fits a pattern. It ends where the braces that are
-open before it are closed again, or in Python where a line is indented no deeper.
-Ends and enclosing classes are found by filling values along sorted lines, so no
-declaration meets all lines of its file. Braces in strings and in comments that
-end with their line do not count.
+A declaration is a logical line of code that fits a pattern, so parameters,
+attributes and decorators may span lines, and comments and strings do not
+count: see operators.lexer. It ends where the braces that are open before it are
+closed again, or in Python where a line is indented no deeper. Ends and
+enclosing classes are found by filling values along sorted lines, so no
+declaration meets all lines of its file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.ranks import first_of
 from riskloom.functions.text import contains_any, extension
+from riskloom.operators.lexer import SYNTAX, lex
 
 
 @dataclass(frozen=True)
@@ -194,43 +197,58 @@ def is_route(marks: Column) -> Column:
     return F.exists(marks, lambda m: contains_any(F.lower(m), ROUTES))
 
 
-def mark_names(text: Column, language: str) -> Column:
-    """Names of the attributes or decorators of a line, without what stands in parentheses."""
-    bare = F.regexp_replace(text, r"\((?:[^()]|\([^()]*\))*\)", "")
+def _nested(depth: int) -> str:
+    """A pattern of parentheses, with others in them up to this depth."""
+    out = r"\([^()]*+\)"
+    for _ in range(depth):
+        out = rf"\((?:[^()]++|{out})*+\)"
+    return out
+
+
+_PARENTHESES = _nested(8)
+_AT = rf"^\s*(?:@\s*[\w.]+\s*(?:{_PARENTHESES})?\s*)++"
+_SQUARE = rf"^\s*(?:\[(?:[^\[\]()]++|{_PARENTHESES}|\[[^\[\]]*+\])*+\]\s*)++"
+
+
+def _marks(logical: Column, language: str) -> tuple[Column, Column]:
+    """(names, rest): attributes or decorators that a logical line begins with, and what it declares."""
+    lead = _SQUARE if language == "csharp" else _AT
+    bare = F.regexp_replace(F.regexp_extract(logical, lead, 0), _PARENTHESES, "")
     if language == "csharp":
-        return F.regexp_extract_all(bare, F.lit(r"[\[,]\s*(\w[\w.]*)"), F.lit(1))
-    names = F.regexp_extract_all(bare, F.lit(r"@\s*(\w[\w.]*)"), F.lit(1))
-    return F.transform(names, lambda n: F.element_at(F.split(n, r"\."), -1)) if language == "java" else names
+        names = F.regexp_extract_all(bare, F.lit(r"[\[,]\s*(\w[\w.]*)"), F.lit(1))
+    else:
+        names = F.regexp_extract_all(bare, F.lit(r"@\s*(\w[\w.]*)"), F.lit(1))
+    if language == "java":
+        names = F.transform(names, lambda n: F.element_at(F.split(n, r"\."), -1))
+    return names, F.regexp_replace(logical, lead, "")
 
 
-def _ends(lines: DataFrame, language: str) -> DataFrame:
-    """Lines (file, line, text, class and name of what they declare) with level and, where they declare, end_line."""
+def _ends(lines: DataFrame, by_indent: bool) -> DataFrame:
+    """Lines (file, line, text, code, class and name of what they declare) with level and, where they declare, end_line."""
     by = Window.partitionBy("file").orderBy("line")
     ahead = Window.partitionBy("file", "level").orderBy("line", "k").rowsBetween(0, Window.unboundedFollowing)
     none = F.lit(None).cast("int")
     head = F.col("name").isNotNull() | F.col("class").isNotNull()
-    if language == "python":
-        bare = F.ltrim("text")
-        code = lines.withColumn("level", F.length("text") - F.length(bare)).filter((bare != "") & ~bare.startswith("#"))
-        code = code.withColumns({"before": F.lag("level").over(by), "upto": F.lag("line").over(by), "last": F.max("line").over(Window.partitionBy("file"))})
-        closes = code.filter(~bare.rlike(r"^[)\]}]") & F.col("before").isNotNull() & (F.col("level") <= F.col("before")))
+    if by_indent:
+        # the last line of a block may be one of a text or bracket that goes on
+        full = F.max(F.when(F.col("inside") | (F.trim("code") != ""), F.col("line")))
+        code = lines.withColumns({"level": F.length("text") - F.length(F.ltrim("text")), "upto": full.over(by.rowsBetween(Window.unboundedPreceding, -1)), "final": full.over(Window.partitionBy("file"))})
+        code = code.filter(F.col("head") & (F.trim("code") != "")).withColumn("before", F.lag("level").over(by))
+        closes = code.filter(F.col("before").isNotNull() & (F.col("level") <= F.col("before")))
         events = closes.select("file", F.explode(F.sequence("level", "before")).alias("level"), "line", F.lit(0).alias("k"), F.col("upto").alias("end"))
-        rest = F.col("last")
+        rest = F.col("final")
     else:
-        bare = F.regexp_replace(F.regexp_replace("text", r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`", "\"\""), r"//.*$", "")
-        count = lambda c: F.length("bare") - F.length(F.replace("bare", F.lit(c)))
-        code = lines.withColumn("bare", bare).withColumns({"opens": count("{"), "shuts": count("}")})
-        code = code.withColumn("after", F.sum(F.col("opens") - F.col("shuts")).over(by).cast("int")).withColumn("level", (F.col("after") - F.col("opens") + F.col("shuts")).cast("int"))
+        code = lines.withColumn("after", F.sum(F.col("opens") - F.col("shuts")).over(by).cast("int")).withColumn("level", (F.col("after") - F.col("opens") + F.col("shuts")).cast("int"))
         top = (F.col("level") + F.col("opens") - 1).cast("int")
         closes = code.filter((F.col("shuts") > 0) & (top >= F.col("after")))
         events = closes.select("file", F.explode(F.sequence("after", top)).alias("level"), "line", F.lit(1).alias("k"), F.col("line").alias("end"))
         rest = F.col("line")
     told = code.filter(head)
-    both = told.select("file", "level", "line", F.lit(1 if language == "python" else 0).alias("k"), none.alias("end"), F.struct(*(c for c in told.columns if c not in ("file", "level", "line"))).alias("_h"))
+    both = told.select("file", "level", "line", F.lit(1 if by_indent else 0).alias("k"), none.alias("end"), F.struct(*(c for c in told.columns if c not in ("file", "level", "line"))).alias("_h"))
     marked = both.unionByName(events, allowMissingColumns=True).withColumn("end_line", F.first("end", True).over(ahead)).filter("_h is not null")
     out = marked.select("file", "level", "line", "end_line", "_h.*")
-    bodiless = F.lit(language != "python") & F.col("text").rlike(r";\s*$") & ~F.contains("text", F.lit("{"))
-    return out.withColumn("end_line", F.when(bodiless, F.col("line")).otherwise(F.coalesce("end_line", rest)))
+    bodiless = F.lit(not by_indent) & F.col("logical").rlike(r";\s*$") & ~F.contains("logical", F.lit("{"))
+    return out.withColumn("end_line", F.when(bodiless, F.col("stop")).otherwise(F.coalesce("end_line", rest)))
 
 
 def _owned(heads: DataFrame, language: str) -> DataFrame:
@@ -247,39 +265,57 @@ def _owned(heads: DataFrame, language: str) -> DataFrame:
     return filled.withColumn("owner", F.when(F.col("scope.to") >= F.col("line"), F.col("scope"))).drop("at", "k", "scope")
 
 
-def code_symbols(files: DataFrame, language: str) -> DataFrame:
+def lexed_files(files: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Lines of the files of these languages, with what of them is code: see lexer.lex(). One plan for all languages."""
+    wanted = [language_name(n) for n in names or LANGUAGES]
+    ending = extension(F.col("file"))
+    language = F.lit(None).cast("string")
+    for n in wanted:
+        language = F.when(ending.isin(*LANGUAGES[n].extensions), n).otherwise(language)
+    own = files.select("file", "content", language.alias("language")).filter("language is not null")
+    lines = own.select("file", "language", F.posexplode(F.split("content", "\r?\n")).alias("n", "text")).select("file", "language", (F.col("n") + 1).alias("line"), "text")
+    longest = own.agg(F.max(F.regexp_count("content", F.lit("\n")))).first()[0]
+    return lex(lines, wanted, (longest or 0) + 1)
+
+
+def code_symbols(files: DataFrame, language: str, lexed: DataFrame | None = None) -> DataFrame:
     """file, class_name, symbol, symbol_type, start_line, end_line, node_id, attributes, body of what one language declares.
 
-    files: file, content. attributes are the names of decorators or attributes
-    on the lines right above, in Java and Node also those of the class. Functions
-    outside a class have the id file:name. C# properties have types of their
-    own. Calls such as router.post('/path', ...) are controller actions of Node
-    with the id file:method:path. Properties and routes have no body, as no edges
-    are read from them. Constructors of PHP and Node, special methods of Python
-    but __init__, and its functions that are no routes outside a class, are left out.
+    files: file, content; lexed: their lexed_files(), where they are there
+    already. attributes are the names of decorators or attributes in front of
+    the declaration, on its own line or on those above, in Java and Node also
+    those of the class. Functions outside a class have the id file:name. C#
+    properties have types of their own. Calls such as router.post('/path', ...)
+    are controller actions of Node with the id file:method:path. Properties and
+    routes have no body, as no edges are read from them. Constructors of PHP and
+    Node, special methods of Python but __init__, and its functions that are no
+    routes outside a class, are left out.
     """
     language = language_name(language)
     spec = LANGUAGES[language]
-    own = files.filter(extension(F.col("file")).isin(*spec.extensions))
-    lines = own.select("file", F.posexplode(F.split("content", "\r?\n")).alias("n", "text")).select("file", (F.col("n") + 1).alias("line"), "text")
-    is_class = F.col("text").rlike(spec.class_)
-    method = F.when(F.col("text").rlike(spec.method) & ~is_class, F.regexp_extract("text", spec.method, 1))
-    prop = F.when(F.col("text").rlike(spec.property_) & ~is_class & method.isNull(), F.regexp_extract("text", spec.property_, 1)) if spec.property_ else F.lit(None).cast("string")
-    is_mark = F.col("text").rlike(r"^\s*[@\[]") & method.isNull()
+    lines = (lexed_files(files, [language]) if lexed is None else lexed).filter(F.col("language") == language).drop("language")
+    names, rest = _marks(F.col("logical"), language)
+    told = lines.withColumns({"own_marks": names, "declared": rest})
+    declared = F.col("declared")
+    is_class = declared.rlike(spec.class_)
+    method = F.when(declared.rlike(spec.method) & ~is_class, F.regexp_extract("declared", spec.method, 1))
+    prop = F.when(declared.rlike(spec.property_) & ~is_class & method.isNull(), F.regexp_extract("declared", spec.property_, 1)) if spec.property_ else F.lit(None).cast("string")
+    told = told.withColumns({"class": F.when(is_class, F.regexp_extract("declared", spec.class_, 1)), "name": F.coalesce(method, prop), "is_property": prop.isNotNull()})
+    # marks and what stands below them have as many other logical lines before them
     by = Window.partitionBy("file").orderBy("line")
-    told = lines.withColumns({"class": F.when(is_class, F.regexp_extract("text", spec.class_, 1)), "name": F.coalesce(method, prop), "is_property": prop.isNotNull(), "is_mark": is_mark})
-    # marks and the line below them have as many other lines before them
-    told = told.withColumn("run", F.coalesce(F.sum(F.when(F.col("is_mark"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    other = F.when(F.col("head") & (F.trim("declared") != ""), 1).otherwise(0)
+    told = told.withColumn("run", F.coalesce(F.sum(other).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     group = Window.partitionBy("file", "run").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = told.withColumn("marks", F.flatten(F.collect_list(F.when(F.col("is_mark"), mark_names(F.col("text"), language))).over(group))).drop("run", "is_mark")
-    heads = _owned(_ends(told, language).select("file", "level", "line", "end_line", "text", "class", "name", "is_property", "marks"), language)
+    told = told.withColumn("marks", F.flatten(F.collect_list("own_marks").over(group))).drop("run", "own_marks")
+    kept = ["file", "level", "line", "end_line", "declared", "class", "name", "is_property", "marks"]
+    heads = _owned(_ends(told, SYNTAX[language].blocks_by_indent).select(*kept), language)
     none = F.array().cast("array<string>")
     class_marks = F.coalesce("owner.class_marks", none)
     owner = F.coalesce("owner.class", F.lit(""))
     if language == "go":
-        owner = F.regexp_extract("text", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1)
+        owner = F.regexp_extract("declared", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1)
     elif language == "cpp":
-        outside = F.regexp_extract("text", r"(\w+)::~?\w+\s*\(", 1)
+        outside = F.regexp_extract("declared", r"(\w+)::~?\w+\s*\(", 1)
         owner = F.when(outside != "", outside).otherwise(owner)
     elif language == "python":
         inner = F.col("owner").isNotNull() & F.col("owner.class").isNull()
@@ -287,14 +323,15 @@ def code_symbols(files: DataFrame, language: str) -> DataFrame:
         heads = heads.filter(~inner & F.when(F.col("owner").isNull(), (F.col("level") == 0) & is_route(F.col("marks"))).otherwise(~special))
     if language in ("nodejs", "php"):
         heads = heads.filter(~F.col("name").isin("constructor", "__construct"))
-    params = F.regexp_extract("text", r"\(([^)]*)\)?", 1)
+    params = F.regexp_extract("declared", r"\(([^)]*)\)?", 1)
     named = heads.withColumn("class_name", owner)
     kind = symbol_kind(language, F.col("class_name"), F.col("name"), F.col("file"), F.col("marks"), class_marks, params)
     kind = F.when(F.col("is_property"), property_kind(F.col("class_name"), F.col("file"))).otherwise(kind)
     node = F.concat(F.col("file"), F.lit(":"), F.when(F.col("class_name") != "", F.concat("class_name", F.lit("."))).otherwise(""), F.col("name"))
     attributes = F.concat("marks", class_marks) if spec.class_marks else F.col("marks")
     out = named.select("file", "class_name", F.col("name").alias("symbol"), kind.alias("symbol_type"), F.col("line").alias("start_line"), "end_line", node.alias("node_id"), attributes.alias("attributes"), "is_property")
-    whole = _bodies(out.filter("not is_property"), lines).unionByName(out.filter("is_property").withColumn("body", F.lit(""))).drop("is_property")
+    texts = lines.select("file", "line", "text")
+    whole = _bodies(out.filter("not is_property"), texts).unionByName(out.filter("is_property").withColumn("body", F.lit(""))).drop("is_property")
     return whole.unionByName(_routes(lines)) if language == "nodejs" else whole
 
 
@@ -310,7 +347,8 @@ def _bodies(symbols: DataFrame, lines: DataFrame) -> DataFrame:
 def _routes(lines: DataFrame) -> DataFrame:
     """Calls of web methods, as of routers: a controller action each, named method:path or by the method alone."""
     pattern = rf"(?i)\w\.({'|'.join(VERBS)})\s*\(\s*(?:'([^']*)'|\"([^\"]*)\")?"
-    calls = lines.filter(F.col("text").rlike(pattern)).select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("call"))
+    in_code = ~F.col("inside") & F.col("code").rlike(rf"(?i)\w\.({'|'.join(VERBS)})\s*\(")
+    calls = lines.filter(in_code & F.col("text").rlike(pattern)).select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("call"))
     verb, path = F.lower(F.regexp_extract("call", pattern, 1)), F.concat(F.regexp_extract("call", pattern, 2), F.regexp_extract("call", pattern, 3))
     name = F.concat_ws(":", verb, F.when(path != "", path))
     return calls.select(
@@ -356,12 +394,12 @@ def code_edges(files: DataFrame, symbols: DataFrame, language: str) -> DataFrame
             sure = CONFIDENCE.get(edge, "high" if language == "cpp" else "medium")
             parts.append(_hits(symbols, pattern, edge, None, prefix, sure))
     if spec.call:
-        lines = files.filter(extension(F.col("file")).isin(*spec.extensions)).select("file", F.explode(F.split("content", "\r?\n")).alias("text"))
-        fields = lines.filter(F.col("text").rlike(spec.field)).select("file", F.regexp_extract("text", spec.field, 2 if spec.field_first else 1).alias("field_type"), F.regexp_extract("text", spec.field, 1 if spec.field_first else 2).alias("field"))
+        lines = files.filter(extension(F.col("file")).isin(*spec.extensions)).select("file", F.posexplode(F.split("content", "\r?\n")).alias("line", "text"))
+        fields = lines.filter(F.col("text").rlike(spec.field)).select("file", "line", F.regexp_extract("text", spec.field, 2 if spec.field_first else 1).alias("field_type"), F.regexp_extract("text", spec.field, 1 if spec.field_first else 2).alias("field"))
         rows = symbols.select("file", "node_id", "start_line", F.posexplode(F.split("body", "\n")).alias("offset", "code"))
         calls = rows.select("file", F.col("node_id").alias("source"), F.concat_ws(":", "file", F.col("start_line") + F.col("offset")).alias("evidence"), F.explode(F.regexp_extract_all("code", F.lit(spec.call), F.lit(0))).alias("hit"))
         named = calls.select("file", "source", "evidence", F.regexp_extract("hit", spec.call, 1).alias("field"), F.regexp_extract("hit", spec.call, 2).alias("method"))
-        typed = named.join(first_of(fields, ["file", "field"], "line"), ["file", "field"])
+        typed = named.join(first_of(fields, ["file", "field"], "line").drop("line"), ["file", "field"])
         seq = symbols.select("class_name", "symbol", "node_id", F.struct("file", "start_line").alias("seq"))
         parts.append(resolve_calls(typed, method_index(seq)))
     out = parts[0]

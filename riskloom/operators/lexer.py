@@ -125,12 +125,13 @@ def _composed(a: str, b: str) -> Column:
 
 
 def lex(lines: DataFrame, names: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """Lines (file, language, line, text) with code, inside, head, logical, opens, shuts.
+    """Lines (file, language, line, text) with code, inside, head, logical, stop, opens, shuts.
 
     code is the text without comments and without what strings hold; inside
     tells whether the line begins in a comment or string. Lines whose brackets
     are still open go on in the next: head marks the first line of each such
-    logical line, and logical is its whole code, null on other lines. In
+    logical line, logical is its whole code, null on other lines, and stop its
+    last line. In
     languages with braces a line that ends in a brace or semicolon ends the
     logical line too, so functions within a call's brackets are seen. opens and
     shuts count braces of the code. `most` is the number of lines of the longest
@@ -165,5 +166,6 @@ def _logical(lines: DataFrame, by_indent: list[str]) -> DataFrame:
     out = out.withColumn("head", (depth <= 0) & ~F.col("inside"))
     out = out.withColumn("_group", F.sum(F.col("head").cast("int")).over(by))
     own = Window.partitionBy("file", "_group").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stop = F.max("line").over(own)
     joined = F.array_join(F.transform(F.collect_list(F.struct("line", "code")).over(own), lambda x: x.code), " ")
-    return out.withColumn("logical", F.when(F.col("head"), joined)).drop("_net", "_done", "_starts", "_part", "_group")
+    return out.withColumns({"logical": F.when(F.col("head"), joined), "stop": stop}).drop("_net", "_done", "_starts", "_part", "_group")
