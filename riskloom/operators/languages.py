@@ -10,7 +10,7 @@ declaration meets all lines of its file.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -251,10 +251,10 @@ def _ends(lines: DataFrame, by_indent: bool) -> DataFrame:
     return out.withColumn("end_line", F.when(bodiless, F.col("stop")).otherwise(F.coalesce("end_line", rest)))
 
 
-def _owned(heads: DataFrame, language: str) -> DataFrame:
+def _owned(heads: DataFrame, by_indent: bool) -> DataFrame:
     """Declarations of methods with owner: the class, or in Python also the function, that they stand in."""
     scope = F.struct("class", F.col("line").alias("from"), F.col("end_line").alias("to"), F.col("marks").alias("class_marks"))
-    if language == "python":
+    if by_indent:
         opened = heads.filter(F.col("level") < _DEEPEST).withColumn("at", F.explode(F.sequence(F.col("level") + 1, F.lit(_DEEPEST))))
     else:
         opened = heads.filter("class is not null").withColumn("at", F.col("level") + 1)
@@ -265,74 +265,86 @@ def _owned(heads: DataFrame, language: str) -> DataFrame:
     return filled.withColumn("owner", F.when(F.col("scope.to") >= F.col("line"), F.col("scope"))).drop("at", "k", "scope")
 
 
+def _language(names: Sequence[str]) -> Column:
+    """The language of a file by its extension."""
+    ending, out = extension(F.col("file")), F.lit(None).cast("string")
+    for n in names:
+        out = F.when(ending.isin(*LANGUAGES[n].extensions), n).otherwise(out)
+    return out
+
+
+def _each(names: Sequence[str], of: Callable[[str, Language], Column | None], other: Column) -> Column:
+    """of(name, its patterns) for rows of each language; `other` where that is None."""
+    out = other
+    for n in names:
+        value = of(n, LANGUAGES[n])
+        if value is not None:
+            out = F.when(F.col("language") == n, value).otherwise(out)
+    return out
+
+
 def lexed_files(files: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Lines of the files of these languages, with what of them is code: see lexer.lex(). One plan for all languages."""
     wanted = [language_name(n) for n in names or LANGUAGES]
-    ending = extension(F.col("file"))
-    language = F.lit(None).cast("string")
-    for n in wanted:
-        language = F.when(ending.isin(*LANGUAGES[n].extensions), n).otherwise(language)
-    own = files.select("file", "content", language.alias("language")).filter("language is not null")
+    own = files.select("file", "content", _language(wanted).alias("language")).filter("language is not null")
     lines = own.select("file", "language", F.posexplode(F.split("content", "\r?\n")).alias("n", "text")).select("file", "language", (F.col("n") + 1).alias("line"), "text")
     longest = own.agg(F.max(F.regexp_count("content", F.lit("\n")))).first()[0]
     return lex(lines, wanted, (longest or 0) + 1)
 
 
-def code_symbols(files: DataFrame, language: str, lexed: DataFrame | None = None) -> DataFrame:
-    """file, class_name, symbol, symbol_type, start_line, end_line, node_id, attributes, body of what one language declares.
+def code_symbols(files: DataFrame, language: str | Sequence[str], lexed: DataFrame | None = None) -> DataFrame:
+    """file, class_name, symbol, symbol_type, start_line, end_line, node_id, attributes, body of what code of one or more languages declares.
 
     files: file, content; lexed: their lexed_files(), where they are there
-    already. attributes are the names of decorators or attributes in front of
-    the declaration, on its own line or on those above, in Java and Node also
-    those of the class. Functions outside a class have the id file:name. C#
-    properties have types of their own. Calls such as router.post('/path', ...)
-    are controller actions of Node with the id file:method:path. Properties and
-    routes have no body, as no edges are read from them. Constructors of PHP and
-    Node, special methods of Python but __init__, and its functions that are no
-    routes outside a class, are left out.
+    already. All languages go through one plan. attributes are the names of
+    decorators or attributes in front of the declaration, on its own line or on
+    those above, in Java and Node also those of the class. Functions outside a
+    class have the id file:name. C# properties have types of their own. Calls
+    such as router.post('/path', ...) are controller actions of Node with the id
+    file:method:path. Properties and routes have no body, as no edges are read
+    from them. Constructors of PHP and Node, special methods of Python but
+    __init__, and its functions that are no routes outside a class, are left out.
     """
-    language = language_name(language)
-    spec = LANGUAGES[language]
-    lines = (lexed_files(files, [language]) if lexed is None else lexed).filter(F.col("language") == language).drop("language")
-    names, rest = _marks(F.col("logical"), language)
-    told = lines.withColumns({"own_marks": names, "declared": rest})
+    names = [language_name(n) for n in ([language] if isinstance(language, str) else language)]
+    lines = (lexed_files(files, names) if lexed is None else lexed).filter(F.col("language").isin(names))
+    null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    parts = {n: _marks(F.col("logical"), n) for n in names}
+    told = lines.withColumns({"own_marks": _each(names, lambda n, _: parts[n][0], none), "declared": _each(names, lambda n, _: parts[n][1], null)})
     declared = F.col("declared")
-    is_class = declared.rlike(spec.class_)
-    method = F.when(declared.rlike(spec.method) & ~is_class, F.regexp_extract("declared", spec.method, 1))
-    prop = F.when(declared.rlike(spec.property_) & ~is_class & method.isNull(), F.regexp_extract("declared", spec.property_, 1)) if spec.property_ else F.lit(None).cast("string")
-    told = told.withColumns({"class": F.when(is_class, F.regexp_extract("declared", spec.class_, 1)), "name": F.coalesce(method, prop), "is_property": prop.isNotNull()})
+    fits = lambda of: _each(names, lambda n, spec: F.when(declared.rlike(of(spec)), F.regexp_extract("declared", of(spec), 1)) if of(spec) else None, null)
+    told = told.withColumns({"class": fits(lambda x: x.class_), "method": fits(lambda x: x.method), "prop": fits(lambda x: x.property_)})
+    free = F.col("class").isNull()
+    told = told.withColumns({"name": F.when(free, F.coalesce("method", "prop")), "is_property": free & F.col("method").isNull() & F.col("prop").isNotNull()})
     # marks and what stands below them have as many other logical lines before them
     by = Window.partitionBy("file").orderBy("line")
     other = F.when(F.col("head") & (F.trim("declared") != ""), 1).otherwise(0)
     told = told.withColumn("run", F.coalesce(F.sum(other).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     group = Window.partitionBy("file", "run").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = told.withColumn("marks", F.flatten(F.collect_list("own_marks").over(group))).drop("run", "own_marks")
-    kept = ["file", "level", "line", "end_line", "declared", "class", "name", "is_property", "marks"]
-    heads = _owned(_ends(told, SYNTAX[language].blocks_by_indent).select(*kept), language)
-    none = F.array().cast("array<string>")
-    class_marks = F.coalesce("owner.class_marks", none)
+    told = told.withColumn("marks", F.flatten(F.collect_list("own_marks").over(group))).drop("run", "own_marks", "method", "prop")
+    kept = ["file", "language", "level", "line", "end_line", "declared", "class", "name", "is_property", "marks"]
+    indent = [n for n in names if SYNTAX[n].blocks_by_indent]
+    heads = None
+    for own in filter(None, (indent, [n for n in names if n not in indent])):
+        some = told.filter(F.col("language").isin(own))
+        found = _owned(_ends(some, own == indent).select(*kept), own == indent)
+        heads = found if heads is None else heads.unionByName(found)
     owner = F.coalesce("owner.class", F.lit(""))
-    if language == "go":
-        owner = F.regexp_extract("declared", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1)
-    elif language == "cpp":
-        outside = F.regexp_extract("declared", r"(\w+)::~?\w+\s*\(", 1)
-        owner = F.when(outside != "", outside).otherwise(owner)
-    elif language == "python":
-        inner = F.col("owner").isNotNull() & F.col("owner.class").isNull()
-        special = F.col("name").startswith("__") & (F.col("name") != "__init__")
-        heads = heads.filter(~inner & F.when(F.col("owner").isNull(), (F.col("level") == 0) & is_route(F.col("marks"))).otherwise(~special))
-    if language in ("nodejs", "php"):
-        heads = heads.filter(~F.col("name").isin("constructor", "__construct"))
+    outside = F.regexp_extract("declared", r"(\w+)::~?\w+\s*\(", 1)
+    owner = F.when(F.col("language") == "go", F.regexp_extract("declared", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1)).when((F.col("language") == "cpp") & (outside != ""), outside).otherwise(owner)
+    inner = F.col("owner").isNotNull() & F.col("owner.class").isNull()
+    special = F.col("name").startswith("__") & (F.col("name") != "__init__")
+    python = ~inner & F.when(F.col("owner").isNull(), (F.col("level") == 0) & is_route(F.col("marks"))).otherwise(~special)
+    made = F.col("language").isin("nodejs", "php") & F.col("name").isin("constructor", "__construct")
+    named = heads.filter(F.when(F.col("language") == "python", python).otherwise(~made)).withColumn("class_name", owner)
     params = F.regexp_extract("declared", r"\(([^)]*)\)?", 1)
-    named = heads.withColumn("class_name", owner)
-    kind = symbol_kind(language, F.col("class_name"), F.col("name"), F.col("file"), F.col("marks"), class_marks, params)
+    class_marks = F.coalesce("owner.class_marks", none)
+    kind = _each(names, lambda n, _: symbol_kind(n, F.col("class_name"), F.col("name"), F.col("file"), F.col("marks"), class_marks, params), null)
     kind = F.when(F.col("is_property"), property_kind(F.col("class_name"), F.col("file"))).otherwise(kind)
     node = F.concat(F.col("file"), F.lit(":"), F.when(F.col("class_name") != "", F.concat("class_name", F.lit("."))).otherwise(""), F.col("name"))
-    attributes = F.concat("marks", class_marks) if spec.class_marks else F.col("marks")
+    attributes = _each(names, lambda _, spec: F.concat("marks", class_marks) if spec.class_marks else None, F.col("marks"))
     out = named.select("file", "class_name", F.col("name").alias("symbol"), kind.alias("symbol_type"), F.col("line").alias("start_line"), "end_line", node.alias("node_id"), attributes.alias("attributes"), "is_property")
-    texts = lines.select("file", "line", "text")
-    whole = _bodies(out.filter("not is_property"), texts).unionByName(out.filter("is_property").withColumn("body", F.lit(""))).drop("is_property")
-    return whole.unionByName(_routes(lines)) if language == "nodejs" else whole
+    whole = _bodies(out.filter("not is_property"), lines.select("file", "line", "text")).unionByName(out.filter("is_property").withColumn("body", F.lit(""))).drop("is_property")
+    return whole.unionByName(_routes(lines.filter("language = 'nodejs'"))) if "nodejs" in names else whole
 
 
 def _bodies(symbols: DataFrame, lines: DataFrame) -> DataFrame:
@@ -357,55 +369,62 @@ def _routes(lines: DataFrame) -> DataFrame:
     )
 
 
-def _hits(symbols: DataFrame, pattern: str, edge_type: str, target: Column | None, prefix: str, confidence: str) -> DataFrame:
-    lines = symbols.select("*", F.posexplode(F.split("body", "\n")).alias("offset", "code")).filter(F.col("code").rlike(pattern))
-    at = F.col("start_line") + F.col("offset")
-    place = F.concat_ws(":", "file", at)
-    goal = F.concat(F.lit(f"{prefix}:"), place) if target is None else target
-    hit = F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(0)))
-    long = lines.select("node_id", goal.alias("target"), place.alias("place"), hit.alias("hit"))
-    return long.select(F.col("node_id").alias("source"), "target", F.lit(edge_type).alias("edge_type"), F.concat_ws(" ", "place", "hit").alias("evidence"), F.lit(confidence).alias("confidence"))
+#: Kinds of edges that a pattern over lines of a body shows: edge type, which pattern, the target's prefix.
+_SHOWN = (("writes_db", "writes", None), ("calls_external_api", "external", "external"), ("concurrency_boundary", "concurrency", "concurrency"), ("memory_ownership", "memory", "memory"))
 
 
-def code_edges(files: DataFrame, symbols: DataFrame, language: str) -> DataFrame:
-    """source, target, edge_type, evidence, confidence of what methods of one language do.
+def _with(parts: Sequence[Column], name: str) -> Callable[[Column], Column]:
+    """A struct of these columns and an array's element."""
+    return lambda x: F.struct(*parts, x.alias(name))
+
+
+def code_edges(files: DataFrame, symbols: DataFrame, language: str | Sequence[str]) -> DataFrame:
+    """source, target, edge_type, evidence, confidence of what methods of one or more languages do.
 
     calls edges need field types, and are resolved with an index over all
-    symbols: see operators.graph.resolve_calls.
+    symbols of the language: see operators.graph.resolve_calls. All languages go
+    through one plan, which cuts each body into lines once.
     """
     from riskloom.operators.graph import method_index, resolve_calls
 
-    language = language_name(language)
-    spec = LANGUAGES[language]
-    if language == "nodejs":
-        symbols = symbols.filter("class_name <> ''")  # functions outside a class have no edges
+    names = [language_name(n) for n in ([language] if isinstance(language, str) else language)]
+    null = F.lit(None).cast("string")
+    own = symbols.withColumn("language", _language(names)).filter("language is not null")
+    own = own.filter((F.col("language") != "nodejs") | (F.col("class_name") != ""))  # functions outside a class have no edges
     node = F.concat_ws(".", F.when(F.col("class_name") != "", F.col("class_name")), "symbol")
-    parts = []
-    if spec.auth or spec.auth_marks:
-        above = F.exists("attributes", lambda a: a.rlike(spec.auth_marks)) if spec.auth_marks else F.lit(False)
-        hit = symbols.filter((F.col("body") != "") & (above | (F.col("body").rlike(spec.auth) if spec.auth else F.lit(False))))
-        goal = F.concat(F.lit("auth:"), F.col("node_id") if language == "python" else node)
-        parts.append(hit.select(F.col("node_id").alias("source"), goal.alias("target"), F.lit("requires_auth").alias("edge_type"), F.concat_ws(":", "file", "start_line").alias("evidence"), F.lit("high").alias("confidence")))
-    if spec.route_marks:
-        hit = symbols.filter((F.col("body") != "") & F.exists("attributes", lambda a: a.rlike(spec.route_marks)))
-        parts.append(hit.select(F.col("node_id").alias("source"), F.concat(F.lit("endpoint:"), node).alias("target"), F.lit("exposes_endpoint").alias("edge_type"), F.concat_ws(":", "file", "start_line").alias("evidence"), F.lit("high").alias("confidence")))
-    for pattern, edge, prefix in ((spec.writes, "writes_db", spec.writes_to), (spec.external, "calls_external_api", "external"), (spec.concurrency, "concurrency_boundary", "concurrency"), (spec.memory, "memory_ownership", "memory")):
-        if pattern:
-            sure = CONFIDENCE.get(edge, "high" if language == "cpp" else "medium")
-            parts.append(_hits(symbols, pattern, edge, None, prefix, sure))
-    if spec.call:
-        lines = files.filter(extension(F.col("file")).isin(*spec.extensions)).select("file", F.posexplode(F.split("content", "\r?\n")).alias("line", "text"))
-        fields = lines.filter(F.col("text").rlike(spec.field)).select("file", "line", F.regexp_extract("text", spec.field, 2 if spec.field_first else 1).alias("field_type"), F.regexp_extract("text", spec.field, 1 if spec.field_first else 2).alias("field"))
-        rows = symbols.select("file", "node_id", "start_line", F.posexplode(F.split("body", "\n")).alias("offset", "code"))
-        calls = rows.select("file", F.col("node_id").alias("source"), F.concat_ws(":", "file", F.col("start_line") + F.col("offset")).alias("evidence"), F.explode(F.regexp_extract_all("code", F.lit(spec.call), F.lit(0))).alias("hit"))
-        named = calls.select("file", "source", "evidence", F.regexp_extract("hit", spec.call, 1).alias("field"), F.regexp_extract("hit", spec.call, 2).alias("method"))
-        typed = named.join(first_of(fields, ["file", "field"], "line").drop("line"), ["file", "field"])
-        seq = symbols.select("class_name", "symbol", "node_id", F.struct("file", "start_line").alias("seq"))
-        parts.append(resolve_calls(typed, method_index(seq)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    no = F.lit(False)
+    above = _each(names, lambda _, s: F.exists("attributes", lambda a: a.rlike(s.auth_marks)) if s.auth_marks else None, no)
+    guarded = above | _each(names, lambda _, s: F.col("body").rlike(s.auth) if s.auth else None, no)
+    routed = _each(names, lambda _, s: F.exists("attributes", lambda a: a.rlike(s.route_marks)) if s.route_marks else None, no)
+    guard = F.concat(F.lit("auth:"), F.when(F.col("language") == "python", F.col("node_id")).otherwise(node))
+    edge = lambda test, goal, kind: F.when(test, F.struct(goal.alias("target"), F.lit(kind).alias("edge_type")))
+    marked = F.explode(F.array_compact(F.array(edge(guarded, guard, "requires_auth"), edge(routed, F.concat(F.lit("endpoint:"), node), "exposes_endpoint"))))
+    whole = own.filter("body <> ''").select("node_id", "file", "start_line", marked.alias("e"))
+    out = whole.select(F.col("node_id").alias("source"), "e.target", "e.edge_type", F.concat_ws(":", "file", "start_line").alias("evidence"), F.lit("high").alias("confidence"))
+    lines = own.select("language", "file", "node_id", "start_line", F.posexplode(F.split("body", "\n")).alias("offset", "code"))
+    place = F.concat_ws(":", "file", F.col("start_line") + F.col("offset"))
+    hits = []
+    for kind, which, prefix in _SHOWN:
+        found = _each(names, lambda _, s, w=which: F.regexp_extract_all("code", F.lit(getattr(s, w)), F.lit(0)) if getattr(s, w) else None, F.array().cast("array<string>"))
+        goal = F.lit(prefix) if prefix else _each(names, lambda _, s: F.lit(s.writes_to), null)
+        sure = F.lit(CONFIDENCE[kind]) if kind in CONFIDENCE else F.when(F.col("language") == "cpp", "high").otherwise("medium")
+        parts = (F.concat_ws(":", goal, place).alias("target"), F.lit(kind).alias("edge_type"), sure.alias("confidence"))
+        hits.append(F.transform(found, _with(parts, "hit")))
+    shown = lines.select(F.col("node_id").alias("source"), place.alias("place"), F.explode(F.concat(*hits)).alias("e"))
+    out = out.unionByName(shown.select("source", "e.target", "e.edge_type", F.concat_ws(" ", "place", "e.hit").alias("evidence"), "e.confidence"))
+    call = lambda text, group: _each(names, lambda _, s: F.regexp_extract(text, s.call, group) if s.call else None, null)
+    raw = files.select("file", "content", _language(names).alias("language")).filter("language is not null").select("file", "language", F.posexplode(F.split("content", "\r?\n")).alias("line", "text"))
+    shows = _each(names, lambda _, s: F.col("text").rlike(s.field) if s.field else None, no)
+    part = lambda first: _each(names, lambda _, s: F.regexp_extract("text", s.field, 2 if s.field_first == first else 1) if s.field else None, null)
+    fields = raw.filter(shows).select("file", "line", part(True).alias("field_type"), part(False).alias("field"))
+    each_hit = _each(names, lambda _, s: F.regexp_extract_all("code", F.lit(s.call), F.lit(0)) if s.call else None, F.array().cast("array<string>"))
+    calls = lines.select("language", "file", F.col("node_id").alias("source"), place.alias("evidence"), F.explode(each_hit).alias("hit"))
+    # methods of one language are not looked for in another
+    of_language = lambda c: F.concat_ws(":", "language", c)
+    named = calls.select("file", "source", "evidence", call("hit", 1).alias("field"), of_language(call("hit", 2)).alias("method"))
+    typed = named.join(first_of(fields, ["file", "field"], "line").drop("line"), ["file", "field"])
+    index = method_index(own.select("class_name", of_language(F.col("symbol")).alias("symbol"), "node_id", F.struct("file", "start_line").alias("seq")))
+    return out.unionByName(resolve_calls(typed, index))
 
 
 def script_exports(files: DataFrame) -> DataFrame:

@@ -23,20 +23,13 @@ def script_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def code_graph(files: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of back-end files of several languages.
+    """(nodes, edges) of back-end files of several languages, in one plan each.
 
-    Files are read and lexed once for all languages; their lines are written, as
-    each language's declarations read its own, and symbols are written once, as
-    every kind of edge reads them.
+    Lexed lines are written, as declarations, bodies and routes read them, and
+    so are symbols, as every kind of edge reads them.
     """
-    nodes = edges = None
-    lexed = checkpointed(languages.lexed_files(files, names))
-    for name in names:
-        own = checkpointed(languages.code_symbols(files, name, lexed))
-        links = languages.code_edges(files, own, name)
-        nodes = own if nodes is None else nodes.unionByName(own)
-        edges = links if edges is None else edges.unionByName(links)
-    return nodes, edges
+    nodes = checkpointed(languages.code_symbols(files, names, checkpointed(languages.lexed_files(files, names))))
+    return nodes, languages.code_edges(files, nodes, names)
 
 
 def changed_code(lines: DataFrame, symbols: DataFrame) -> DataFrame:
