@@ -401,25 +401,6 @@ t AS (SELECT *, row_number() OVER (ORDER BY seq, nth) AS all_nth FROM h WHERE nt
 SELECT CAST(seq AS BIGINT) AS seq, symbol, nth, file, CAST(line AS BIGINT) AS line, n AS n_sites, 'import ' || run || chr(10) || 'x = ' || run || '(' || p_partkey || ')' || chr(10) || '# ' || run || '()' || chr(10) || 'mod.use()' AS snippet, 'python' AS language FROM t WHERE all_nth <= 12"""
 
 
-def hybrid_search(spark, sf_dir):
-    """The tree below a region, customers found by lines and nations found by words, fused without the seeds."""
-    bfs = G.reach(graph_edges(spark, sf_dir), table(spark, sf_dir, "region").filter("r_regionkey = 1").select(F.lit("r1").alias("node")))
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    grep = c.filter("c_custkey <= 40").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("file"), (F.col("c_custkey") - 1).cast("int").alias("rank"))
-    fts = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("file"), F.col("n_nationkey").cast("int").alias("rank"))
-    seeds = spark.createDataFrame([("n1",), ("c3",)], "file string")
-    return Q.hybrid(bfs, grep, fts, seeds).select("file", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
-
-
-HYBRID = f"""
-WITH RECURSIVE e AS {_EDGES}, w(node, depth, path) AS (SELECT DISTINCT target, 1, [target] FROM e WHERE source = 'r1' AND edge_type = 'imports'
-  UNION ALL SELECT e.target, w.depth + 1, list_append(w.path, e.target) FROM w JOIN e ON e.source = w.node WHERE w.depth < 3 AND NOT list_contains(w.path, e.target)),
-a AS (SELECT node AS file, row_number() OVER (ORDER BY depth, node) AS rn FROM (SELECT DISTINCT node, depth FROM w)),
-t AS (SELECT file, row_number() OVER (ORDER BY part, rk, file) AS rn FROM (SELECT 'c' || c_custkey AS file, 0 AS part, c_custkey - 1 AS rk FROM customer WHERE c_custkey <= 40 UNION ALL SELECT 'n' || n_nationkey, 1, n_nationkey FROM nation) WHERE file NOT IN ('n1', 'c3')),
-u AS (SELECT 'bfs' AS l, * FROM a UNION ALL SELECT 'fts', * FROM t)
-SELECT file, round(sum(1.0::DOUBLE / (60 + rn)), 9) AS score, string_agg(DISTINCT l, ',' ORDER BY l) AS sources FROM u WHERE file NOT IN ('n1', 'c3') GROUP BY file"""
-
-
 def symbol_ends(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     text = F.array(*(F.lit(t) for t in ("function a() {", "  if (x) {", "  }", "}", "def b():", "    pass", "done")))
@@ -502,7 +483,6 @@ QUERIES = {
     "old_and_new": (old_and_new, OLD_AND_NEW),
     "vue_scripts": (vue_scripts, VUE_SCRIPTS),
     "callers": (callers, CALLERS),
-    "hybrid_search": (hybrid_search, HYBRID),
     "symbol_ends": (symbol_ends, SYMBOL_ENDS),
     "snippets": (snippets, SNIPPETS),
     "diff_languages": (diff_languages, DIFF_LANGUAGES),
