@@ -1,9 +1,11 @@
-"""Benchmark decontamination: word pairs, or words of short items, as seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare word pairs, or words of short items, as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +28,44 @@ def seed_words(length: int, threshold: float) -> int:
     return 2 if length * (2 * threshold - 1) > 1 + 1e-9 else 1
 
 
+def seeds_held(length: int, threshold: float) -> int:
+    """How many of an item's seeds every alignment at the threshold holds at least, one at each of so many places.
+
+    An alignment of M matches has 2M - 2 * threshold * n breaks at most, so of
+    its M - 1 neighbours M - 1 - (2M - 2 * threshold * n) stay together, which
+    is least where M = n. Single words are held at every match.
+    """
+    pairs = (2 * threshold - 1) * length - 1
+    return max(1, math.ceil((pairs if seed_words(length, threshold) == 2 else threshold * length) - 1e-9))
+
+
 @dataclass
 class Seeds:
-    """Runs of `size` words, as sorted codes, and where they stand: (item, place) lists."""
+    """Runs of `size` words, as sorted codes; those of code i stand at item[first[i]:first[i + 1]], in the same place of offset."""
 
     size: int
     codes: np.ndarray
-    places: list[list[tuple[int, int]]]
+    first: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
 
 
 @dataclass
 class Items:
-    """A block of test items as word numbers, and where their seeds stand in them."""
+    """A block of test items as word numbers, and where their rare seeds stand in them.
+
+    Of the p seeds that every alignment of an item holds, see seeds_held(), the
+    item's p // 2 most common ones (those that most items of the block have) are
+    left out; the alignment still holds p - p // 2 of the others: needed.
+    """
 
     ids: list[int]
     words: list[np.ndarray]
     vocabulary: np.ndarray
     seeds: list[Seeds]
     counts: list[tuple[np.ndarray, np.ndarray]]
+    lengths: np.ndarray
+    needed: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], threshold: float = 0.6, least: int = 3) -> Items:
@@ -51,16 +73,22 @@ class Items:
         vocabulary = np.unique(hashes)
         numbers = np.searchsorted(vocabulary, hashes)
         words = [numbers[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        held = np.array([seeds_held(max(1, len(w)), threshold) for w in words], np.int64)
         seeds = []
         for size in (1, 2):
-            at: dict[int, list[tuple[int, int]]] = {}
-            for k, w in enumerate(words):
-                if len(w) >= least and seed_words(len(w), threshold) == size:
-                    for p, code in enumerate(_codes(w, len(vocabulary), size).tolist()):
-                        at.setdefault(code, []).append((k, p))
-            codes = np.array(sorted(at), np.int64)
-            seeds.append(Seeds(size, codes, [at[s] for s in codes.tolist()]))
-        return cls([i for i, _ in rows], words, vocabulary, seeds, [np.unique(w, return_counts=True) for w in words])
+            own = [(k, _codes(w, len(vocabulary), size)) for k, w in enumerate(words) if len(w) >= least and seed_words(len(w), threshold) == size]
+            distinct, n_items = np.unique(np.concatenate([np.unique(c) for _, c in own] or [np.zeros(0, np.int64)]), return_counts=True)
+            code, item, offset = ([np.zeros(0, np.int64)] for _ in range(3))
+            for k, c in own:
+                rarest = np.argsort(n_items[np.searchsorted(distinct, c)], kind="stable")[: len(c) - held[k] // 2]
+                code.append(c[rarest])
+                item.append(np.full(len(rarest), k))
+                offset.append(rarest)
+            code, item, offset = (np.concatenate(x).astype(np.int64) for x in (code, item, offset))
+            order = np.argsort(code, kind="stable")
+            codes, starts = np.unique(code[order], return_index=True)
+            seeds.append(Seeds(size, codes, np.append(starts, len(code)), item[order], offset[order]))
+        return cls([i for i, _ in rows], words, vocabulary, seeds, [np.unique(w, return_counts=True) for w in words], np.array([len(w) for w in words], np.int64), held - held // 2)
 
 
 def _codes(numbers: np.ndarray, base: int, size: int) -> np.ndarray:
@@ -92,36 +120,75 @@ def _hits(numbers: np.ndarray, first: np.ndarray, seeds: Seeds, base: int) -> tu
     return text_of[inside], hit[inside], place[hit[inside]]
 
 
-def find_windows(texts: list[bytes], items: Items, threshold: float = 0.6) -> Iterator[tuple[int, list[tuple[int, int, list[int]]]]]:
-    """(text, windows) for texts with a seed; a window is (item, first word, word numbers).
+#: Places of seeds that are looked at together.
+_TOGETHER = 1 << 21
 
-    Seeds of an item whose places agree on where the item would begin, up to its
-    length, share a window. Every alignment at the threshold holds a seed, see
-    seed_words(), and has fewer than as many words of the text too many as the
-    item has words, so it lies in the seed's window. It matches threshold * n
-    words at least; windows that share fewer with the item are left out.
+
+def _begins(numbers: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple[int, int, list[int]]]:
+    """(text, item, sorted places where the item would begin) by text, for places that enough seeds agree on.
+
+    The seeds that an alignment holds agree on where the item would begin up to
+    its length, as it has fewer gaps than that. So a place stays if the places
+    from it up to the item's length beyond are as many as are needed, or if it
+    is one of these.
+    """
+    found = [(seeds, *_hits(numbers, first, seeds, len(items.vocabulary))) for seeds in items.seeds]
+    n_places = np.zeros(len(first), np.int64)
+    for seeds, text, _, s in found:
+        np.add.at(n_places, text, np.diff(seeds.first)[s] if len(s) else 0)
+    cuts = np.unique(np.searchsorted(np.cumsum(n_places), np.arange(_TOGETHER, n_places.sum() + _TOGETHER, _TOGETHER)))
+    wide = int(items.lengths.max(initial=0)) + 1
+    span = len(numbers) + 2 * wide  # a place and the next item's never meet
+    low = 0
+    for high in [*(cuts + 1).tolist(), len(first)]:
+        keys = []
+        for seeds, text, place, s in found:
+            a, b = np.searchsorted(text, [low, high])
+            size = np.diff(seeds.first)[s[a:b]]
+            at = np.repeat(seeds.first[s[a:b]] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
+            item = seeds.item[at]
+            keys.append((np.repeat(text[a:b], size) * len(items.ids) + item) * span + np.repeat(place[a:b], size) - seeds.offset[at] + wide)
+        low = high
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        if not len(key):
+            continue
+        item = key // span % len(items.ids)
+        upto = np.searchsorted(key, key + items.lengths[item], "right")
+        begins = np.flatnonzero(upto - np.arange(len(key)) >= items.needed[item])
+        marks = np.zeros(len(key) + 1, np.int64)
+        np.add.at(marks, begins, 1)
+        np.add.at(marks, upto[begins], -1)
+        kept = key[np.cumsum(marks[:-1]) > 0]
+        group = kept // span
+        for part in np.split(np.arange(len(kept)), np.flatnonzero(np.diff(group)) + 1) if len(kept) else []:
+            pair = int(group[part[0]])
+            yield pair // len(items.ids), pair % len(items.ids), (kept[part] % span - wide).tolist()
+
+
+def find_windows(texts: list[bytes], items: Items, threshold: float = 0.6) -> Iterator[tuple[int, list[tuple[int, int, list[int]]]]]:
+    """(text, windows) for texts with enough seeds of an item; a window is (item, first word, word numbers).
+
+    Every alignment at the threshold holds the seeds that Items.needed counts,
+    and has fewer than as many words of the text too many as the item has words,
+    so it lies in the window around their places, see _begins(). It matches
+    threshold * n words at least; windows that share fewer with the item are
+    left out. Seeds meet by sorted codes and are counted as arrays: the cost
+    grows with the places of rare seeds, not with the number of items.
     """
     hashes, first, _, _ = word_hashes([lower(t) for t in texts], ALNUM)
     if not len(hashes) or not len(items.vocabulary):
         return
     at = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     numbers = np.where(items.vocabulary[at] == hashes, at, -1)
-    begins: dict[int, dict[int, list[int]]] = {}
-    for seeds in items.seeds:
-        for t, p, s in zip(*(x.tolist() for x in _hits(numbers, first, seeds, len(items.vocabulary))), strict=True):
-            found = begins.setdefault(t, {})
-            for item, offset in seeds.places[s]:
-                found.setdefault(item, []).append(p - offset)
-    for t in sorted(begins):
+    for t, group in groupby(_begins(numbers, first, items), key=lambda x: x[0]):
         low, high = int(first[t]), int(first[t + 1])
         windows = []
-        held = np.bincount(numbers[low:high] + 1, minlength=len(items.vocabulary) + 1)[1:]
-        for item, starts in begins[t].items():
+        whole = np.sort(numbers[low:high])
+        for _, item, starts in group:
             length = len(items.words[item])
             own, times = items.counts[item]
-            if np.minimum(held[own], times).sum() < threshold * length - 1e-9:
+            if np.minimum(np.searchsorted(whole, own, "right") - np.searchsorted(whole, own), times).sum() < threshold * length - 1e-9:
                 continue
-            starts.sort()
             cluster: list[int] = []
             for begin in [*starts, 1 << 60]:
                 if cluster and begin - cluster[0] > length:
@@ -167,16 +234,16 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iter
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, common: float = 0.01, least: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """(id_col, text_hash, item_col, score): texts that hold a test item, or an edited copy.
 
     Words are runs of ASCII letters, digits and bytes over 0x7F, in lower case. The
     benchmark goes over all texts in blocks of bounded size. Seeds are an item's
-    pairs of words, or the words of an item so short that an edited copy may
-    hold no pair; windows around them that share enough words with the item are
-    aligned, equal windows once. No seed is left out for being frequent, and no
-    alignment at the threshold is lost; `common` stays for callers and has no
-    effect. score is the best alignment's share of the score of an exact copy.
+    rarer pairs of words, or the words of an item so short that an edited copy
+    may hold no pair; so many common ones are left out that every alignment at
+    the threshold still holds a known number of the others, so none is lost.
+    Windows around places where so many seeds agree, and that share enough words
+    with the item, are aligned, equal windows once. score is the best alignment's share of the score of an exact copy.
     Items under `least` words (they are found everywhere) and null or empty
     texts match nothing; a row per text and item.
     """
