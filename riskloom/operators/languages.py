@@ -442,10 +442,10 @@ def script_exports(files: DataFrame) -> DataFrame:
     return lines.filter(F.col("text").rlike(pattern)).select("file", name.alias("name"), kind.alias("node_type"), (F.col("n") + 1).alias("line"))
 
 
-def script_imports(files: DataFrame) -> DataFrame:
+def script_imports(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """source, target, edge_type of relative imports, resolved to files of the tree; others are left out.
 
-    A spec is tried as it is, with each extension and as a folder's index; the
+    known: file, the whole tree, where files are a part of it. A spec is tried as it is, with each extension and as a folder's index; the
     first that exists counts.
     """
     pattern = r"(?:from|import|require\()\s*['\"](\.{1,2}/[^'\"]+)['\"]"
@@ -455,7 +455,7 @@ def script_imports(files: DataFrame) -> DataFrame:
     base = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
     ends = ["", ".js", ".ts", ".jsx", ".tsx", ".vue", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/index.vue"]
     tried = specs.withColumn("base", base).select("file", "spec", F.posexplode(F.array(*(F.concat("base", F.lit(e)) for e in ends))).alias("place", "target"))
-    found = tried.join(files.select(F.col("file").alias("target")), "target")
+    found = tried.join((files if known is None else known).select(F.col("file").alias("target")).distinct(), "target")
     best = found.groupBy("file", "spec").agg(F.min_by("target", "place").alias("target"))
     return best.select(F.col("file").alias("source"), "target", F.lit("imports").alias("edge_type")).distinct()
 

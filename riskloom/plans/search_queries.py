@@ -11,6 +11,9 @@ from riskloom.operators import graph as G
 from riskloom.operators import retrieval as Q
 from riskloom.plans.code_queries import _EDGES, graph_edges
 from riskloom.plans.findings_queries import table
+from riskloom.plans.source_queries import script_files
+from riskloom.sources import graph_store as GS
+from riskloom.sources import store as S
 
 #: Queries over names, brands and types of parts, each with what it means in SQL over a name's two words, the brand's two and the type.
 #: `hits` counts a query's phrases one by one, so that their scores can be added.
@@ -81,4 +84,39 @@ t AS (SELECT 'c' || c_custkey AS file, row_number() OVER (ORDER BY c_mktsegment
 u AS (SELECT 'bfs' AS l, * FROM a UNION ALL SELECT 'fts', * FROM t)
 SELECT file, round(sum(1.0::DOUBLE / (60 + rn)), 9) AS score, string_agg(DISTINCT l, ',' ORDER BY l) AS sources FROM u WHERE file NOT IN ('n1', 'c3') GROUP BY file"""
 
-QUERIES = {"text_search": (text_search, TEXT_SEARCH), "hybrid_search": (hybrid_search, HYBRID)}
+def stored_graph(spark, sf_dir):
+    """A graph of a script a part, stored, then brought up to date after changes: what lies there, what was written, what a search finds.
+
+    Every tenth part's script gets another function, one in ten goes, and every
+    twentieth has no content and so does not parse.
+    """
+    old = script_files(spark, sf_dir).select("p_partkey", "file", "content")
+    rest = F.col("p_partkey") % 10
+    changed = F.when(F.col("p_partkey") % 20 == 3, None).when(rest == 0, F.replace("content", F.lit("function show"), F.lit("function render"))).otherwise(F.col("content"))
+    new = old.filter(rest != 1).select("p_partkey", "file", changed.alias("content"))
+    root = S.scratch_path(spark, "graph")
+    first = GS.update_graph(old, root, n_buckets=16)
+    second = GS.update_graph(new, root)
+    third = GS.update_graph(new, root)  # only what did not parse is tried again
+    GS.vacuum(spark, root)
+    nodes = GS.stored(spark, root, "nodes").select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.col("line").cast("long").alias("n"))
+    edges = GS.stored(spark, root, "edges").select(F.lit("edge").alias("kind"), F.concat_ws(" ", "source", "edge_type", "target").alias("key"), F.lit(0).cast("long").alias("n"))
+    states = [(f"update {i}", state, n) for i, told in enumerate((first, second, third)) for state, n in told["states"].items()]
+    told = spark.createDataFrame([*states, ("fresh", "", int(GS.graph_is_fresh(new, root)))], "kind string, key string, n long")
+    asked = spark.createDataFrame([("hit", "render* NOT node_type: file")], "query string, text string")
+    hits = GS.search_graph(spark, root, asked, 1 << 30).select(F.col("query").alias("kind"), F.col("id").alias("key"), F.lit(0).cast("long").alias("n"))
+    return nodes.unionByName(edges).unionByName(told).unionByName(hits)
+
+
+STORED_GRAPH = """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 10 AS m, 'web/p' || p_partkey || '.ts' AS f FROM part), l AS (SELECT * FROM p WHERE m <> 1 AND k % 20 <> 3),
+x(name, line) AS (VALUES ('show', 2), ('useIt', 4), ('Card', 5), ('Big', 6)), n AS (SELECT k, m, f, CASE WHEN name = 'show' AND m = 0 THEN 'render' ELSE name END || k AS name, line FROM l CROSS JOIN x),
+s AS (SELECT count(*) AS n, count(*) FILTER (WHERE m = 1) AS gone, count(*) FILTER (WHERE m <> 1 AND (m = 0 OR k % 20 = 3)) AS changed, count(*) FILTER (WHERE k % 20 = 3) AS bad FROM p)
+SELECT 'node' AS kind, f AS key, CAST(0 AS BIGINT) AS n FROM l UNION ALL SELECT 'node', f || ':' || name, line FROM n
+UNION ALL SELECT 'edge', f || ' exports ' || f || ':' || name, 0 FROM n
+UNION ALL SELECT 'edge', f || ' imports web/p' || (k + 1) || '.ts', 0 FROM l WHERE k + 1 IN (SELECT k FROM p) AND (k + 1 IN (SELECT k FROM p WHERE m <> 1) OR m <> 0)
+UNION ALL SELECT 'update 0', 'added', n FROM s UNION ALL SELECT 'update 1', 'same', n - gone - changed FROM s UNION ALL SELECT 'update 1', 'changed', changed FROM s UNION ALL SELECT 'update 1', 'removed', gone FROM s
+UNION ALL SELECT 'update 2', 'changed', bad FROM s UNION ALL SELECT 'update 2', 'same', n - gone - bad FROM s UNION ALL SELECT 'fresh', '', CAST(bad = 0 AS BIGINT) FROM s
+UNION ALL SELECT 'hit', f || ':' || name, 0 FROM n WHERE name LIKE 'render%'"""
+
+QUERIES = {"stored_graph": (stored_graph, STORED_GRAPH), "text_search": (text_search, TEXT_SEARCH), "hybrid_search": (hybrid_search, HYBRID)}

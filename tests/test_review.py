@@ -97,3 +97,38 @@ def test_contexts(spark):
     assert sorted((r.s, r.e) for r in spans.collect()) == [(7, 15), (21, 28), (47, 54)] or sorted((r.s, r.e) for r in spans.collect()) == [(7, 28), (47, 54)]
     whole = O.verbose_context(O.standard_context(O.minimal_context(items, paths), spans), spark.createDataFrame([("+x",)], "text string"), paths).first()
     assert whole.n_high == 2 and whole.chains == ["a → b", "a → c"] and whole.text == "+x"
+
+
+def test_diffs_of_one_path(spark):
+    """Diffs that touch one path are judged apart: what one removes another may add."""
+    head = "diff --git a/a.proto b/a.proto\n--- a/a.proto\n+++ b/a.proto\n"
+    diffs = spark.createDataFrame([(1, head + "@@ -1 +0,0 @@\n-  string name = 1;"), (2, head + "@@ -50 +50 @@\n+  string name = 1;")], "diff_id long, text string")
+    got = {(r.diff_id, r.what) for r in V.static_review(diffs).collect()}
+    assert got == {(1, "removed_field name"), (2, "added_field name")}
+    assert {(r.diff_id, r.line) for r in D.changed_lines(D.diff_lines(diffs)).collect()} == {(1, 1), (2, 50)}
+    hunks = D.patch_hunks(D.diff_lines(diffs))
+    files = spark.createDataFrame([("a.proto", ["  string name = 1;", "x"])], "path string, lines array<string>")
+    assert {(r.diff_id, tuple(r.lines)) for r in D.apply_patch(hunks, files).collect()} == {(1, ("x",)), (2, ("  string name = 1;", "x"))}
+
+
+def test_comments_and_texts_keep_the_class(spark):
+    from riskloom.operators import languages as L
+
+    cs = "public class AController {\n  public void Go() {\n    /* if (x) { */\n  }\n  public void Stop() {\n  }\n}\n"
+    py = 'class A:\n    def one(self):\n        x = """\nat column 0\n"""\n    def two(self):\n        pass\n'
+    files = spark.createDataFrame([("a.cs", cs), ("a.py", py)], "file string, content string")
+    got = {(r.file, r.class_name, r.symbol, r.symbol_type, r.start_line, r.end_line) for r in L.code_symbols(files, ["csharp", "python"]).collect()}
+    assert got == {
+        ("a.cs", "AController", "Go", "controller_action", 2, 4), ("a.cs", "AController", "Stop", "controller_action", 5, 6),
+        ("a.py", "A", "one", "method", 2, 5), ("a.py", "A", "two", "method", 6, 7),
+    }
+    assert L.code_symbols(files.limit(0), "java").count() == 0
+
+
+def test_repeated_edges_count_once_in_their_order(spark):
+    from riskloom.operators import graph as G
+
+    nodes = spark.createDataFrame([("a/x.ts", "a", ".ts", 1, False), ("a/y.ts", "a", ".ts", 9, False)], "node string, community string, language string, degree long, is_test boolean")
+    rows = [("a/x.ts", "a/y.ts", "imports", "controller_action", 2), ("a/x.ts", "a/y.ts", "calls", "", 1)]
+    told = {tuple(G.surprise(spark.createDataFrame(r, "source string, target string, edge_type string, source_kind string, seq int"), nodes).select("score", F.array_join("reasons", ",")).first()) for r in (rows, rows[::-1])}
+    assert len(told) == 1
