@@ -101,15 +101,17 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     near = materialise(met.mapInArrow(_scan(lows, widths, k, bits), "q long, id long, upper double, lower double"), "bounds")
     least = _kth(near, "lower", k).withColumnRenamed("kth", "least")
     near = near.join(least, "q", "left").filter(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("q", "id", "upper")
-    near = materialise(near.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("upper"), "id"))), "near")
+    near = materialise(near, "near")
     vectors = file.select("id", "vector")
 
     def exact(some: DataFrame) -> DataFrame:
         return some.select("q", "id").join(vectors, "id").join(queries, "q").select("q", "id", _score("query", "vector").alias("score"))
 
-    first = materialise(exact(near.filter(F.col("nth") <= k)), "first")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("upper"), "id"))
+    first = materialise(exact(near.withColumn("nth", nth).filter(F.col("nth") <= k)), "first")  # tasks send k rows a query
     certain = _kth(first, "score", k)
-    rest = near.filter(F.col("nth") > k).join(certain, "q").filter(F.col("upper") >= F.col("kth"))  # fewer than k have no rest
+    open_ = near.join(certain, "q").filter(F.col("upper") >= F.col("kth"))  # fewer than k have no rest
+    rest = open_.join(first.select("q", "id"), ["q", "id"], "left_anti")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     ranked = first.unionByName(exact(rest)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     out = materialise(ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"), "topk")
