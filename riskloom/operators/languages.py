@@ -305,8 +305,10 @@ def code_symbols(files: DataFrame, language: str | Sequence[str], lexed: DataFra
     from them. Constructors of PHP and Node, special methods of Python but
     __init__, and its functions that are no routes outside a class, are left out.
     """
+    from riskloom.sources.store import checkpointed
+
     names = [language_name(n) for n in ([language] if isinstance(language, str) else language)]
-    lines = (lexed_files(files, names) if lexed is None else lexed).filter(F.col("language").isin(names))
+    lines = (checkpointed(lexed_files(files, names)) if lexed is None else lexed).filter(F.col("language").isin(names))
     null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
     parts = {n: _marks(F.col("logical"), n) for n in names}
     told = lines.withColumns({"own_marks": _each(names, lambda n, _: parts[n][0], none), "declared": _each(names, lambda n, _: parts[n][1], null)})
@@ -386,11 +388,12 @@ def code_edges(files: DataFrame, symbols: DataFrame, language: str | Sequence[st
     through one plan, which cuts each body into lines once.
     """
     from riskloom.operators.graph import method_index, resolve_calls
+    from riskloom.sources.store import checkpointed
 
     names = [language_name(n) for n in ([language] if isinstance(language, str) else language)]
     null = F.lit(None).cast("string")
     own = symbols.withColumn("language", _language(names)).filter("language is not null")
-    own = own.filter((F.col("language") != "nodejs") | (F.col("class_name") != ""))  # functions outside a class have no edges
+    own = checkpointed(own.filter((F.col("language") != "nodejs") | (F.col("class_name") != "")))  # functions outside a class have no edges
     node = F.concat_ws(".", F.when(F.col("class_name") != "", F.col("class_name")), "symbol")
     no = F.lit(False)
     above = _each(names, lambda _, s: F.exists("attributes", lambda a: a.rlike(s.auth_marks)) if s.auth_marks else None, no)
