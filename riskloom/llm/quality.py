@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.scratch import drop, materialise
-from riskloom.llm.words import ALNUM, batches, hash_of, lower, word_hashes
+from riskloom.llm.words import ALNUM, batches, hash_of, lower, mix, range_hashes, word_ranges
 
 #: Bins of hashed words; bins of the shape features follow them.
 BINS = 1 << 22
@@ -38,6 +38,8 @@ SHAPES = {
 }
 #: Steps of the shape features.
 STEPS = np.array([0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7])
+#: Bytes of a stem. One that begins two different longer words of a text is a feature beside its words: languages inflect and compound.
+STEM = 6
 #: Then: an insult, a mined word, two mined words.
 MARKS = BINS + len(SHAPES) * len(STEPS)
 #: Parts of the known labels; each mines words of its own.
@@ -51,8 +53,12 @@ _INSULT_CODES = np.sort(np.array([hash_of(w.encode(), ALNUM) for w in INSULTS],
 
 
 def describe(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(shapes, bins, insults) of texts: a row of shares, sorted distinct word bins, and how many insults each."""
-    hashes, first, _, _ = word_hashes([lower(t) for t in texts], ALNUM)
+    """(shapes, bins, insults) of texts: a row of shares, sorted distinct bins of words and shared stems, and how many insults each."""
+    folded, first, starts, ends = word_ranges([lower(t) for t in texts], ALNUM)
+    hashes = range_hashes(folded, starts, ends)
+    longer = np.flatnonzero(ends - starts > STEM)
+    stems = range_hashes(folded, starts[longer], starts[longer] + STEM)
+    first_longer = np.searchsorted(longer, first)
     shapes, bins = np.zeros((len(texts), len(SHAPES))), []
     known = np.isin(hashes, _INSULT_CODES)
     insults = np.diff(np.concatenate(([0], np.cumsum(known)))[first])
@@ -60,7 +66,9 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarr
         raw = np.frombuffer(text, np.uint8)
         own = hashes[first[i] : first[i + 1]]
         words, counts = np.unique(own, return_counts=True)
-        bins.append(np.unique((words & np.uint64(BINS - 1)).astype(np.int64)))
+        a, b = first_longer[i : i + 2]
+        found = np.concatenate((words, shared_stems(hashes[longer[a:b]], stems[a:b])))
+        bins.append(np.unique((found & np.uint64(BINS - 1)).astype(np.int64)))
         if not len(own):
             continue
         letters = _LETTER[raw].sum()
@@ -76,6 +84,13 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarr
     return shapes, bins, insults
 
 
+def shared_stems(words: np.ndarray, stems: np.ndarray) -> np.ndarray:
+    """Hashes, apart from those of words, of the stems that two different words have; stems[i] is that of words[i]."""
+    _, at = np.unique(words, return_index=True)
+    stems, n_words = np.unique(stems[at], return_counts=True)
+    return mix(stems[n_words >= 2] + np.uint64(STEM))
+
+
 def shape_votes(shapes: np.ndarray) -> np.ndarray:
     """One labeller a shape. Kinds of junk mostly exclude each other, so one that passes beside one that flags is not asked."""
     flagged = shapes >= np.array(list(SHAPES.values()))

@@ -73,6 +73,12 @@ def word_hashes(texts: Sequence[bytes], table: np.ndarray) -> tuple[np.ndarray,
 
     starts and ends are byte offsets in the joined texts, one byte apart.
     """
+    folded, first, starts, ends = word_ranges(texts, table)
+    return range_hashes(folded, starts, ends), first, starts, ends
+
+
+def word_ranges(texts: Sequence[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes of the joined texts, first, starts, ends), as word_hashes() has them."""
     joined = b" ".join(texts) + b" "
     raw = np.frombuffer(joined, np.uint8)
     folded = table[raw]
@@ -84,12 +90,10 @@ def word_hashes(texts: Sequence[bytes], table: np.ndarray) -> tuple[np.ndarray,
     if inside.size and inside[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[::2], edge[1::2]
-    hashes = _range_hashes(folded, starts, ends)
-    first = np.searchsorted(starts, text_at)
-    return hashes, first, starts, ends
+    return folded, np.searchsorted(starts, text_at), starts, ends
 
 
-def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end] for sorted ranges; in chunks, so that memory stays bounded."""
     out = np.empty(len(starts), np.uint64)
     at = 0
