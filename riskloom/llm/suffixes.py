@@ -238,7 +238,7 @@ def _find_blocks(length: int, gram: int):
                     for prints, first, count in blocks(data, length, gram):
                         digests = [xxhash.xxh3_64_intdigest(view[p : p + n + length - 1]) for p, n in zip(first.tolist(), count.tolist(), strict=True)]
                         n = len(first)
-                        for col, x in zip(cols, (prints.view(np.int64), np.array(digests, np.uint64).view(np.int64), np.full(n, i, np.int64), np.full(n, t, np.int32), np.full(n, b, np.int64), first + b, count.astype(np.int32)), strict=True):
+                        for col, x in zip(cols, (prints.view(np.int64), np.array(digests, np.uint64).view(np.int64), np.full(n, i, np.int64), np.full(n, t, np.int64), np.full(n, b, np.int64), first + b, count.astype(np.int32)), strict=True):
                             col.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "e", "id", "t", "b", "p", "n"])
@@ -258,7 +258,7 @@ def _cut(length: int):
                     raw = text.as_buffer()
                     out += [(x["h"], i, t, x["p"], x["c"], x["nd"], raw[x["p"] - b : x["p"] - b + x["n"] + length - 1].to_pybytes()) for x in parts]
                 names = ["h", "id", "t", "b", "c", "nd", "text"]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -283,7 +283,7 @@ def _order_suffixes(length: int, keep: str):
                 continue  # all of it goes, with its copies
             out += [(i, t, s, e) for s, e in _intervals(a if keep == "first" else o, p, length)]
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["id", "t", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["id", "t", "s", "e"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -331,7 +331,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", group
 def _level(rows: DataFrame, length: int, gram: int, keep: str, group: int | None) -> tuple[DataFrame, DataFrame]:
     """Blocks that share a key with others, with their text, and the spans found: of equal blocks, and of keys up to `group`."""
     key = ["id", "t", "b"]
-    found = materialise(rows.mapInArrow(_find_blocks(length, gram), "h long, e long, id long, t int, b long, p long, n int"), "blocks")
+    found = materialise(rows.mapInArrow(_find_blocks(length, gram), "h long, e long, id long, t long, b long, p long, n int"), "blocks")
     distinct = materialise(found.groupBy("h", "e").agg(F.count("*").alias("c"), F.min(F.struct("id", "t", "p", "n", "b")).alias("r")), "distinct")
     per_key = distinct.groupBy("h").agg(F.count("*").alias("nd"), F.sum("c").alias("all")).filter("all > 1")
     per_key = materialise(per_key, "keys")  # written, so that Spark can split a frequent key in the join
@@ -345,12 +345,12 @@ def _level(rows: DataFrame, length: int, gram: int, keep: str, group: int | None
     whole = materialise(copies.select("id", "t", F.col("p").alias("s"), (F.col("p") + F.col("n") + (length - 1)).alias("e")), "copies")
     drop(found)
     parts = shared.filter("nd > 1").groupBy(key).agg(F.collect_list(F.struct("h", "p", "n", "c", "nd")).alias("parts"))  # at most a text's blocks
-    pieces = rows.join(parts, key).mapInArrow(_cut(length), "h long, id long, t int, b long, c long, nd long, text binary")
+    pieces = rows.join(parts, key).mapInArrow(_cut(length), "h long, id long, t long, b long, c long, nd long, text binary")
     pieces = materialise(pieces, "pieces")
     drop(shared)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = pieces if group is None else pieces.filter(F.col("nd") <= group)
-    near = small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_order_suffixes(length, keep), "id long, t int, s long, e long")
+    near = small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_order_suffixes(length, keep), "id long, t long, s long, e long")
     return pieces, materialise(near, "near").unionByName(whole)
 
 
@@ -387,7 +387,7 @@ def _remove(bytes_too: bool):
 
 
 def text_hash(text: Column) -> Column:
-    return F.hash(F.coalesce(text, F.lit("")))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", group: int = 512, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
