@@ -142,11 +142,24 @@ def checkpoints(items: DataFrame, words: dict[str, Sequence[str]] | None = None,
     return all_.join(best, ["place", "name"], "left").withColumn("b", F.coalesce("b", ok)).select("place", "name", "b.*")
 
 
-def contract_checkpoint(items: DataFrame, name: str, seq: str = "seq") -> DataFrame:
-    """One row for migration or API findings: the first high one, else low with their number, else ok."""
-    worst = items.agg(F.count("*").alias("n"), first_best(F.struct("risk", "reason", F.concat_ws(":", "file", "line").alias("evidence")), -risk_weight(F.col("risk")), F.col(seq)).alias("b"))
-    status = F.when(F.col("n") == 0, "ok").otherwise(F.col("b.risk"))
-    return worst.select(F.lit(name).alias("name"), status.alias("status"), F.coalesce("b.reason", F.lit("no change")).alias("reason"), F.coalesce("b.evidence", F.lit("-")).alias("evidence"), "n")
+def contract_checkpoint(items: DataFrame, name: str, seq: str = "seq", counts_low: bool = False) -> DataFrame:
+    """One row for migration or API findings: the first of highest risk, to be fixed by hand; ok without any.
+
+    With counts_low, as for APIs, findings of which none is high give their
+    number, status low and the first one's file.
+    """
+    best = first_best(F.struct("risk", "reason", F.concat_ws(":", "file", "line").alias("evidence")), -risk_weight(F.col("risk")), F.col(seq))
+    worst = items.agg(F.count("*").alias("n"), best.alias("b"), F.min_by("file", F.struct(seq, "file")).alias("f"), F.count_if(F.col("risk") == "high").alias("n_high"))
+    none = F.col("n") == 0
+    low = ~none & (F.col("n_high") == 0) & F.lit(counts_low)
+    return worst.select(
+        F.lit(name).alias("name"),
+        F.when(none, "ok").when(low, "low").otherwise(F.col("b.risk")).alias("status"),
+        F.when(low, F.format_string("%d changes, none of high risk", "n")).otherwise(F.coalesce("b.reason", F.lit("no change"))).alias("reason"),
+        F.when(low, F.col("f")).otherwise(F.coalesce("b.evidence", F.lit("-"))).alias("evidence"),
+        F.when(none | low, "-").otherwise("manual").alias("fix_mode"),
+        "n",
+    )
 
 
 def best_paths(paths: DataFrame, top: int = 25, end: str = "endpoint", seq: str = "seq") -> DataFrame:

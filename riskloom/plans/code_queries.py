@@ -332,6 +332,18 @@ h AS (SELECT seq, symbol, file, line, CASE WHEN starts_with(file, dir || '/') TH
 SELECT CAST(seq AS BIGINT) AS seq, symbol, file, line, place FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY near DESC, file, line) AS place FROM h)"""
 
 
+def symbol_mentions(spark, sf_dir):
+    """symbol, n_lines, n_files: lines of documents that contain the words of benchmark items."""
+    symbols = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("symbol")).filter("symbol <> ''").distinct()
+    hits = Q.line_mentions(document_lines(spark, sf_dir).select("file", "text"), symbols)
+    return hits.groupBy("symbol").agg(F.count("*").alias("n_lines"), F.count_distinct("file").alias("n_files"))
+
+
+SYMBOL_MENTIONS = """
+WITH s AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS symbol FROM benchmark), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)
+SELECT symbol, count(*) AS n_lines, count(DISTINCT doc_id) AS n_files FROM l JOIN s ON contains(l.text, symbol) WHERE symbol <> '' GROUP BY symbol"""
+
+
 def ship_ranges(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     s = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
@@ -464,6 +476,7 @@ QUERIES = {
     "bm25": (bm25, BM25),
     "rrf_hybrid": (rrf_hybrid, RRF),
     "call_sites": (call_sites, CALL_SITES),
+    "symbol_mentions": (symbol_mentions, SYMBOL_MENTIONS),
     "merge_intervals": (merge_intervals, MERGE),
     "hunk_overlap": (hunk_overlap, OVERLAP),
     "as_of_decl": (as_of_decl, AS_OF),

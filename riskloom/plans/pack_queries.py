@@ -126,7 +126,7 @@ QUEUE_ITEMS = f"SELECT report, seq, id, mode FROM ({FIX_QUEUE}) WHERE id = 1 AND
 def contract_checkpoints(spark, sf_dir):
     items = order_items(spark, sf_dir)
     some = O.contract_checkpoint(items, "orders")
-    return some.unionByName(O.contract_checkpoint(items.filter("seq < 0"), "none"))
+    return some.unionByName(O.contract_checkpoint(items.filter("seq < 0"), "none")).drop("fix_mode")
 
 
 CONTRACTS = f"""
@@ -134,6 +134,17 @@ SELECT 'orders' AS name, arg_min(risk, ({_RANK}, seq)) AS status, arg_min(reason
 UNION ALL SELECT 'none', 'ok', 'no change', '-', 0"""
 
 
+def api_checkpoints(spark, sf_dir):
+    """API rows of all orders, and of those without a high risk."""
+    items = order_items(spark, sf_dir)
+    return O.contract_checkpoint(items, "all", counts_low=True).unionByName(O.contract_checkpoint(items.filter("risk <> 'high'"), "not high", counts_low=True))
+
+
+API_CHECKPOINTS = f"""
+SELECT 'all' AS name, arg_min(risk, ({_RANK}, seq)) AS status, arg_min(reason, ({_RANK}, seq)) AS reason, arg_min(file || ':' || line, ({_RANK}, seq)) AS evidence, 'manual' AS fix_mode, count(*) AS n FROM {_ORDER_ROWS}
+UNION ALL SELECT 'not high', 'low', count(*) || ' changes, none of high risk', arg_min(file, seq), '-', count(*) FROM {_ORDER_ROWS} WHERE risk <> 'high'"""
+
+
 def cluster_nodes(spark, sf_dir):
     clusters = O.blast_clusters(customer_paths(spark, sf_dir)).select("source", "endpoint", "risk")
     items = order_items(spark, sf_dir).withColumn("file", F.concat(F.lit("c"), (F.col("report") % 300).cast("string")))
@@ -238,6 +249,7 @@ QUERIES = {
     "issue_candidates": (issue_candidates, CANDIDATES),
     "queue_items": (queue_items, QUEUE_ITEMS),
     "contract_checkpoints": (contract_checkpoints, CONTRACTS),
+    "api_checkpoints": (api_checkpoints, API_CHECKPOINTS),
     "cluster_nodes": (cluster_nodes, CLUSTER_NODES),
     "contexts": (contexts, CONTEXTS),
     "second_looks": (second_looks, SECOND_LOOKS),

@@ -223,6 +223,35 @@ def test_callers(spark):
     assert found[1, 1].snippet.split("\n")[1] == "x = run(1)"
 
 
+def test_mentions_by_grams(spark):
+    """Seeds of grams find what testing every line against every symbol finds."""
+    texts = ["run(x)", "rerun", "überlauf läuft", "", None, "aaa aaaa", "rerun", "🙂🙂🙂x", "ru", "nothing here"]
+    lines = spark.createDataFrame([(f"f{i % 3}", i, t) for i, t in enumerate(texts)], "file string, line int, text string")
+    names = ["run", "run", "läu", "lauf", "aaaa", "r", "ru", "", None, "absent", "🙂🙂🙂", "erun", "xrun"]
+    symbols = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "seq int, symbol string")
+    want = sorted((i, t, k, n) for i, t in enumerate(texts) for k, n in enumerate(names) if t is not None and n is not None and n in t)
+    for few in (0, 100):
+        assert sorted(rows(Q.line_mentions(lines, symbols, few).select("line", "text", "seq", "symbol"))) == want
+    assert Q.line_mentions(lines.limit(0), symbols, 0).count() == 0 and Q.line_mentions(lines, symbols.limit(0), 0).count() == 0
+
+
+def test_usages_of_a_hot_symbol(spark):
+    hot = [(1, "hot", "f", i, "t") for i in range(4000)]
+    sites = spark.createDataFrame(hot + [(k, f"s{k}", "g", 1, "u") for k in range(2, 15)], "seq long, symbol string, file string, line int, text string")
+    got = {r.symbol: r.text for r in Q.usages(sites).collect()}
+    assert set(got) == {"hot", *(f"s{k}" for k in range(2, 11))}
+    assert got["hot"] == "\n".join(f"f:{i}:t" for i in range(4000))[:3000]
+
+
+def test_contract_rows(spark):
+    items = spark.createDataFrame([(0, "a", 1, "low", "x"), (1, "b", 2, "medium", "y"), (2, "c", 3, "high", "z")], "seq int, file string, line int, risk string, reason string")
+    at = lambda df, low: tuple(O.contract_checkpoint(df, "api", counts_low=low).first())[1:]
+    assert at(items, True) == ("high", "z", "c:3", "manual", 3)
+    assert at(items.filter("seq < 2"), True) == ("low", "2 changes, none of high risk", "a", "-", 2)
+    assert at(items.filter("seq < 2"), False) == ("medium", "y", "b:2", "manual", 2)
+    assert at(items.limit(0), True) == ("ok", "no change", "-", "-", 0)
+
+
 def test_hybrid(spark):
     bfs = spark.createDataFrame([("b", 1), ("c", 1), ("c", 2)], "node string, depth int")
     hits = spark.createDataFrame([("c", 0), ("a", 1)], "file string, rank int")
