@@ -101,3 +101,17 @@ def test_long_comment(spark):
     assert lex(spark.createDataFrame([], "file string, language string, line int, text string")).count() == 0
     odd = lex(spark.createDataFrame([("f", "lisp", 1, "; // a")], "file string, language string, line int, text string"))
     assert odd.select(F.col("code")).first().code == "; // a"
+
+
+def test_files_in_one_pass(spark):
+    """A file costs no pass, window or shuffle a doubling of its lines; returns and marks of the lexer's own stay apart."""
+    from riskloom.operators.lexer import lex_files
+
+    text = "/* {\r\n" + "x {\r\n" * 700 + "*/ int a; {\r\nb \u0001\u0003{"
+    lines = lex_files(spark.createDataFrame([("f.java", "java", text)], "file string, language string, content string"))
+    states = lines.select("file", "line", "text", "code", "inside", "opens")
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    rows = sorted(states.collect(), key=lambda r: r.line)
+    assert [r.line for r in rows if not r.inside] == [1, 703] and rows[1].text == "x {"
+    assert [(r.code, r.opens) for r in rows[701:]] == [(" int a; {", 1), ("b   {", 1)]
