@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.sources.store import dealt
+
 
 def overlapping(left: DataFrame, right: DataFrame, on: list[str], before: int = 3, after: int = 150, width: int = 256) -> DataFrame:
     """Rows of left (s, e) that come within reach of a point p of right with equal keys.
@@ -96,8 +98,11 @@ def relevant_snippets(symbols: DataFrame, lines: DataFrame, around: int = 3, gap
     """file, s, e, text around symbols (file, start_line, end_line): ranges with a margin, merged if near, cut at `most` lines."""
     ranges = symbols.select("file", F.greatest(F.col("start_line") - around, F.lit(1)).alias("s"), (F.col("end_line") + around).alias("e"))
     islands = merge_intervals(ranges, ["file"], gap, most=most).select("file", "s", "e")
-    cell = lambda c: F.floor(F.col(c) / most)
-    dealt = islands.withColumn("_cell", F.explode(F.sequence(cell("s"), cell("e"))))
-    inside = lines.withColumn("_cell", cell("line")).join(dealt, ["file", "_cell"]).filter("line between s and e")
+    # ranges of a file do not meet, so the last to begin is the only one that a line can lie in: one sort by file, no join
+    none = F.lit(None)
+    marks = islands.select("file", F.col("s").cast("long").alias("line"), F.lit(0).alias("_k"), none.cast("string").alias("text"), F.struct("s", "e").alias("_i"))
+    rows = lines.select("file", F.col("line").cast("long").alias("line"), F.lit(1).alias("_k"), "text", none.cast(marks.schema["_i"].dataType).alias("_i"))
+    last = F.last("_i", True).over(Window.partitionBy("file").orderBy("line", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    inside = dealt(rows.unionByName(marks), "file").withColumn("_i", last).filter("_k = 1 and line <= _i.e").select("file", "line", "text", "_i.*")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n")
     return inside.groupBy("file", "s", "e").agg(text.alias("text"))

@@ -33,6 +33,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in as many parts as shuffles have, by these columns.
+
+    The number is given, so parts are not joined by their bytes: rows that are
+    alike shrink in a shuffle, and few tasks would hold them all.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A path of its own in the folder of spark.checkpoint.dir; it goes when the session's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)

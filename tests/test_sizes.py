@@ -14,3 +14,15 @@ def test_imports_broadcast_no_tree(spark):
     out = script_imports(files)
     assert "Broadcast" not in plan(out)
     assert sorted((r.source, r.target) for r in out.collect()) == [("web/p0.ts", "web/p1.ts"), ("web/p1.ts", "web/p2.ts")]
+
+
+def test_snippets_need_no_join(spark):
+    from riskloom.operators.intervals import relevant_snippets
+
+    lines = spark.range(1, 301).select(F.lit("f").alias("file"), F.col("id").alias("line"), F.concat(F.lit("l"), "id").alias("text"))
+    symbols = spark.range(2).select(F.lit("f").alias("file"), (F.col("id") * 40 + 10).cast("int").alias("start_line"), (F.col("id") * 200 + 12).cast("int").alias("end_line"))
+    out = relevant_snippets(symbols, lines)
+    assert "Join" not in plan(out)
+    rows = sorted((r.s, r.e, r.text) for r in out.collect())
+    assert [(s, e) for s, e, _ in rows] == [(7, 15), (47, 196)]
+    assert [t.split("\n") for *_, t in rows] == [[f"l{i}" for i in range(s, e + 1)] for s, e, _ in rows]
