@@ -70,9 +70,10 @@ def symbol_end(lines: DataFrame, symbols: DataFrame, by: str = "file", most: int
     that is indented no deeper does; else it is start_line + fallback.
     """
     cell = lambda c: F.floor(c / most)
-    dealt = symbols.withColumn("_cell", F.explode(F.sequence(cell(F.col("start_line")), cell(F.col("start_line") + most - 1))))
-    near = dealt.join(lines.withColumn("_cell", cell(F.col("line"))), [by, "_cell"]).drop("_cell")
+    cells = symbols.withColumn("_cell", F.explode(F.sequence(cell(F.col("start_line")), cell(F.col("start_line") + most - 1)))).hint("merge")
+    near = cells.join(lines.withColumn("_cell", cell(F.col("line"))), [by, "_cell"]).drop("_cell")
     near = near.filter((F.col("line") >= F.col("start_line")) & (F.col("line") < F.col("start_line") + most))
+    near = dealt(near, by)
     count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c)))
     key = Window.partitionBy(*symbols.columns).orderBy("line")
     run = key.rowsBetween(Window.unboundedPreceding, 0)

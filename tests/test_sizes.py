@@ -26,3 +26,12 @@ def test_snippets_need_no_join(spark):
     rows = sorted((r.s, r.e, r.text) for r in out.collect())
     assert [(s, e) for s, e, _ in rows] == [(7, 15), (47, 196)]
     assert [t.split("\n") for *_, t in rows] == [[f"l{i}" for i in range(s, e + 1)] for s, e, _ in rows]
+
+
+def test_symbol_ends_broadcast_no_symbols(spark):
+    from riskloom.operators.intervals import symbol_end
+
+    lines = spark.range(1, 5).select(F.lit("f").alias("file"), F.col("id").cast("int").alias("line"), F.when(F.col("id") == 1, "a {").when(F.col("id") == 3, "}").otherwise("x").alias("text"))
+    out = symbol_end(lines, spark.range(1).select(F.lit("f").alias("file"), F.lit(1).alias("start_line")))
+    assert "Broadcast" not in plan(out)
+    assert [r.end_line for r in out.collect()] == [3]
