@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.sources.diff import is_added, is_removed
+from riskloom.sources.store import dealt
 
 _FIELD = r"(?U)^\s*(?:repeated\s+)?(\w+)\s+(\w+)\s*=\s*(\d+)\s*;"
 _ENUM = r"^\s*([A-Z][A-Z0-9_]+)\s*=\s*(\d+)\s*;"
@@ -74,14 +75,23 @@ def openapi_findings(specs: DataFrame, old: str = "old", new: str = "new", by: s
     """
     keys = [by] if isinstance(by, str) else list(by)
     whole = specs.filter((F.size(F.json_object_keys(old)) > 0) & (F.size(F.json_object_keys(new)) > 0))
-    side = lambda text, s: whole.select(*keys, F.explode(_fields(F.try_element_at(_fields(F.col(text)), F.lit("paths")))).alias("path", "v")).select(*keys, "path", _fields(F.col("v")).alias(s))
-    paths = side(old, "om").join(side(new, "nm"), [*keys, "path"], "full")
-    gone = paths.filter("nm is null").select(*keys, F.lit("removed_endpoint").alias("change_type"), F.col("path").alias("item"))
+    side = lambda text: _fields(F.try_element_at(_fields(F.col(text)), F.lit("paths")))
+    has = lambda m, k: F.map_contains_key(m, k)
+    # both texts stand in one row, so their paths meet there, without a join
+    maps = dealt(whole.select(*keys, old, new), *keys).select(*keys, side(old).alias("o"), side(new).alias("n"))
+    each = maps.select(*keys, "o", "n", F.explode(F.array_union(F.map_keys("o"), F.map_keys("n"))).alias("path"))
+    value = lambda m: F.when(has(m, F.col("path")), _fields(F.try_element_at(m, F.col("path"))))
+    paths = each.select(*keys, "path", value("o").alias("om"), value("n").alias("nm"))
     label = F.concat_ws(" ", F.upper("method"), "path")
-    fresh = paths.filter("om is null").select(*keys, F.explode("nm").alias("method", "x"), "path").select(*keys, F.lit("added_endpoint").alias("change_type"), label.alias("item"))
+    told = lambda kind, item: F.struct(F.lit(kind).alias("change_type"), item.alias("item"))
+    methods = lambda kind, found: F.transform(found, lambda m: told(kind, F.concat_ws(" ", F.upper(m), F.col("path"))))
+    of_path = (
+        F.when(F.col("nm").isNull(), F.array(told("removed_endpoint", F.col("path"))))
+        .when(F.col("om").isNull(), methods("added_endpoint", F.map_keys("nm")))
+        .otherwise(methods("removed_method", F.filter(F.map_keys("om"), lambda m: ~has("nm", m))))
+    )
+    ends = paths.select(*keys, F.explode(of_path).alias("c")).select(*keys, "c.*")
     both = paths.filter("om is not null and nm is not null").select(*keys, "path", F.explode("om").alias("method", "o"), "nm")
-    has = lambda m, k: F.map_contains_key(m, k)
-    lost = both.filter(~has("nm", F.col("method"))).select(*keys, F.lit("removed_method").alias("change_type"), label.alias("item"))
     kept = both.filter(has("nm", F.col("method"))).select(*keys, label.alias("label"), _body(F.col("o")).alias("o"), _body(F.try_element_at("nm", F.col("method"))).alias("n"))
     names = lambda s: F.coalesce(F.from_json(F.try_element_at(s, F.lit("required")), "array<string>"), F.array().cast("array<string>"))
     part = lambda s: _fields(F.try_element_at(s, F.lit("properties")))
@@ -96,7 +106,7 @@ def openapi_findings(specs: DataFrame, old: str = "old", new: str = "new", by: s
         tagged(F.filter(F.map_keys(np_), lambda k: ~has(op, k) & ~F.array_contains(nq, k)), "added_optional_field"),
     )
     fields = bodies.select(*keys, "label", F.explode(changes).alias("c")).select(*keys, F.col("c.t").alias("change_type"), F.concat_ws(" → ", "label", "c.k").alias("item"))
-    out = gone.unionByName(fresh).unionByName(lost).unionByName(fields)
+    out = ends.unionByName(fields)
     return out.withColumn("risk", F.when(F.col("change_type").isin("added_endpoint", "added_optional_field"), "low").otherwise("high"))
 
 

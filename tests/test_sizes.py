@@ -35,3 +35,12 @@ def test_symbol_ends_broadcast_no_symbols(spark):
     out = symbol_end(lines, spark.range(1).select(F.lit("f").alias("file"), F.lit(1).alias("start_line")))
     assert "Broadcast" not in plan(out)
     assert [r.end_line for r in out.collect()] == [3]
+
+
+def test_documents_of_one_row_are_not_joined(spark):
+    from riskloom.operators.contracts import openapi_findings
+
+    old, new = '{"paths": {"/a": {"get": {}, "put": {}}, "/b": {"get": {}}}}', '{"paths": {"/a": {"get": {}}, "/c": {"get": {}}}}'
+    out = openapi_findings(spark.range(2).select("id", F.lit(old).alias("old"), F.lit(new).alias("new")), by="id")
+    assert "Join" not in plan(out)
+    assert sorted((r.change_type, r.item) for r in out.filter("id = 1").collect()) == [("added_endpoint", "GET /c"), ("removed_endpoint", "/b"), ("removed_method", "PUT /a")]
