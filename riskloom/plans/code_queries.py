@@ -335,8 +335,7 @@ SELECT CAST(seq AS BIGINT) AS seq, symbol, file, line, place FROM (SELECT *, row
 def symbol_mentions(spark, sf_dir):
     """symbol, n_lines, n_files: lines of documents that contain the words of benchmark items."""
     symbols = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("symbol")).filter("symbol <> ''").distinct()
-    hits = Q.line_mentions(document_lines(spark, sf_dir).select("file", "text"), symbols)
-    return hits.groupBy("symbol").agg(F.count("*").alias("n_lines"), F.count_distinct("file").alias("n_files"))
+    return Q.mention_counts(document_lines(spark, sf_dir).select("file", "text"), symbols)
 
 
 SYMBOL_MENTIONS = """

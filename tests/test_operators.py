@@ -235,6 +235,20 @@ def test_mentions_by_grams(spark):
     assert Q.line_mentions(lines.limit(0), symbols, 0).count() == 0 and Q.line_mentions(lines, symbols.limit(0), 0).count() == 0
 
 
+def test_mention_counts_by_bits(spark):
+    """Lines and files of over 64 symbols, without a row a line and symbol; a file's lines lie apart, and some have no file."""
+    texts = ["run(x)", "rerun", "läuft", "", None, "aaa aaaa", "rerun", "🙂x", "k7 k70 k", "k7"] * 3
+    data = [(None if i % 7 == 6 else f"f{i % 4}", t) for i, t in enumerate(texts)]
+    names = ["run", "läu", "", None, "absent", "🙂", "aaaa", *(f"k{i}" for i in range(80)), "k7"]
+    want = set()
+    for n in set(names) - {None}:
+        own = [f for f, t in data if t is not None and n in t]
+        want |= {(n, len(own), len(set(own) - {None}))} if own else set()
+    lines, symbols = spark.createDataFrame(data, "file string, text string").repartition(3), spark.createDataFrame([(n,) for n in names], "symbol string")
+    assert set(rows(Q.mention_counts(lines, symbols))) == want
+    assert Q.mention_counts(lines.limit(0), symbols).count() == 0 and Q.mention_counts(lines, symbols.limit(0)).count() == 0
+
+
 def test_usages_of_a_hot_symbol(spark):
     hot = [(1, "hot", "f", i, "t") for i in range(4000)]
     sites = spark.createDataFrame(hot + [(k, f"s{k}", "g", 1, "u") for k in range(2, 15)], "seq long, symbol string, file string, line int, text string")
