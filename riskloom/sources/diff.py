@@ -14,26 +14,37 @@ def diff_lines(diffs: DataFrame, id_col: str = "diff_id", text_col: str = "text"
     path is what follows the first ` b/` of the file's header and is filled
     forward; block_line counts a file's lines from 1 at its header. kind is
     header, added, removed or context. hunk counts a file's hunks from 1, 0
-    before the first. Lines before any file header are left out. Windows are
-    by diff, so diffs are worked on side by side.
+    before the first. Lines before any file header are left out. Diffs are dealt
+    out by id, and each is cut into files, hunks and lines in its own row.
     """
-    lines = diffs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    starts = F.col("line").startswith("diff --git ")
-    by = Window.partitionBy(id_col).orderBy("pos")
-    filled = lines.withColumn("_file", F.sum(starts.cast("int")).over(by)).filter("_file > 0")
-    own = Window.partitionBy(id_col, "_file").orderBy("pos")
-    head = F.first("line").over(own)
+    from riskloom.sources.store import dealt
+
+    whole = dealt(diffs.select(id_col, F.col(text_col).alias("_text")), id_col).select(id_col, F.split("_text", "\n").alias("_l"))
+    heads = F.filter(F.transform("_l", lambda x, i: F.when(x.startswith("diff --git "), i)), lambda i: i.isNotNull())
+    files = whole.select(id_col, "_l", heads.alias("_b")).select(id_col, F.explode(_slices("_l", "_b")).alias("_f"))
+    head = F.element_at("_f.lines", 1)
     tail = F.substring_index(F.regexp_replace(head, "^diff --git a/", ""), " b/", 1)
-    named = filled.withColumns({"path": F.regexp_extract(head, r"^.*? b/(.*)$", 1), "old_path": tail, "block_line": F.row_number().over(own)})
-    hunk = F.sum(F.col("line").rlike(_HUNK).cast("int")).over(own)
+    own = files.select(id_col, F.col("_f.at").alias("_at"), F.col("_f.lines").alias("_l"), F.regexp_extract(head, r"^.*? b/(.*)$", 1).alias("path"), tail.alias("old_path"))
+    starts = F.filter(F.transform("_l", lambda x, i: F.when((i == 0) | x.rlike(_HUNK), i)), lambda i: i.isNotNull())
+    hunks = own.withColumn("_b", starts).select(id_col, "_at", "path", "old_path", F.posexplode(_slices("_l", "_b")).alias("_n", "_h"))
+    lines = hunks.select(id_col, "_at", "path", "old_path", "_n", F.col("_h.at").alias("_in"), F.posexplode("_h.lines").alias("_i", "line"))
+    place = F.col("_in") + F.col("_i")
+    hunk = F.col("_n").cast("long")
+    named = lines.select(id_col, (F.col("_at") + place).alias("pos"), "line", "path", "old_path", (place + 1).alias("block_line"), hunk.alias("hunk"))
     meta = F.col("line").rlike(r"^(diff --git |index |new file|deleted file|similarity |rename |old mode|new mode|--- |\+\+\+ |@@ )")
     kind = (
-        F.when(meta & ((hunk == 0) | F.col("line").rlike("^@@ |^(---|\\+\\+\\+) ")), "header")
+        F.when(meta & ((F.col("hunk") == 0) | F.col("line").rlike("^@@ |^(---|\\+\\+\\+) ")), "header")
         .when(F.col("line").startswith("+"), "added")
         .when(F.col("line").startswith("-"), "removed")
         .otherwise("context")
     )
-    return named.withColumns({"hunk": hunk, "kind": kind}).drop("_file")
+    return named.withColumn("kind", kind)
+
+
+def _slices(lines: str, starts: str) -> Column:
+    """at, lines of each slice of an array that begins at one of these places, counted from 0, and ends before the next."""
+    end = lambda n: F.coalesce(F.get(starts, n + 1), F.size(lines))
+    return F.transform(starts, lambda s, n: F.struct(s.alias("at"), F.slice(lines, s + 1, end(n) - s).alias("lines")))
 
 
 def diff_files(lines: DataFrame, id_col: str = "diff_id") -> DataFrame:

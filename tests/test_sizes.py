@@ -44,3 +44,16 @@ def test_documents_of_one_row_are_not_joined(spark):
     out = openapi_findings(spark.range(2).select("id", F.lit(old).alias("old"), F.lit(new).alias("new")), by="id")
     assert "Join" not in plan(out)
     assert sorted((r.change_type, r.item) for r in out.filter("id = 1").collect()) == [("added_endpoint", "GET /c"), ("removed_endpoint", "/b"), ("removed_method", "PUT /a")]
+
+
+def test_diffs_are_cut_in_their_rows(spark):
+    from riskloom.sources.diff import diff_lines
+
+    text = "before\ndiff --git a/x b/x\nnew file\n@@ -1 +1 @@\n-a\n+b\n@@ -9 +9 @@\n+c\ndiff --git a/y b/z\n"
+    out = diff_lines(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "diff_id long, text string"))
+    assert "Window" not in plan(out) and "Sort" not in plan(out)
+    got = sorted((r.diff_id, r.pos, r.line[:4], r.old_path, r.path, r.block_line, r.hunk, r.kind) for r in out.collect())
+    assert got == [
+        (1, 1, "diff", "x", "x", 1, 0, "header"), (1, 2, "new ", "x", "x", 2, 0, "header"), (1, 3, "@@ -", "x", "x", 3, 1, "header"), (1, 4, "-a", "x", "x", 4, 1, "removed"), (1, 5, "+b", "x", "x", 5, 1, "added"),
+        (1, 6, "@@ -", "x", "x", 6, 2, "header"), (1, 7, "+c", "x", "x", 7, 2, "added"), (1, 8, "diff", "y", "z", 1, 0, "header"), (1, 9, "", "y", "z", 2, 0, "context"),
+    ]
