@@ -20,6 +20,9 @@ EDGE_RULES = {"requires_auth": "auth_path_changed", "writes_db": "db_write_path"
 HIGH_TYPES = ("controller_action", "model_property", "entity_property", "repository_method")
 TYPE_RULES = {"controller_action": "controller_action_changed", "model_property": "model_contract_changed", "entity_property": "entity_persistence_changed"}
 
+#: Spark's default of spark.shuffle.sort.bypassMergeThreshold: a shuffle of so many parts writes them straight to files.
+PARTS = 200
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Write a hop's rows, so that the next hop neither repeats them nor grows the plan."""
@@ -226,11 +229,17 @@ def surprise(edges: DataFrame, nodes: DataFrame, least: float = 0.35) -> DataFra
 
 
 def path_edges(paths: DataFrame) -> DataFrame:
-    """source, target of neighbours on paths (path_id, path), the first path of each kept."""
+    """source, target of neighbours on paths (path_id, path), the first path of each kept.
+
+    The least of texts is found by sorting. Edges are dealt out before that, so
+    that each is sorted once, in a small part; else a scan's rows would be
+    sorted, and spilled, as well. Up to `PARTS` parts are dealt without a sort.
+    """
     n = F.size("path")
     pairs = F.arrays_zip(F.slice("path", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("s"), F.slice("path", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("t"))
-    long = paths.filter(n >= 2).select("path_id", F.explode(pairs).alias("p"))
-    return long.groupBy(F.col("p.s").alias("source"), F.col("p.t").alias("target")).agg(F.min("path_id").alias("path_id")).withColumn("edge_type", F.lit("CALLS"))
+    long = paths.filter(n >= 2).select("path_id", F.explode(pairs).alias("p")).select("path_id", F.col("p.s").alias("source"), F.col("p.t").alias("target"))
+    parts = max(PARTS, int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return long.repartition(parts, "source", "target").groupBy("source", "target").agg(F.min("path_id").alias("path_id")).withColumn("edge_type", F.lit("CALLS"))
 
 
 def bridges(paths: DataFrame, least: int = 2) -> DataFrame:

@@ -57,3 +57,11 @@ def test_diffs_are_cut_in_their_rows(spark):
         (1, 1, "diff", "x", "x", 1, 0, "header"), (1, 2, "new ", "x", "x", 2, 0, "header"), (1, 3, "@@ -", "x", "x", 3, 1, "header"), (1, 4, "-a", "x", "x", 4, 1, "removed"), (1, 5, "+b", "x", "x", 5, 1, "added"),
         (1, 6, "@@ -", "x", "x", 6, 2, "header"), (1, 7, "+c", "x", "x", 7, 2, "added"), (1, 8, "diff", "y", "z", 1, 0, "header"), (1, 9, "", "y", "z", 2, 0, "context"),
     ]
+
+
+def test_path_edges_are_sorted_after_they_are_dealt(spark):
+    from riskloom.operators.graph import path_edges
+
+    out = path_edges(spark.createDataFrame([("b", ["x", "y", "z"]), ("a", ["x", "y"]), ("c", ["y"]), ("d", [])], "path_id string, path array<string>"))
+    assert "Sort" not in plan(out).split("Exchange", 1)[1]
+    assert sorted((r.source, r.target, r.path_id) for r in out.collect()) == [("x", "y", "a"), ("y", "z", "b")]
