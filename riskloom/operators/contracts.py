@@ -24,17 +24,14 @@ def proto_findings(lines: DataFrame, by: tuple = ("diff_id", "path")) -> DataFra
     """
     keys = list(by)
     own = lines.filter(F.col("path").endswith(".proto"))
-    sides = {}
-    for side, test in (("old", is_removed), ("new", is_added)):
-        code = own.filter(test(F.col("line"))).select(*keys, "pos", F.substr("line", F.lit(2)).alias("code"))
-        part = lambda n: F.regexp_extract("code", _FIELD, n)
-        fields = code.filter(F.col("code").rlike(_FIELD)).select(*keys, "pos", part(2).alias("name"), part(1).alias("type"), part(3).cast("long").alias("number"))
-        sides[side] = fields.groupBy(*keys, "name").agg(F.max_by(F.struct("type", "number"), "pos").alias(side))
-        sides[side + "_enum"] = code.filter(F.col("code").rlike(_ENUM)).select(*keys, F.regexp_extract("code", _ENUM, 1).alias("name")).distinct()
-        if side == "new":
-            sides["number"] = fields.groupBy(*keys, "number").agg(F.max_by(F.struct("name", "type"), "pos").alias("again"))
-    both = sides["old"].join(sides["new"], [*keys, "name"], "full")
-    gone = both.withColumn("number", F.col("old.number")).join(sides["number"], [*keys, "number"], "left")
+    removed, added = is_removed(F.col("line")), is_added(F.col("line"))
+    code = own.filter(removed | added).select(*keys, "pos", F.when(removed, "old").otherwise("new").alias("side"), F.substr("line", F.lit(2)).alias("code"))
+    part = lambda n: F.regexp_extract("code", _FIELD, n)
+    fields = code.filter(F.col("code").rlike(_FIELD)).select(*keys, "pos", "side", part(2).alias("name"), part(1).alias("type"), part(3).cast("long").alias("number"))
+    last = lambda side: F.max_by(F.struct("type", "number"), F.when(F.col("side") == side, F.col("pos"))).alias(side)
+    both = fields.groupBy(*keys, "name").agg(last("old"), last("new"))  # both sides of a name meet in one aggregate
+    again = fields.filter("side = 'new'").groupBy(*keys, "number").agg(F.max_by(F.struct("name", "type"), "pos").alias("again"))
+    gone = both.withColumn("number", F.col("old.number")).join(again, [*keys, "number"], "left")
     renamed = F.col("new").isNull() & F.col("again").isNotNull()
     kind = (
         F.when(F.col("old").isNull(), "added_field")
@@ -47,7 +44,8 @@ def proto_findings(lines: DataFrame, by: tuple = ("diff_id", "path")) -> DataFra
     )
     fields = gone.withColumn("change_type", kind).filter("change_type is not null")
     item = F.when(F.col("change_type") == "renamed_field", F.concat_ws(" → ", "name", "again.name")).otherwise(F.col("name"))
-    enums = sides["old_enum"].join(sides["new_enum"], [*keys, "name"], "left_anti")
+    enum = code.filter(F.col("code").rlike(_ENUM)).select(*keys, "side", F.regexp_extract("code", _ENUM, 1).alias("name"))
+    enums = enum.groupBy(*keys, "name").agg(F.bool_or(F.col("side") == "new").alias("new")).filter("not new")
     out = fields.select(*keys, "change_type", item.alias("item")).unionByName(enums.select(*keys, F.lit("removed_enum_value").alias("change_type"), F.col("name").alias("item")))
     return out.withColumn("risk", F.when(F.col("change_type").isin("added_field", "renamed_field"), "low").otherwise("high"))
 

@@ -65,3 +65,12 @@ def test_path_edges_are_sorted_after_they_are_dealt(spark):
     out = path_edges(spark.createDataFrame([("b", ["x", "y", "z"]), ("a", ["x", "y"]), ("c", ["y"]), ("d", [])], "path_id string, path array<string>"))
     assert "Sort" not in plan(out).split("Exchange", 1)[1]
     assert sorted((r.source, r.target, r.path_id) for r in out.collect()) == [("x", "y", "a"), ("y", "z", "b")]
+
+
+def test_sides_of_a_field_meet_without_a_join(spark):
+    from riskloom.operators.contracts import proto_findings
+
+    rows = [(1, "-string a = 1;"), (2, "+int32 a = 1;"), (3, "-string b = 2;"), (4, "+string c = 2;"), (5, "-  OLD_ONE = 1;"), (6, "-  KEPT = 2;"), (7, "+  KEPT = 3;"), (8, "-string a = 9;")]
+    out = proto_findings(spark.createDataFrame([("a.proto", *r) for r in rows], "path string, pos int, line string"), ("path",))
+    assert plan(out).count("Join") <= 1 and "FullOuter" not in plan(out)
+    assert sorted((r.change_type, r.item, r.risk) for r in out.collect()) == [("added_field", "c", "low"), ("changed_field_number", "a", "high"), ("removed_enum_value", "OLD_ONE", "high"), ("renamed_field", "b → c", "low")]
